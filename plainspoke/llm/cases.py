@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id
+from . import byte_bpe, language_id, ogg_media, packing, pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_language_id": language_id.op1_language_id}
+    own = (language_id.op1_language_id, packing.op5_packing, pii.op8_pii, byte_bpe.op9_byte_bpe, ogg_media.op10_ogg_media)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_sample, table
 
 #: Rows that training may see at most, windows cut from each, and bytes of each.
 SAMPLE_ROWS, WINDOWS_PER_ROW, TRAIN_BYTES = 3000, 3, 72
@@ -197,7 +197,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str =
     size = F.length(text)
     cuts = [F.substring(F.col(text), F.lit(1) + F.floor(size * k / WINDOWS_PER_ROW).cast("int"), F.lit(TRAIN_BYTES)) for k in range(WINDOWS_PER_ROW)]
     known = docs.where(F.col(lang).isNotNull() & (size > 0))
-    got = known.select(F.xxhash64(F.col(order).cast("string"), F.lit("lang")).alias("h"), F.array(*cuts).alias("cuts"), F.col(lang).alias("lang")).orderBy("h", "lang", "cuts").limit(rows).collect()
+    got = bounded_sample(known.select(F.col(order).alias("id"), F.array(*cuts).alias("cuts"), F.col(lang).alias("lang")), rows, "id").collect()
     pairs = [(cut.encode()[:TRAIN_BYTES], r.lang) for r in got for cut in r.cuts if cut and len(cut.encode()) >= 24]
     if not pairs:
         return None
