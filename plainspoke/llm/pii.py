@@ -250,7 +250,7 @@ def spans_of(texts: list[str | None], field: SkipChain | None) -> list[tuple[lis
             k = int(p[:_O].argmax())
             if p[k] < SURE or _touches(taken, a, b):
                 continue
-            if added and open_ == j - 1 and near.get(j - 1) == j and added[-1][2] == k:
+            if added and open_ == j - 1 and near.get(j - 1) == j and added[-1][2] == k and len(_only_digits(texts[i][added[-1][0] : b])) <= 19:
                 added[-1] = (added[-1][0], b, k)
             else:
                 added.append((a, b, k))
