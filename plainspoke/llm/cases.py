@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, language_id, minhash_dedup, ogg_media, packing, pii, quality, warc
+from . import byte_bpe, embedding_dedup, language_id, license_scan, minhash_dedup, ogg_media, packing, pii, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (language_id.op1_language_id, embedding_dedup.op2_embedding_dedup, minhash_dedup.op4_minhash_dedup, packing.op5_packing, quality.op6_quality, pii.op8_pii, warc.op7_warc, byte_bpe.op9_byte_bpe, ogg_media.op10_ogg_media)
+    own = (language_id.op1_language_id, embedding_dedup.op2_embedding_dedup, license_scan.op3_license_scan, minhash_dedup.op4_minhash_dedup, packing.op5_packing, quality.op6_quality, pii.op8_pii, warc.op7_warc, byte_bpe.op9_byte_bpe, ogg_media.op10_ogg_media)
     return {f.__name__: f for f in own}
 
 
