@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,29 +9,19 @@ from .functions import text as T
 from .lexicon import PROSE, lexicon
 from .operators import audit, tables, traffic
 from .plans import logical as L
+from .registry import QUERIES, SQL, Query
+from .registry import query as _query
 from .sources import html
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from . import cases_more  # noqa: F401  registers its queries
+
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    queries()
+    return dict(SQL)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
