@@ -33,6 +33,21 @@ _PLAIN = {ord(c): None for c in ".,;:?\"'()-+@/"}
 _SYMBOLS = [bytes([c]) for c in b"|#{}<>=_~*\\^$%&"]
 
 
+class _Plain(dict):
+    """word -> 1 if it is letters or digits but for common marks, and no long run of capitals; remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        value = int(word.translate(_PLAIN).isalnum() and not (word.isupper() and len(word) > 3))
+        if len(word) <= 80:
+            if len(self) > 500_000:
+                self.clear()
+            self[word] = value
+        return value
+
+
+_plain = _Plain()
+
+
 def measures(text: str) -> dict[str, float]:
     """What the labellers look at, each read off the whole text."""
     raw, words, lines = text.encode("utf-8", "replace"), text.split(), [x for x in text.split("\n") if x.strip()]
@@ -42,7 +57,7 @@ def measures(text: str) -> dict[str, float]:
     return {
         "words": len(words), "letters": upper + lower, "upper": upper / max(1, upper + lower), "symbols": sum(map(raw.count, _SYMBOLS)) / n,
         "cries": raw.count(b"!") / n, "bars": sum(1 for w in words if w == "|") / n, "again": again / n,
-        "plain": sum(1 for w, x in zip(words, ["", *words]) if w != x and w.translate(_PLAIN).isalnum() and not (w.isupper() and len(w) > 3)) / n,
+        "plain": (sum(map(_plain.__getitem__, words)) - (sum(_plain[w] for w, x in zip(words, words[1:]) if w == x) if again else 0)) / n,
         "lines": len(lines), "lines_again": 1 - len(set(lines)) / max(1, len(lines)), "length": sum(map(len, words)) / n,
         "digits": int(((b >= 48) & (b <= 57)).sum()) / max(1, len(b)), "distinct": len(set(words)) / n,
     }
