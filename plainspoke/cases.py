@@ -14,7 +14,7 @@ from .registry import query as _query
 from .sources import html
 
 def queries() -> dict[str, Query]:
-    from . import cases_more  # noqa: F401  registers its queries
+    from . import cases_more, cases_texts  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 
