@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import text as T
+from ..operators import audit
+
 
 def event_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A file stream of events whose ts is a UTC timestamp."""
@@ -27,3 +30,48 @@ def sessions(stream: DataFrame, key: str, gap: str, ts: str = "ts", watermark: s
 
 def once(stream: DataFrame, key: str, ts: str = "ts", watermark: str = "10 minutes") -> DataFrame:
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([key])
+
+
+def sequence_counts(stream: DataFrame, text: str = "text") -> DataFrame:
+    """(pointer, frequency) of lines as they arrive; update or complete mode."""
+    lines = stream.select(F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line")).withColumn("key", T.dictionary_key(F.col("line"))).where("key <> ''")
+    return lines.groupBy(F.substring(F.sha2("key", 256), 1, 16).alias("pointer")).agg(F.count("*").alias("frequency"))
+
+
+def relay_state(stream: DataFrame, most: int = 3000) -> DataFrame:
+    """(conv_id, turn, relay, chars) of each turn as it arrives: characters since the last reset; reaching ``most`` ends a relay.
+
+    Each thread's state is its relay and characters, in the state store. Turns of
+    one trigger are taken in order; one that arrives in a later trigger than its
+    successor counts when it arrives.
+    """
+    import pandas as pd
+
+    def fold(key: tuple, frames: object, state: object) -> object:
+        rows = pd.concat(list(frames)).sort_values("turn")
+        relay, chars = state.get if state.exists else (1, 0)
+        out = []
+        for n in rows["n"].tolist():
+            chars += int(n)
+            out.append((relay, chars))
+            if chars >= most:
+                relay, chars = relay + 1, 0
+        state.update((relay, chars))
+        yield pd.DataFrame({"conv_id": rows["conv_id"].to_numpy(), "turn": rows["turn"].to_numpy(), "relay": [r for r, _ in out], "chars": [c for _, c in out]})
+
+    own = stream.select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    return own.groupBy("conv_id").applyInPandasWithState(fold, "conv_id long, turn long, relay int, chars long", "relay int, chars long", "append", "NoTimeout")
+
+
+def daily_spend(stream: DataFrame, cap: int, key: str = "user_id", ts: str = "ts", watermark: str = "10 minutes") -> DataFrame:
+    """(window, key, spent, within) of each day's charges in cents."""
+    return stream.withWatermark(ts, watermark).groupBy(F.window(ts, "1 day"), key).agg(F.sum("cents").alias("spent")).withColumn("within", F.col("spent") <= cap)
+
+
+def scored_to(stream: DataFrame, markers: dict[str, list[str]], path: str, checkpoint: str, id: str = "doc_id") -> object:
+    """Starts a query that scores arriving texts and writes each batch under its number, so that a repeated batch overwrites itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        audit.integrity(batch, markers, id=id).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -41,3 +41,39 @@ def test_active_visitors(spark, events):
     batch, stream = events
     drained(streams.active_visitors(stream, "user_id"), "active", "complete")
     assert spark.table("active").count() == batch.groupBy(F.window("ts", "1 hour", "5 minutes")).count().count()
+
+
+@pytest.fixture
+def turns(spark):
+    batch = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    return batch, spark.readStream.schema(batch.schema).parquet("/root/testdata/sf0.001/conversations.parquet*")
+
+
+def test_relay_state(spark, turns):
+    from plainspoke.operators import texts
+
+    batch, stream = turns
+    drained(streams.relay_state(stream, 1500), "relay", "append")
+    want = texts.relay_numbers(batch, 1500).collect()
+    assert sorted(map(tuple, spark.table("relay").collect())) == sorted(map(tuple, want)) and len({r.relay for r in want}) > 1
+
+
+def test_sequence_counts(spark, turns):
+    from plainspoke.operators import tables
+
+    batch, stream = turns
+    drained(streams.sequence_counts(stream), "sequences", "complete")
+    want = tables.sequence_dictionary(batch).select("pointer", "frequency").collect()
+    assert sorted(map(tuple, spark.table("sequences").collect())) == sorted(map(tuple, want))
+
+
+def test_scored_to(spark):
+    from plainspoke.lexicon import PROSE
+    from plainspoke.operators import audit
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    batch = spark.read.parquet(path)
+    out, at = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(2))
+    streams.scored_to(spark.readStream.schema(batch.schema).parquet(path + "*"), PROSE, out, at).awaitTermination(120)
+    got = spark.read.parquet(out).drop("batch").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, audit.integrity(batch, PROSE).collect()))
