@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, components, forest, sorted_runs, table, written
 
 THRESHOLD = 0.95
-BLOCKS, PIVOTS, SAMPLE, CHUNK = 8, 32, 4096, 4096
+BLOCKS, PIVOTS, SAMPLE, CHUNK = 8, 32, 4096, 16384
 _SLACK = 1e-9
 
 
@@ -131,17 +131,19 @@ def _joined(spaces: dict[int, Subspaces], threshold: float, kind: str) -> object
         unit = units(raw)
         turned = space.rotate(unit)
         x = turned[:, space.parts[k]]
-        sq = (x * x).sum(1)
+        sq, one = (x * x).sum(1, keepdims=True), np.ones((len(x), 1))
+        # One product gives all squared distances; single precision is safe within the slack, as the rest decides.
+        left, right = np.hstack([-2 * x, one, sq]).astype(np.float32), np.ascontiguousarray(np.hstack([x, sq, one]).T.astype(np.float32))
         hosts = np.flatnonzero(home)
         for rows in (hosts[i : i + 256] for i in range(0, len(hosts), 256)):
             for at in range(0, len(ids), 4096):
                 cols = np.arange(at, min(at + 4096, len(ids)))
-                near = sq[rows][:, None] + sq[cols] - 2 * (x[rows] @ x[cols].T) <= space.budget[k] + 1e-6
-                if both:  # pairs of one chunk belong to the cell of that chunk alone
-                    near &= side[rows][:, None] != side[cols]
-                # Two hosts meet twice: the pair counts where the first has the smaller id.
-                near &= ~home[cols] | (ids[rows][:, None] < ids[cols])
-                i, j = np.nonzero(near)
+                flat = np.flatnonzero(left[rows] @ right[:, at : at + 4096] <= np.float32(space.budget[k] + 1e-5))
+                i, j = np.divmod(flat, len(cols))
+                a, b = rows[i], cols[j]
+                # Two hosts meet twice: the pair counts where the first has the smaller id. Pairs of one chunk belong to the cell of that chunk alone.
+                ok = (~home[b] | (ids[a] < ids[b])) & (not both or side[a] != side[b])
+                i, j = i[ok], j[ok]
                 for part in range(0, len(i), 65536):
                     a, b = rows[i[part : part + 65536]], cols[j[part : part + 65536]]
                     ok = space.distance(turned[a], turned[b], k) <= space.budget[k]
