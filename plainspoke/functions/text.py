@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ def words(t: Column) -> Column:
 
 
 def word_count(t: Column) -> Column:
-    return F.coalesce(F.size(words(t)), F.lit(0))
+    return F.coalesce(F.regexp_count(t, F.lit(r"\S+")), F.lit(0))
 
 
 def squeezed(t: Column) -> Column:
@@ -35,7 +38,7 @@ def sentences(t: Column) -> Column:
 
 def _bare(t: Column) -> Column:
     """Without white space at the ends, line ends included."""
-    return F.regexp_replace(t, r"^\s+|\s+$", "")
+    return F.btrim(t, F.lit(" \t\n\r\f\v"))
 
 
 def loose_sentences(t: Column, longer_than: int = 3) -> Column:
@@ -93,7 +96,13 @@ def markers(t: Column, terms: list[str]) -> Column:
 
 
 def has_any(t: Column, terms: list[str]) -> Column:
-    return F.exists(F.array(*(F.lit(x) for x in terms)), lambda m: F.contains(t, m)) if terms else F.lit(False)
+    """Whether a term occurs: a chain of plain containments, which stays in generated code and stops at the first."""
+    return reduce(or_, (F.contains(t, F.lit(m)) for m in terms), F.lit(False)) if terms else F.lit(False)
+
+
+def hits(t: Column, terms: list[str]) -> Column:
+    """How many of the terms occur."""
+    return reduce(add, (F.contains(t, F.lit(m)).cast("int") for m in terms), F.lit(0))
 
 
 def dictionary_key(t: Column) -> Column:

@@ -14,9 +14,11 @@ LABELS = [(25, "FAILING"), (40, "POOR"), (55, "WEAK"), (70, "MODERATE"), (85, "S
 def lexicon_hits(texts: DataFrame, terms: dict[str, list[str]], id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, category, term, n) for every term that occurs in a text: non-overlapping occurrences in the lowered text. No shuffle: the lexicon is a literal."""
     pairs = [(c, t) for c, own in terms.items() for t in own]
-    low = F.lower(F.col(text))
-    hits = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(t).alias("term"), T.occurrences(low, t).alias("n")) for c, t in pairs))
-    return texts.select(F.col(id), F.explode(F.filter(hits, lambda h: h["n"] > 0)).alias("h")).select(id, "h.*")
+    low = texts.select(F.col(id).alias(id), F.lower(F.col(text)).alias("_low"))  # lowered once, not once a term
+    counts = low.select(id, F.array(*(T.occurrences(F.col("_low"), t) for _, t in pairs)).alias("_n"))
+    names = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(t).alias("term")) for c, t in pairs))
+    far = counts.select(id, F.posexplode("_n").alias("_i", "n")).where("n > 0")
+    return far.select(id, F.get(names, F.col("_i")).alias("_k"), "n").select(id, "_k.category", "_k.term", "n")
 
 
 def lexicon_join(texts: DataFrame, lexicon: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -32,10 +34,6 @@ def prevalence(hits: DataFrame, keys: list[str], total: DataFrame | None = None)
     return hits.groupBy(*keys).agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("n").cast("long").alias("n_hits"))
 
 
-def _found(t: Column, m: dict[str, list[str]], name: str) -> Column:
-    return T.markers(t, m[name])
-
-
 def integrity(texts: DataFrame, m: dict[str, list[str]], id: str = "doc_id", text: str = "text") -> DataFrame:
     """Five dimensions in ten-thousandths, their weighted sum as a score 0 to 100, and its label.
 
@@ -54,9 +52,9 @@ def integrity(texts: DataFrame, m: dict[str, list[str]], id: str = "doc_id", tex
     got = base.select(
         id,
         F.greatest(F.size("s"), F.lit(1)).alias("n"), F.greatest(T.word_count(t), F.lit(1)).alias("w"),
-        F.size(F.filter("s", lambda x: T.has_any(x, m["constraint"]))).alias("c_sent"), F.size(_found(t, m, "constraint")).alias("c_hits"),
+        F.size(F.filter("s", lambda x: T.has_any(x, m["constraint"]))).alias("c_sent"), T.hits(t, m["constraint"]).alias("c_hits"),
         F.size(F.filter("s", lambda x: ~T.has_any(x, soft))).alias("clean"),
-        (F.size(_found(t, m, "hedge")) + F.size(_found(t, m, "reassure")) + F.size(_found(t, m, "blend"))).alias("framing"),
+        T.hits(t, m["hedge"] + m["reassure"] + m["blend"]).alias("framing"),
         T.has_any(F.coalesce(F.get("s", 0), F.lit("")), m["ask"]).cast("int").alias("asks"),
         *(T.has_any(t, m[k]).cast("int").alias(k) for k in ("capability", "defer", "blend", "reassure", "collapse", "calm", "hedge")),
     )

@@ -13,9 +13,9 @@ Rules = list[tuple[str, str, int]]
 
 def signal_counts(texts: DataFrame, rules: Rules, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, signal, n) of every rule that matches, before overlaps are resolved."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    hits = F.array(*(F.struct(F.lit(name).alias("signal"), F.regexp_count(low, F.lit(p)).alias("n")) for name, p, _ in rules))
-    return texts.select(F.col(id), F.explode(F.filter(hits, lambda h: h["n"] > 0)).alias("h")).select(id, "h.*")
+    low = texts.select(F.col(id).alias(id), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+    far = low.select(id, F.posexplode(F.array(*(F.regexp_count("_low", F.lit(p)) for _, p, _ in rules))).alias("_i", "n")).where("n > 0")
+    return far.select(id, F.get(F.array(*(F.lit(name) for name, _, _ in rules)), F.col("_i")).alias("signal"), "n")
 
 
 def best_rule(texts: DataFrame, rules: Rules, block_from: int = 90, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,7 +28,7 @@ def best_rule(texts: DataFrame, rules: Rules, block_from: int = 90, id: str = "d
 def structure_audit(texts: DataFrame, hedges: list[str], actions: list[str], deferrals: list[str], vague: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, score, violations): 100 less .05 a hedge (40 at most), 10 without an action, 12 a deferral (25 at most), 12 for two vague words or more."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    n = {k: F.size(T.markers(low, own)) for k, own in (("hedge", hedges), ("action", actions), ("defer", deferrals), ("vague", vague))}
+    n = {k: T.hits(low, own) for k, own in (("hedge", hedges), ("action", actions), ("defer", deferrals), ("vague", vague))}
     less = F.least(n["hedge"] * 5, F.lit(40)) + F.when(n["action"] == 0, 10).otherwise(0) + F.least(n["defer"] * 12, F.lit(25)) + F.when(n["vague"] >= 2, 12).otherwise(0)
     named = F.array_compact(F.array(F.when(n["hedge"] > 0, "HEDGE"), F.when(n["action"] == 0, "NO_ACTION"), F.when(n["defer"] > 0, "DEFERRAL"), F.when(n["vague"] >= 2, "VAGUE")))
     return texts.select(F.col(id), (F.lit(100) - less).cast("int").alias("score"), named.alias("violations"))

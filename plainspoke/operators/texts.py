@@ -12,14 +12,14 @@ from ..functions import text as T
 def scope_ratio(texts: DataFrame, objective: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, found, per_mille, narrow): how many of the objective's words of more than 3 letters a text holds; narrow below 150 per mille."""
     own = [w for w in dict.fromkeys(objective) if len(w) > 3]
-    found = F.size(T.markers(F.lower(F.coalesce(F.col(text), F.lit(""))), own))
+    found = T.hits(F.lower(F.coalesce(F.col(text), F.lit(""))), own)
     return texts.select(F.col(id), found.alias("found")).withColumn("per_mille", F.floor(F.col("found") * 1000 / max(1, len(own))).cast("long")).withColumn("narrow", F.col("per_mille") < 150)
 
 
 def level(texts: DataFrame, levels: dict[str, list[str]], id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, level, hits): the level with most distinct terms, the first declared on ties; null if none has any."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    scores = F.array(*(F.struct(F.size(T.markers(low, own)).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, own) in enumerate(levels.items())))
+    scores = F.array(*(F.struct(T.hits(low, own).alias("n"), F.lit(-i).alias("o"), F.lit(name).alias("name")) for i, (name, own) in enumerate(levels.items())))
     return texts.select(F.col(id), F.array_max(scores).alias("m")).select(id, F.when(F.col("m.n") > 0, F.col("m.name")).alias("level"), F.col("m.n").alias("hits"))
 
 
