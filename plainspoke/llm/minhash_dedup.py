@@ -64,9 +64,9 @@ class WordHashes(dict):
     """word -> 64-bit hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 150_000 and len(word) <= 60:  # what is frequent comes early
+            self[word] = value
         return value
 
 

@@ -28,7 +28,7 @@ from .common import bounded_sample, table
 
 GOOD, BAD, NONE = 0, 1, 2
 #: Rows that the scorer is fitted on at most, the longest text among them, and the scorer's size.
-SAMPLE_ROWS, SAMPLE_CHARS, DIMS = 4000, 20_000, 1 << 15
+SAMPLE_ROWS, SAMPLE_CHARS, DIMS = 2500, 20_000, 1 << 15
 _PLAIN = {ord(c): None for c in ".,;:?\"'()-+@/"}
 _SYMBOLS = [bytes([c]) for c in b"|#{}<>=_~*\\^$%&"]
 
@@ -38,9 +38,7 @@ class _Plain(dict):
 
     def __missing__(self, word: str) -> int:
         value = int(word.translate(_PLAIN).isalnum() and not (word.isupper() and len(word) > 3))
-        if len(word) <= 80:
-            if len(self) > 500_000:
-                self.clear()
+        if len(self) < 150_000 and len(word) <= 60:  # what is frequent comes early
             self[word] = value
         return value
 
@@ -56,10 +54,9 @@ def measures(text: str) -> dict[str, float]:
     again = sum(map(eq, words, words[1:]))
     return {
         "words": len(words), "letters": upper + lower, "upper": upper / max(1, upper + lower), "symbols": sum(map(raw.count, _SYMBOLS)) / n,
-        "cries": raw.count(b"!") / n, "bars": sum(1 for w in words if w == "|") / n, "again": again / n,
+        "cries": raw.count(b"!") / n, "bars": words.count("|") / n, "again": again / n,
         "plain": (sum(map(_plain.__getitem__, words)) - (sum(_plain[w] for w, x in zip(words, words[1:]) if w == x) if again else 0)) / n,
-        "lines": len(lines), "lines_again": 1 - len(set(lines)) / max(1, len(lines)), "length": sum(map(len, words)) / n,
-        "digits": int(((b >= 48) & (b <= 57)).sum()) / max(1, len(b)), "distinct": len(set(words)) / n,
+        "lines": len(lines), "lines_again": 1 - len(set(lines)) / max(1, len(lines)),
     }
 
 
@@ -147,12 +144,13 @@ class Scorer:
             for w in words:
                 if w not in memo:
                     memo[w] = buckets(w, self.dims)
-                feats += memo[w]
-            rows.append(np.full(2 * len(words), i))
-            vals.append(np.full(2 * len(words), 1 / max(1, len(words))))
-        if not feats:
+            own, n = np.unique(np.array([memo[w] for w in words], np.int32).ravel(), return_counts=True)
+            feats.append(own)
+            rows.append(np.full(len(own), i, np.int32))
+            vals.append((n / max(1, len(words))).astype(np.float32))
+        f, r, v = (np.concatenate(x) for x in (feats, rows, vals))
+        if not len(f):
             return
-        f, r, v = np.array(feats), np.concatenate(rows), np.concatenate(vals)
         rep = np.array([sum(map(eq, w, w[1:])) / max(1, len(w)) for w in lists])
         weight = np.where(good > 0.5, 0.5 / max(1e-9, (good > 0.5).mean()), 0.5 / max(1e-9, (good <= 0.5).mean()))
         w, m, s = np.zeros(self.dims + 2), np.zeros(self.dims + 2), np.zeros(self.dims + 2)
@@ -167,11 +165,9 @@ class Scorer:
     def word(self, word: str) -> float:
         value = self.seen.get(word)
         if value is None:
-            if len(self.seen) > 500_000:
-                self.seen.clear()
             a, b = buckets(word, self.dims)
             value = float(self.w[a] + self.w[b])
-            if len(word) <= 80:
+            if len(self.seen) < 150_000 and len(word) <= 60:
                 self.seen[word] = value
         return value
 
