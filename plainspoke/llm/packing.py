@@ -17,6 +17,8 @@ may be shorter. Repeated rows are packed one by one; an empty table gives none.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,11 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .byte_bpe import Cache, pieces
+from .byte_bpe import CACHE, LONGEST, Cache, pieces
 from .common import table, written
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 SIZE, DEPTH = 1024, 3
+_SPACE = re.compile(r"\s")
 #: Pieces of one length that a window may rank together, about.
 RANKED = 8192
 
@@ -41,6 +44,7 @@ class Ids:
     """ids of texts by a tokenizers file. Pieces between single spaces are encoded once and remembered, as far as the vocabulary allows."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,8 +53,26 @@ class Ids:
         whole = self._ids(probe)
         self.first, self.rest, self.words = Cache(self._ids), Cache(lambda piece: self._ids(" " + piece)), Cache(lambda word: self._ids(" " + word))
         self.cut = self._joined(probe) == whole and self._ids("a b") == self._ids("a") + self._ids(" b")
+        line = np.frombuffer(self._ids("\n"), "<u4")
+        self.line = int(line[0]) if len(line) == 1 and self._ids(" ab\n cd") == self._ids(" ab") + self._ids("\n") + self._ids(" cd") else 0
+        self.ranked = self._by_rank()
         self.ends = {c: self._ids(c) for c in ".,;:!?" if self._ids(" ab" + c) == self._ids(" ab") + self._ids(c)}
 
+    def _by_rank(self) -> object:
+        """The file's vocabulary as ranks, which merge several times faster; None unless ids are ranks and texts of all kinds get the same ids."""
+        import tiktoken
+
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        try:
+            ranks = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in self.special}
+            fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        except (KeyError, ValueError):
+            return None
+        probes = ["".join(map(chr, range(1, 0x250))), " ".join(self.tokenizer.decode([i]) for i in range(0, len(ranks), 17)), "it's 12\n\n  they'll été Straße 字 \t!?"]
+        same = all(fast.encode_ordinary(t) == self.tokenizer.encode(t, add_special_tokens=False).ids for t in probes)
+        return fast if same else None
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -58,22 +80,36 @@ class Ids:
         parts = pieces(text)
         return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
 
+    def _learn(self, new: list[str]) -> None:
+        """Remembers pieces that begin with a letter, a sign or a digit, all in one call of the tokenizer."""
+        cut = {p: p[:-1] if p[-1:] in self.ends and p[:-1].isalpha() else p for p in new}
+        words = [w for w in dict.fromkeys(cut.values()) if w not in self.words]
+        lines = [w for w in words if self.line and not _SPACE.search(w)]
+        # Texts with a word on each line: the line ends are tokens of their own.
+        for own in (lines[i : i + 256] for i in range(0, len(lines), 256)):
+            text = "\n".join(f" {w}" for w in own)
+            ids = np.array(self.ranked.encode_ordinary(text) if self.ranked else self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            raw, at = ids.tobytes(), np.flatnonzero(ids == self.line) * 4
+            if len(at) == len(own) - 1:
+                for w, lo, hi in zip(own, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True):
+                    self.words[w] = raw[lo:hi]
+        for p, w in cut.items():
+            self.rest[p] = self.words[w] if w is p else self.words[w] + self.ends[p[-1]]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         easy = [self.cut and not any(s in t for s in self.special) for t in texts]
         lists = [pieces(t) if ok else [t] for t, ok in zip(texts, easy, strict=True)]
-        new = {p for parts, ok in zip(lists, easy, strict=True) if ok for p in parts[1:] if p not in self.rest}
-        fresh: dict[str, bytes] = {}
-        if new:  # all words at once: far fewer calls
-            words = {p[:-1] if p[-1:] in self.ends and p[:-1].isalpha() else p for p in new}
-            unknown = [w for w in words if w not in self.words]
-            found = self.tokenizer.encode_batch_fast([" " + w for w in unknown], add_special_tokens=False)
-            for w, e in zip(unknown, found, strict=True):
-                fresh[w] = self.words.keep(w, np.array(e.ids, "<u4").tobytes())
-            word = lambda w: fresh.get(w) or self.words[w]
-            for p in new:
-                fresh[p] = self.rest.keep(p, word(p[:-1]) + self.ends[p[-1]] if p[-1:] in self.ends and p[:-1].isalpha() else word(p))
-        look = (lambda p: self.rest.get(p) or fresh.get(p) or self.rest[p]) if new else self.rest.__getitem__  # the cache may have begun anew
-        return [(self.first[parts[0]] + b"".join(map(look, parts[1:]))) if ok else self._ids(t) for t, parts, ok in zip(texts, lists, easy, strict=True)]
+        new: set[str] = set()
+        for parts, ok in zip(lists, easy, strict=True):
+            if ok:
+                new.update(p for p in set(parts[1:]) if p not in self.rest)
+        new = {p for p in new if p and len(p) <= LONGEST}
+        if len(self.rest) + len(new) > CACHE:  # not while pieces are joined below
+            self.rest.halve()
+            self.words.halve()
+            new = {p for parts, ok in zip(lists, easy, strict=True) if ok for p in parts[1:] if p and len(p) <= LONGEST and p not in self.rest}
+        self._learn(list(new))
+        return [(self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))) if ok else self._ids(t) for t, parts, ok in zip(texts, lists, easy, strict=True)]
 
 
 @lru_cache(2)
