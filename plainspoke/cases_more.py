@@ -45,6 +45,12 @@ def a19_entity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "id", F.substring("raw_text", 1, 12).alias("t")))), lambda x: x["t"]), "|").alias("text"), F.count("*").alias("pages"))
 
 
+@query(_cp("SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY page NULLS FIRST, id NULLS FIRST, raw_text NULLS FIRST) AS place, page, id, coalesce(CAST(page AS VARCHAR), '') || chr(10) || raw_text AS text, count(*) OVER (PARTITION BY entity) AS pages, CAST(sum(coalesce(length(raw_text), 0)) OVER (PARTITION BY entity) AS BIGINT) AS total_chars FROM cp"))
+def a19_entity_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job of A19: all pages of all types with their whole texts. a19_entity_text keeps the first 12 characters of two types, as its SQL does."""
+    return tables.entity_pieces(L.company_pages(spark, sf_dir))
+
+
 @query(f"WITH {_INTEGRITY} SELECT source, arg_max(doc_id, row(score, -doc_id)) AS best, arg_min(doc_id, row(score, doc_id)) AS worst, max(score) AS best_score, min(score) AS worst_score, count(*) AS pages FROM labelled GROUP BY source")
 def a21_best_and_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.best_and_worst(_scored(spark, sf_dir), "source", "doc_id")

@@ -25,6 +25,23 @@ def entity_rollup(pages: DataFrame) -> DataFrame:
     return pages.groupBy("entity").agg(F.count("*").alias("pages"), F.count_distinct("page").alias("page_types"), F.sum(T.word_count(F.col("raw_text"))).cast("long").alias("words"), F.max("ts").alias("last_seen"), F.array_join(F.transform(F.array_sort(F.collect_set("page")), lambda x: x.cast("string")), ",").alias("types"))
 
 
+def entity_pieces(pages: DataFrame, width: int = 1000) -> DataFrame:
+    """(entity, place, page, id, text, pages, total_chars): an entity's text in pieces, numbered by page, id and text; in order of place and with a separator between them they are its whole text.
+
+    No page type is skipped. A piece is its page and its text on the next line; a null text stays a null piece of no characters.
+    Ids meet in ranges of ``width``: rows are numbered within a range and the counts of the ranges before it are added, so no task
+    gets all texts of an entity. Rows with a null id are one range.
+    """
+    own = pages.select("entity", "page", "id", "raw_text", F.floor(F.col("id") / width).alias("_range"))
+    own = own.withColumn("_key", F.to_json(F.struct("entity", "page", "_range")))  # never null, so that window and join share one exchange of the texts
+    counts = own.groupBy("_key", "entity", "page", "_range").agg(F.count("*").alias("_n"), F.sum(F.coalesce(F.length("raw_text"), F.lit(0))).alias("_chars"))
+    totals = W.partitionBy("entity")
+    before = F.sum("_n").over(totals.orderBy("page", "_range").rowsBetween(W.unboundedPreceding, -1))
+    sums = counts.select("_key", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(totals).alias("pages"), F.sum("_chars").over(totals).cast("long").alias("total_chars"))
+    met = own.withColumn("_nth", F.row_number().over(W.partitionBy("_key").orderBy("id", "raw_text"))).join(sums, "_key")
+    return met.select("entity", (F.col("_before") + F.col("_nth")).alias("place"), "page", "id", F.concat(F.coalesce(F.col("page").cast("string"), F.lit("")), F.lit("\n"), "raw_text").alias("text"), "pages", "total_chars")
+
+
 def line_changes(pages: DataFrame) -> DataFrame:
     """(id, added, removed): lines of each version that the one before lacks, and the reverse, as sets."""
     w = W.partitionBy("entity", "page").orderBy("ts", "id")
