@@ -150,6 +150,12 @@ def d22_undefined_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.undefined_acronyms(_docs(spark, sf_dir).where(F.rlike("text", F.lit(r"^[ -~\n]*\z"))))
 
 
+@_query("SELECT doc_id, unnest(list_filter(list_distinct(regexp_split_to_array(coalesce(text, ''), '[^\\p{L}\\p{M}\\p{N}_]+')), lambda x: regexp_full_match(x, '[A-Z]{2,6}') AND NOT contains(text, '(' || x || ')'))) AS acronym FROM documents")
+def d22_acronyms_in_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job of D22: all documents. d22_undefined_acronyms leaves out those with other than printable ASCII, as its SQL does."""
+    return audit.undefined_acronyms(_docs(spark, sf_dir))
+
+
 @_query("SELECT * FROM (SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '\\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\\b')) AS INTEGER) AS n FROM documents) WHERE n > 0")
 def d55_card_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.card_like(_docs(spark, sf_dir))

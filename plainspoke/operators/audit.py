@@ -114,9 +114,9 @@ def match_weights(texts: DataFrame, patterns: dict[str, tuple[str, int]], id: st
 
 
 def undefined_acronyms(texts: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, acronym) for runs of 2 to 6 capitals that a text never gives in brackets."""
+    """(id, acronym) for words of 2 to 6 capitals A-Z that a text never gives in brackets; letters, marks and digits of any script, and underscores, are of words."""
     t = F.coalesce(F.col(text), F.lit(""))
-    found = F.array_distinct(F.regexp_extract_all(t, F.lit(r"\b([A-Z]{2,6})\b"), F.lit(1)))
+    found = F.array_distinct(F.filter(F.split(t, r"[^\p{L}\p{M}\p{N}_]+"), lambda w: F.rlike(w, F.lit(r"^[A-Z]{2,6}\z"))))
     return texts.select(F.col(id), F.explode(F.filter(found, lambda a: ~F.contains(t, F.concat(F.lit("("), a, F.lit(")"))))).alias("acronym"))
 
 
