@@ -7,8 +7,14 @@ each line of the text as a text of its own, since notices such as "Released unde
 the MIT License." stand on lines by themselves. Only whole texts and whole lines
 match: a licence that is changed by a word has another digest.
 
+An SPDX line ("SPDX-License-Identifier: " and an expression) is read as SPDX
+says, since "+" would be lost in the canonical form: each known identifier of
+the expression is a notice, and a text that is one such line with one identifier
+has it as licence.
+
 The table of known texts is as large as the list given, whatever the corpus, and
-is broadcast.
+is broadcast. Full texts and the identifiers are files of the folder ``licenses``
+that only the driver reads.
 
 Defined results: null texts, and texts that are empty once canonical, have no
 digest and no licence. Repeated rows give repeated results.
@@ -17,7 +23,11 @@ digest and no licence. Repeated rows give repeated results.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from functools import cache
+from itertools import product
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,45 +62,113 @@ KNOWN = [
 ]
 
 
+_FOLDER = Path(__file__).parent / "licenses"
+#: A line that says who holds the copyright; not a sentence of a licence that happens to break before the word.
+_HELD = re.compile(r"(?:\(c\)|©|&copy;)[ \t]*(?:copyright\b|[\d\[<{]|(?-i:[A-Z])[\w.,&-]*(?:[ \t]+(?-i:[A-Z\d])[\w.,&-]*)*[ \t]*$)|©|copyright[ \t:,]*(?:\(c\)|©|&copy;|[\d\[<{]|by\b)|copyright[ \t:,]+(?!licen[cs]e|notice|holder|owner|law|act\b|right|treat|statement|and\b|or\b)(?-i:[A-Z])", re.IGNORECASE)
+_SPDX = re.compile(r"SPDX-License-Identifier[ \t]*:[ \t]*([A-Za-z0-9.+() \t-]+)", re.IGNORECASE)
+
+
+@cache
+def listed(name: str) -> dict[str, str]:
+    """The identifiers of a list of SPDX (``spdx``, ``exceptions``) by their lowered form."""
+    return {x.lower(): x for x in (_FOLDER / f"{name}.list").read_text().split()}
+
+
+@cache
+def known_texts() -> list[tuple[str, str]]:
+    """``KNOWN``, the full texts of the folder with and without what follows their terms, the BSD texts in their usual forms, and one-line notices by name."""
+    out = list(KNOWN)
+    for f in sorted(_FOLDER.glob("*.txt")):
+        name, text = f.name.removesuffix(".txt").removesuffix(".regents"), f.read_text()
+        out.append((name, text))
+        if " WITH " not in name:
+            for mark in ("END OF TERMS AND CONDITIONS", "ADDENDUM: How to use this License"):
+                if mark in text:
+                    terms = text[: text.index(mark)]
+                    out += [(name, terms), (name, terms + mark)] if mark.startswith("END") else [(name, terms)]
+    bsd = (_FOLDER / "BSD-3-Clause.txt").read_text().split("\n", 1)[1]
+    third = bsd[bsd.index("3. Neither") : bsd.index("THIS SOFTWARE IS")]
+    forms = product((True, False), (True, False), (("HOLDERS", "HOLDER"), ("HOLDERS", "OWNER"), ("HOLDERS", "HOLDERS"), ("HOLDER", "HOLDER")), ("", "All rights reserved.\n"), ("", "BSD {}-Clause License\n", "The {}-Clause BSD License\n", "The BSD {}-Clause License\n"))
+    for full, numbered, (by, event), rights, title in forms:
+        text = bsd if full else bsd.replace(third, "")
+        text = text if numbered else re.sub(r"(?m)^\d\. ", "* ", text)
+        text = re.sub(r"COPYRIGHT(\s+)HOLDERS", rf"COPYRIGHT\1{by}", text, count=1)
+        text = re.sub(r"(IN NO EVENT SHALL THE COPYRIGHT\s+)HOLDER\b", rf"\g<1>{event}", text)
+        out.append((f"BSD-{2 + full}-Clause", title.format(2 + full) + rights + text))
+    out += [("MIT", title + rights + _MIT) for title, rights in product(("", "MIT License\n", "The MIT License\n", "The MIT License (MIT)\n"), ("", "All rights reserved.\n"))]
+    named = {
+        "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"], "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License"], "ISC": ["ISC License"], "Unlicense": ["Unlicense"],
+        "MIT": ["MIT License"], "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"], "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0"],
+        "CC0-1.0": ["CC0 1.0"], "GPL-2.0": ["GNU General Public License, version 2"], "GPL-3.0": ["GNU General Public License, version 3"], "LGPL-2.1": ["GNU Lesser General Public License, version 2.1"],
+        "LGPL-3.0": ["GNU Lesser General Public License, version 3"], "AGPL-3.0": ["GNU Affero General Public License, version 3"],
+    } | {f"CC-{k}-{v}": [f"CC {k} {v}"] for k, v in product(("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"), ("2.0", "2.5", "3.0", "4.0"))}
+    return out + [(k, f"{how} {the}{name}.") for k, names in named.items() for name in names for how in ("Released under", "Licensed under", "This work is licensed under") for the in ("", "the ")]
+
+
 def canonical(text: str) -> str:
     """The canonical form: see the module's head."""
     lines = text.splitlines()
-    kept = [x for x in lines if not x.lstrip(" \t#/*;-").lower().startswith(("copyright", "(c)", "©"))] if "opyright" in text or "OPYRIGHT" in text or "(c)" in text.lower() or "©" in text else lines
+    kept = [x for x in lines if not _HELD.match(x.lstrip(" \t#/*;-"))] if "opyright" in text or "OPYRIGHT" in text or "(c)" in text.lower() or "©" in text or "&copy;" in text else lines
     words = "\n".join(kept).encode("utf-8", "replace").translate(_MARKS).decode("utf-8", "replace").split()
     return " ".join(EQUIVALENT.get(w, w) for w in words)
 
 
+def identifiers(expression: str, ids: dict[str, str], exceptions: dict[str, str]) -> list[str]:
+    """The known identifiers of an SPDX expression, each with its "+" or its exception; what is not listed is left out."""
+    out = []
+    for part in re.split(r"[()]|(?<!\S)(?:AND|OR)(?!\S)", expression, flags=re.IGNORECASE):
+        words = part.split()
+        if not words:
+            continue
+        name = words[0].lower().rstrip(".")
+        own = ids.get(name) or (ids[name[:-1]] + "+" if name.endswith("+") and name[:-1] in ids else None)
+        if own and len(words) > 2 and words[1].lower() == "with" and (beyond := exceptions.get(words[2].lower().rstrip("."))):
+            own += f" WITH {beyond}"
+        out += [own] if own else []
+    return out
+
+
 def digest(text: str | None) -> str | None:
     form = canonical(text) if text else ""
     return hashlib.sha256(form.encode("utf-8", "replace")).hexdigest() if form else None
 
 
-def digests(text: Column) -> Column:
-    """Struct (whole, lines) of a text column: the digest of the text, and of each line, in order."""
+def findings(text: Column, names: dict[str, str]) -> Column:
+    """Struct (whole, spdx, notices) of a text column: the digest of the text, its licence if it is one SPDX line of one identifier, and the licences of its lines. ``names`` has licences by digest."""
+    ids, exceptions = listed("spdx"), listed("exceptions")
+
+    def one(text: str | None) -> tuple[str | None, str | None, list[str]]:
+        if not isinstance(text, str):
+            return None, None, []
+        lines = text.split("\n")
+        told = {i: identifiers(m[1], ids, exceptions) for i, x in enumerate(lines) if (m := _SPDX.search(x))} if "icense-" in text or "ICENSE-" in text else {}
+        found = {k for own in told.values() for k in own} | {names[d] for i, x in enumerate(lines) if i not in told and (d := digest(x)) in names}
+        alone = told and sum(bool(x.strip()) for x in lines) == 1 and len(own := next(iter(told.values()))) == 1
+        return digest(text), own[0] if alone else None, sorted(found)
 
-    @F.pandas_udf("whole string, lines array<string>")
+    @F.pandas_udf("whole string, spdx string, notices array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            rows = [(digest(t), [d for x in t.split("\n") if (d := digest(x))]) if isinstance(t, str) else (None, []) for t in texts]
-            yield pd.DataFrame(rows, columns=["whole", "lines"])
+            yield pd.DataFrame([one(t) for t in texts], columns=["whole", "spdx", "notices"])
 
     return run(text)
 
 
-def known(spark: SparkSession, texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def by_digest(texts: list[tuple[str, str]] | None = None) -> dict[str, str]:
+    return {d: name for name, t in (known_texts() if texts is None else texts) if (d := digest(t))}
+
+
+def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(license, digest) of each known text."""
-    rows = sorted({d: name for name, t in texts if (d := digest(t))}.items())
-    return spark.createDataFrame([(name, d) for d, name in rows], "license string, digest string")
+    return spark.createDataFrame([(name, d) for d, name in sorted(by_digest(texts).items())], "license string, digest string")
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(doc_id, digest, license, notices) of every row: the licence whose text the row is, if any, and the licences of its lines, each once, in order of name."""
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(doc_id, digest, license, notices) of every row: the licence whose text the row is, if any, and the licences of its lines, each once, in order of name. ``texts`` are ``known_texts()`` unless given."""
     table_ = known(docs.sparkSession, texts)
-    names = F.create_map(*[F.lit(x) for r in table_.collect() for x in (r.digest, r.license)])
-    own = docs.select(F.col(doc_id).alias("doc_id"), digests(F.col(text)).alias("_d"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), findings(F.col(text), by_digest(texts)).alias("_d"))
     found = own.join(F.broadcast(table_.withColumnRenamed("digest", "_digest")), F.col("_d.whole") == F.col("_digest"), "left")
-    notices = F.array_sort(F.array_distinct(F.filter(F.transform("_d.lines", lambda x: F.try_element_at(names, x)), lambda x: x.isNotNull())))
-    return found.select("doc_id", F.col("_d.whole").alias("digest"), "license", notices.alias("notices"))
+    return found.select("doc_id", F.col("_d.whole").alias("digest"), F.coalesce("_d.spdx", "license").alias("license"), F.col("_d.notices").alias("notices"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
