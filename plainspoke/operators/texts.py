@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .folds import folded
 
 
 def scope_ratio(texts: DataFrame, objective: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,19 +48,13 @@ def entrenched_claims(turns: DataFrame, above: float = 0.6, role: str = "assista
 
 def relay_numbers(turns: DataFrame, most: int = 3000) -> DataFrame:
     """(conv_id, turn, relay, chars): characters since the last reset; reaching ``most`` ends a relay, the next turn starts another. Each thread's turns are folded in order."""
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("turn")
-        relay, chars, out = 1, 0, []
-        for n in rows["n"].tolist():
-            chars += n
-            out.append((relay, chars))
-            if chars >= most:
-                relay, chars = relay + 1, 0
-        return pd.DataFrame({"conv_id": rows["conv_id"], "turn": rows["turn"], "relay": [r for r, _ in out], "chars": [c for _, c in out]})
-
-    return turns.select("conv_id", "turn", F.coalesce(F.length("text"), F.lit(0)).alias("n")).groupBy("conv_id").applyInPandas(fold, "conv_id long, turn long, relay int, chars long")
+
+    def step(state: tuple[int, int], n: int) -> tuple[tuple[int, int], tuple]:
+        relay, chars = state[0], state[1] + n
+        return (relay + 1, 0) if chars >= most else (relay, chars), (relay, chars)
+
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    return folded(rows, "conv_id", ["turn", "n"], "n", (1, 0), step, ["conv_id", "turn"], {"relay": "int", "chars": "long"})
 
 
 def redacted_cards(texts: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 
 def between(df: DataFrame, since: str, until: str, ts: str = "ts") -> DataFrame:
     """Half-open range, pushed to the scan."""
@@ -115,20 +117,15 @@ def low_balance_crossings(ledger: DataFrame, at_most: int = 100) -> DataFrame:
 
 
 def accepted_charges(ledger: DataFrame) -> DataFrame:
-    """(id, user_id, cents, accepted, balance): a charge beyond the balance is rejected. Order decides, so each user's rows are folded in order."""
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "id"])
-        balance, ok, after = 0, [], []
-        for c in rows["cents"].tolist():
-            take = balance + c >= 0
-            balance += c if take else 0
-            ok.append(take)
-            after.append(balance)
-        return pd.DataFrame({"id": rows["id"], "user_id": rows["user_id"], "cents": rows["cents"], "accepted": ok, "balance": after})
-
-    return ledger.select("id", "user_id", "ts", "cents").groupBy("user_id").applyInPandas(fold, "id long, user_id long, cents long, accepted boolean, balance long")
+    """(id, user_id, cents, accepted, balance): a charge beyond the balance is rejected. Order decides, so each user's rows are folded in order of ts and id."""
+
+    def step(balance: int, cents: int | None) -> tuple[int, tuple]:
+        take = cents is not None and balance + cents >= 0
+        after = balance + cents if take else balance
+        return after, (take, after)
+
+    rows = ledger.select("id", "user_id", "ts", F.col("cents").cast("long").alias("cents"))
+    return folded(rows, "user_id", ["ts", "id"], "cents", 0, step, ["id", "user_id", "cents"], {"accepted": "boolean", "balance": "long"})
 
 
 def spend_alerts(ledger: DataFrame, threshold: int) -> DataFrame:
