@@ -5,7 +5,9 @@ returns a DataFrame; all but the last keep the columns of ``documents``. Results
 go from stage to stage as Parquet.
 
 - language: documents without a recognisable language (no letters, or no language
-  with a pooled probability of ``LEAST``) go.
+  with a pooled probability of ``LEAST``) go. One language must have half of it,
+  however many there are: all clean documents of sf0.1 score above, the held-out
+  ones 0.567 at least.
 - quality: documents that the weak labels and the scorer together grade as bad go.
 - near_duplicates: of each group of documents linked by a similarity of five-word
   shingles of 0.8 or more, the one with the smallest id stays. Repeated rows are
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from plainspoke.llm import language_id, minhash_dedup, packing, pii, quality
 from plainspoke.llm.common import table, written
 
-LEAST, SIMILAR = 0.3, 0.8
+LEAST, SIMILAR = 0.5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
