@@ -14,7 +14,7 @@ from .registry import query as _query
 from .sources import html
 
 def queries() -> dict[str, Query]:
-    from . import cases_more, cases_signals, cases_texts  # noqa: F401  they register their queries
+    from . import cases_corporate, cases_decisions, cases_lenses, cases_more, cases_questions, cases_signals, cases_texts  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 

@@ -161,3 +161,57 @@ def banded(value: Column, cuts: list[tuple[float, str]], last: str) -> Column:
     for cut, name in cuts:
         out = out.when(value < cut, name)
     return out.otherwise(last)
+
+
+def content_words(t: Column, stopwords: list[str], at_least: int = 4) -> Column:
+    """Distinct lowered words between white space that are long enough and not stopwords."""
+    return F.array_distinct(F.filter(words(F.lower(t)), lambda w: (F.length(w) >= at_least) & ~w.isin(stopwords)))
+
+
+def matches(t: Column, pattern: str) -> Column:
+    """All matches of a pattern, in order."""
+    return F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1))
+
+
+def first_match(t: Column, pattern: str) -> Column:
+    """The first match of a pattern, null without one."""
+    return F.regexp_substr(t, F.lit(pattern))
+
+
+#: Characters of no width, and dashes and spaces that have a plain form.
+NO_WIDTH, DASHES, SPACES = "​‌‍⁠﻿", "‐‑‒–—―−", "   "
+
+
+def plain_unicode(t: Column) -> Column:
+    """NFKC, without characters of no width, with plain spaces and dashes. Spark has no normal forms, so Arrow batches are normalised; texts of ASCII pass as they are."""
+    import unicodedata
+
+    table = {ord(c): None for c in NO_WIDTH} | {ord(c): "-" for c in DASHES} | {ord(c): " " for c in SPACES}
+
+    @F.pandas_udf("string")
+    def normal(texts):  # noqa: ANN001, ANN202  a Series
+        return texts.map(lambda x: unicodedata.normalize("NFKC", x.translate(table)) if isinstance(x, str) else None)
+
+    return F.when(F.rlike(t, F.lit(r"^\p{ASCII}*\z")), t).otherwise(normal(t))
+
+
+def markup(cost: Column) -> Column:
+    """15 parts in a hundred of a decimal cost, 6 digits."""
+    return F.round(cost * F.expr("0.15BD"), 6).cast("decimal(18,6)")
+
+
+def squash(x: Column) -> Column:
+    return F.tanh(x / 200)
+
+
+def length_spread(t: Column) -> Column:
+    """Population standard deviation of the words a sentence has; 0 without sentences."""
+    n = F.transform(sentences(t), lambda s: word_count(s).cast("double"))
+    mean = F.aggregate(n, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(n), F.lit(1))
+    return F.sqrt(F.aggregate(n, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.greatest(F.size(n), F.lit(1)))
+
+
+def page_kind(url: Column, text: Column, kinds: dict[str, list[str]]) -> Column:
+    """The kind with the best match, 3 for a word in the text and 2 for one in the URL; the first declared on ties, other without any."""
+    own = F.array_max(F.array(*(F.struct((has_any(text, w).cast("int") * 3 + has_any(url, w).cast("int") * 2).alias("s"), F.lit(-i).alias("o"), F.lit(k).alias("kind")) for i, (k, w) in enumerate(kinds.items()))))
+    return F.when(own["s"] > 0, own["kind"]).otherwise("other")

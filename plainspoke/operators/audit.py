@@ -140,20 +140,25 @@ def keep_on_objective(texts: DataFrame, objective: list[str], id: str = "doc_id"
     return base.select(id, F.array_join(out, " ").alias("text_out"), F.size("k").alias("kept"))
 
 
-def near_dedupe_sentences(texts: DataFrame, id: str = "doc_id", text: str = "text", above: float = 0.7) -> DataFrame:
-    """(id, text_out, removed): sentences whose words of more than 3 letters overlap a kept sentence's by more than ``above`` of the larger set dropped, in order."""
-    own = T.sentences(F.coalesce(F.col(text), F.lit("")))
-    sets = F.transform(own, lambda s: F.struct(s.alias("s"), F.array_distinct(F.filter(T.words(F.lower(s)), lambda w: F.length(w) > 3)).alias("w")))
-    kept = F.aggregate("x", F.expr("cast(array() as array<struct<s:string,w:array<string>>>)"), lambda k, x: F.when(F.exists(k, lambda y: (F.size(x["w"]) > 0) & (F.size(F.array_intersect(x["w"], y["w"])) > above * F.greatest(F.size(x["w"]), F.size(y["w"])))), k).otherwise(F.concat(k, F.array(x))))
-    base = texts.select(F.col(id), sets.alias("x")).select(id, F.size("x").alias("n"), kept.alias("k"))
-    return base.select(id, F.array_join(F.transform("k", lambda y: y["s"]), " ").alias("text_out"), (F.col("n") - F.size("k")).alias("removed"))
+def dropped_near(sentences: Column, above: int = 70) -> Column:
+    """The sentences without those whose words of more than 3 letters overlap a kept one's by more than ``above`` hundredths of the larger set, in order. Each is held against all kept ones, as the rule says; arrays of references are copied, not texts."""
+    sets = F.transform(sentences, lambda s: F.struct(s.alias("s"), F.array_distinct(F.filter(T.words(F.lower(s)), lambda w: F.length(w) > 3)).alias("w")))
+    near = lambda x, y: F.size(F.array_intersect(x["w"], y["w"])) * 100 > above * F.greatest(F.size(x["w"]), F.size(y["w"]))
+    kept = F.aggregate(sets, F.expr("cast(array() as array<struct<s:string,w:array<string>>>)"), lambda k, x: F.when((F.size(x["w"]) > 0) & F.exists(k, lambda y: near(x, y)), k).otherwise(F.array_append(k, x)))
+    return F.transform(kept, lambda y: y["s"])
+
+
+def near_dedupe_sentences(texts: DataFrame, id: str = "doc_id", text: str = "text", above: int = 70) -> DataFrame:
+    """(id, text_out, removed): sentences whose words of more than 3 letters overlap a kept sentence's by more than ``above`` hundredths of the larger set dropped, in order."""
+    own = texts.select(F.col(id), T.sentences(F.coalesce(F.col(text), F.lit(""))).alias("s")).withColumn("k", dropped_near(F.col("s"), above))
+    return own.select(id, F.array_join("k", " ").alias("text_out"), (F.size("s") - F.size("k")).alias("removed"))
 
 
 def strip_phrases(texts: DataFrame, phrases: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_out, removed): phrases taken out one after the other, whole words only; later ones see what earlier ones left."""
-    t, removed = F.coalesce(F.col(text), F.lit("")), F.lit(0)
-    out = texts.select(F.col(id), t.alias("t"), removed.alias("removed"))
+    """(id, text_out, removed): phrases taken out one after the other, whole words only; later ones see what earlier ones left. Neighbours share a border, so each is looked for twice."""
+    out = texts.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("t"), F.lit(0).alias("removed"))
     for p in phrases:
-        rule = rf"(?i)\b{p}\b"
-        out = out.select(id, F.regexp_replace("t", rule, "").alias("t"), (F.col("removed") + F.regexp_count("t", F.lit(rule))).alias("removed"))
+        rule = F.lit(rf"(?i)(^|[^\p{{L}}\p{{N}}_])(?:{p})($|[^\p{{L}}\p{{N}}_])")
+        for _ in range(2):
+            out = out.select(id, F.regexp_replace("t", rule, F.lit("$1$2")).alias("t"), (F.col("removed") + F.regexp_count("t", rule)).alias("removed"))
     return out.select(id, T.squeezed(F.col("t")).alias("text_out"), "removed")

@@ -146,3 +146,12 @@ def _span(x: Column) -> Column:
 def explicit_questions(texts: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "?") -> DataFrame:
     """(id, at, question): sentences that end with the mark."""
     return texts.select(F.col(id), F.posexplode(T.sentences(F.coalesce(F.col(text), F.lit("")))).alias("at", "question")).where(F.col("question").endswith(mark))
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n) of each table."""
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()]
+    out = counts[0]
+    for df in counts[1:]:
+        out = out.unionByName(df)
+    return out

@@ -149,3 +149,48 @@ def as_of(facts: DataFrame, history: DataFrame, key: str, ts: str, since: str, v
     b = history.select(key, F.col(since).alias("_t"), F.lit(0).alias("_side"), F.col(value).alias("_v"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
     w = W.partitionBy(key).orderBy("_t", "_side", "_v").rowsBetween(W.unboundedPreceding, 0)
     return a.unionByName(b).withColumn("as_of", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select("_row.*", F.col("as_of").alias(value))
+
+
+def since(df: DataFrame, as_of: str, days: int, ts: str = "ts") -> DataFrame:
+    """Rows of the ``days`` before ``as_of`` and later."""
+    return df.where(F.col(ts) >= F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp_ntz"))
+
+
+def without_prefixes(df: DataFrame, column: str, prefixes: list[str]) -> DataFrame:
+    """Rows whose column starts with none of the prefixes; null is kept."""
+    skipped = F.lit(False)
+    for p in prefixes:
+        skipped = skipped | F.startswith(column, F.lit(p))
+    return df.where(~F.coalesce(skipped, F.lit(False)))
+
+
+def client_ip(forwarded: Column) -> Column:
+    """The first address of a forwarding header."""
+    return F.trim(F.split_part(forwarded, F.lit(","), F.lit(1)))
+
+
+def filled(column: Column) -> Column:
+    """Whether a text is neither null nor blank."""
+    return F.coalesce(F.trim(column) != "", F.lit(False))
+
+
+def lookup(df: DataFrame, equal: dict[str, object], order: list[Column], most: int) -> DataFrame:
+    """The first rows in order of those whose columns have these values."""
+    for column, value in equal.items():
+        df = df.where(F.col(column) == value)
+    return df.orderBy(*order).limit(most)
+
+
+def monthly_meters(events: DataFrame, org: str, meter: str, quantity: str, ts: str = "ts") -> DataFrame:
+    """(org, period, id, quantity, since, until): a meter's rounded sum a month, named org:meter:period, with the month's half-open bounds."""
+    month = F.date_trunc("month", F.col(ts))
+    got = events.groupBy(F.col(org).alias("org"), month.alias("_m")).agg(F.sum(F.round(quantity).cast("long")).alias("quantity"))
+    period = F.date_format("_m", "yyyy-MM")
+    return got.select("org", period.alias("period"), F.concat_ws(":", "org", F.lit(meter), period).alias("id"), "quantity", F.col("_m").cast("timestamp_ntz").alias("since"), F.add_months(F.to_date("_m"), 1).cast("timestamp_ntz").alias("until"))
+
+
+def vitals(views: DataFrame, page: str, value: str) -> DataFrame:
+    """Samples, mean and least in hundredths, and the exact lower median and third quartile of a measure for each page."""
+    cents = F.round(F.col(value) * 100).cast("long")
+    quantile = lambda q: F.expr(f"percentile_disc({q}) within group (order by `{value}`)")
+    return views.groupBy(page).agg(F.count("*").alias("n"), F.floor(F.sum(cents) / F.count(cents)).cast("long").alias("mean"), F.min(cents).alias("least"), quantile(0.5).alias("p50"), quantile(0.75).alias("p75"))
