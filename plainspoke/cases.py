@@ -14,7 +14,7 @@ from .registry import query as _query
 from .sources import html
 
 def queries() -> dict[str, Query]:
-    from . import cases_corporate, cases_decisions, cases_lenses, cases_more, cases_questions, cases_signals, cases_texts  # noqa: F401  they register their queries
+    from . import cases_cleaning, cases_corporate, cases_decisions, cases_lenses, cases_more, cases_questions, cases_signals, cases_texts  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 
@@ -145,14 +145,8 @@ def d19_friction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.match_weights(_docs(spark, sf_dir), _FRICTION)
 
 
-@_query("SELECT doc_id, unnest(list_filter(list_distinct(regexp_extract_all(coalesce(text, ''), '\\b[A-Z]{2,6}\\b')), lambda x: NOT contains(text, '(' || x || ')'))) AS acronym FROM (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '^[ -~\\n]*$'))")
-def d22_undefined_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.undefined_acronyms(_docs(spark, sf_dir).where(F.rlike("text", F.lit(r"^[ -~\n]*\z"))))
-
-
 @_query("SELECT doc_id, unnest(list_filter(list_distinct(regexp_split_to_array(coalesce(text, ''), '[^\\p{L}\\p{M}\\p{N}_]+')), lambda x: regexp_full_match(x, '[A-Z]{2,6}') AND NOT contains(text, '(' || x || ')'))) AS acronym FROM documents")
-def d22_acronyms_in_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job of D22: all documents. d22_undefined_acronyms leaves out those with other than printable ASCII, as its SQL does."""
+def d22_undefined_acronyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.undefined_acronyms(_docs(spark, sf_dir))
 
 
@@ -171,6 +165,21 @@ def x3_dedupe_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GOAL = ["only", "there", "was", "nur"]
+_STRIPPED = ["only the", "there", "was", "the"]
+_EDGE = "[^\\p{L}\\p{N}_]"
+
+
+def _without(t: str, phrase: str) -> str:
+    return f"regexp_replace({t}, '(?i)(^|{_EDGE})(?:{phrase})($|{_EDGE})', '\\1\\2', 'g')"
+
+
+_WORD = "list_distinct(list_filter(regexp_split_to_array(trim(lower({x})), '\\s+'), lambda w: length(w) > 3))"
+
+
+def _kept(s: str) -> str:
+    """Sentences that are not nearly one kept before, as a fold over lists of one."""
+    near = "len(list_intersect(x[1].w, y.w)) * 100 > 70 * greatest(len(x[1].w), len(y.w))"
+    return f"CASE WHEN len({s}) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_transform(list_reduce(list_transform({s}, lambda x: [struct_pack(s := x, w := {_WORD.format(x='x')})]), lambda k, x: CASE WHEN len(x[1].w) > 0 AND len(list_filter(k, lambda y: {near})) > 0 THEN k ELSE list_concat(k, x) END), lambda y: y.s) END"
 
 
 @_query(f"SELECT doc_id, array_to_string(CASE WHEN len(k) > 0 THEN k ELSE s END, ' ') AS text_out, CAST(len(k) AS INTEGER) AS kept FROM (SELECT doc_id, s, list_filter(s, lambda x: list_has_any(regexp_split_to_array(trim(lower(x)), '\\s+'), {_list(_GOAL)})) AS k FROM (SELECT doc_id, {_S} AS s FROM documents))")
@@ -178,14 +187,14 @@ def x5_objective_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.keep_on_objective(_docs(spark, sf_dir), _GOAL)
 
 
-@_query()
+@_query(f"SELECT doc_id, array_to_string(k, ' ') AS text_out, CAST(len(s) - len(k) AS INTEGER) AS removed FROM (SELECT doc_id, s, {_kept('s')} AS k FROM (SELECT doc_id, {_S} AS s FROM documents))")
 def x4_near_dedupe_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.near_dedupe_sentences(_docs(spark, sf_dir))
 
 
-@_query()
+@_query("WITH b AS (SELECT doc_id, coalesce(text, '') AS t, 0 AS n FROM documents), " + ", ".join(f"s{i} AS (SELECT doc_id, {_without('t', p)} AS t, n + len(regexp_extract_all(t, '(?i)(^|{_EDGE})(?:{p})($|{_EDGE})')) AS n FROM {'b' if i == 0 else f's{i - 1}'})" for i, p in enumerate(p for p in _STRIPPED for _ in range(2))) + f" SELECT doc_id, {_SQUEEZED.format(t='t')} AS text_out, CAST(n AS INTEGER) AS removed FROM s{2 * len(_STRIPPED) - 1}")
 def x1_strip_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.strip_phrases(_docs(spark, sf_dir), ["only the", "there", "was", "the"])
+    return audit.strip_phrases(_docs(spark, sf_dir), _STRIPPED)
 
 
 @_query(f"SELECT doc_id, CAST(len(k) AS INTEGER) AS n_tokens, CAST({_WORDS.format(t='t')} AS INTEGER) AS n_words, CAST(len({_SENTENCES.format(t='t')}) AS INTEGER) AS n_sentences, CAST(len(list_distinct(k)) AS INTEGER) AS n_distinct, CAST((length(t) - length(replace(t, 'th', ''))) // 2 AS INTEGER) AS n_th, sha256(t) AS sha, md5(t) AS checksum, {_SQUEEZED.format(t='t')} AS squeezed FROM (SELECT doc_id, coalesce(text, '') AS t, {_TOKENS.format(t='text')} AS k FROM documents)")
@@ -381,10 +390,10 @@ def u1_line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.line_changes(L.company_pages(spark, sf_dir))
 
 
-@_query("SELECT coalesce(u.doc_id, t.doc_id) AS doc_id, coalesce(u.score, t.score) AS score, CASE WHEN u.score IS NULL OR u.score IS NOT DISTINCT FROM t.score THEN coalesce(t.changed, u.changed) ELSE u.changed END AS changed FROM (SELECT doc_id, quality AS score, 1 AS changed FROM labels) t FULL JOIN (SELECT doc_id, toxic AS score, 2 AS changed FROM labels WHERE doc_id % 3 = 0) u ON t.doc_id = u.doc_id")
+@_query("SELECT coalesce(u.doc_id, t.doc_id) AS doc_id, coalesce(u.score, t.score) AS score, CASE WHEN u.score IS NULL OR u.score IS NOT DISTINCT FROM t.score THEN coalesce(t.changed, u.changed) ELSE u.changed END AS changed FROM (SELECT doc_id, quality AS score, 1 AS changed FROM labels) t FULL JOIN (SELECT doc_id, toxic AS score, 2 AS changed FROM labels WHERE quality = 0 OR toxic = 1) u ON t.doc_id = u.doc_id")
 def u6_upsert_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = L.table(spark, sf_dir, "labels")
-    return tables.upsert_keep(lab.select("doc_id", F.col("quality").alias("score"), F.lit(1).alias("changed")), lab.where("doc_id % 3 = 0").select("doc_id", F.col("toxic").alias("score"), F.lit(2).alias("changed")), "doc_id", "score", "changed")
+    return tables.upsert_keep(lab.select("doc_id", F.col("quality").alias("score"), F.lit(1).alias("changed")), lab.where("quality = 0 or toxic = 1").select("doc_id", F.col("toxic").alias("score"), F.lit(2).alias("changed")), "doc_id", "score", "changed")
 
 
 @_query("SELECT doc_id, quality FROM labels UNION ALL SELECT doc_id, 0 AS quality FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -392,6 +401,12 @@ def u8_insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.insert_new(L.table(spark, sf_dir, "labels").select("doc_id", "quality"), _docs(spark, sf_dir).select("doc_id", F.lit(0).alias("quality")), "doc_id")
 
 
+#: Prompts with answers, their tokens, similarity and lengths, in SQL.
+_PAIRS = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS i FROM conversations WHERE role IN ('user', 'assistant')),
+k AS (SELECT u.conv_id, CAST(u.i AS INTEGER) AS i, u.text AS prompt, regexp_extract_all(lower(u.text), '[a-z0-9'']+') AS p, regexp_extract_all(lower(a.text), '[a-z0-9'']+') AS a FROM r u JOIN r a ON u.conv_id = a.conv_id AND u.i = a.i AND u.role = 'user' AND a.role = 'assistant'),
+j AS (SELECT *, len(list_intersect(p, a)) AS shared, len(list_distinct(list_concat(p, a))) AS either FROM k),
+s AS (SELECT *, CASE WHEN either = 0 THEN 1.0 ELSE round(shared / either, 3) END AS alike FROM j),
+m AS (SELECT *, round(1 - alike, 3) AS drift, CASE WHEN len(p) = 0 THEN 0.0 ELSE round(shared / len(list_distinct(p)), 4) END AS mirror, len(a) - len(p) AS longer FROM s) """
 _CHARS = "sum(coalesce(length(text), 0)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)"
 
 
@@ -410,7 +425,7 @@ def j16_prompt_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pairs(L.turns(spark, sf_dir))
 
 
-@_query()
+@_query(_PAIRS + "SELECT conv_id, i, drift, mirror, CAST(longer AS INTEGER) AS longer, coalesce(lag(longer) OVER (PARTITION BY conv_id ORDER BY i) * longer < 0, false) AS flip FROM m")
 def w9_pair_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.pair_metrics(L.turns(spark, sf_dir))
 
@@ -431,19 +446,33 @@ def w15_stagnant_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = L.table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").alias("key"), (F.col("item_id") % 4).cast("int").alias("topic"), (F.col("item_id") % 5).cast("int").alias("priority"), (F.col("item_id") % 37).cast("int").alias("age"))
+    """Orders as stored artifacts: the status is the topic, the order priority the tier."""
+    o = L.table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("topic"), (F.substring("o_orderpriority", 1, 1).cast("int") - 1).alias("priority"), F.col("o_orderdate").alias("updated"))
 
 
+_ARTIFACTS = "a AS (SELECT o_orderkey AS key, o_orderstatus AS topic, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) - 1 AS priority, o_orderdate AS updated FROM orders)"
 _WEIGHTS = {0: 100, 1: 60, 2: 30, 3: 10}
+_BEST = "CAST(CASE priority WHEN 0 THEN 100 WHEN 1 THEN 60 WHEN 2 THEN 30 WHEN 3 THEN 10 ELSE 0 END * 100 + floor(2000 * greatest(0, 30 - greatest(0, date_diff('day', CAST(updated AS DATE), DATE '{d}'))) / 30 + 0.5) AS INTEGER)"
 
 
-@_query("SELECT item_id AS key, CAST(CASE item_id % 5 WHEN 0 THEN 100 WHEN 1 THEN 60 WHEN 2 THEN 30 WHEN 3 THEN 10 ELSE 0 END + greatest(0, 20 - item_id % 37) AS INTEGER) AS score FROM benchmark WHERE item_id % 4 = 1 ORDER BY score DESC, key LIMIT 5")
+_FOUND = f"""WITH {_ARTIFACTS}, t AS (SELECT * FROM a WHERE topic = '{{t}}' AND key <> 1 ORDER BY priority, updated DESC, key LIMIT 12), g AS (SELECT * FROM a WHERE topic <> '{{t}}' AND key <> 1 AND (SELECT count(*) FROM t) < 2 ORDER BY priority, updated DESC, key LIMIT 6),
+s AS (SELECT key, {_BEST.format(d='1998-08-03')} AS score FROM (SELECT * FROM t UNION ALL SELECT * FROM g) ORDER BY score DESC, key LIMIT 6)
+SELECT key, CAST(NULL AS INTEGER) AS score, true AS anchor FROM a WHERE key = 1 UNION ALL SELECT key, score, false FROM s"""
+
+
+@_query(_FOUND.format(t="O"))
 def o6_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.retrieve(_artifacts(spark, sf_dir), 1, 5, _WEIGHTS)
+    return tables.retrieve(_artifacts(spark, sf_dir), "O", 6, _WEIGHTS, "1998-08-03", 1)
+
+
+@_query(_FOUND.format(t="X"))
+def o6_retrieve_other_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A topic without artifacts of its own: others fill in."""
+    return tables.retrieve(_artifacts(spark, sf_dir), "X", 6, _WEIGHTS, "1998-08-03", 1)
 
 
-@_query("SELECT item_id AS key, CAST(item_id % 5 AS INTEGER) AS priority FROM benchmark QUALIFY item_id % 5 = 0 OR row_number() OVER (PARTITION BY item_id % 5 ORDER BY item_id) <= 2")
+@_query(f"WITH {_ARTIFACTS} SELECT key, priority FROM a QUALIFY priority = 0 OR row_number() OVER (PARTITION BY priority ORDER BY key) <= 2")
 def o7_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.capped(_artifacts(spark, sf_dir), 2)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cases import _INTEGRITY, _M, _any, _cp, _docs, _lg, _pv
+from .cases import _INTEGRITY, _M, _PAIRS, _SENTENCES, _any, _cp, _docs, _lg, _pv
 from .functions import text as T
 from .operators import audit, reports, tables, traffic
 from .plans import logical as L
@@ -39,15 +39,9 @@ def a17_meters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("meter"), F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum(F.round("value").cast("long")).alias("quantity"))
 
 
-@query(_cp("SELECT entity, string_agg(substr(raw_text, 1, 12), '|' ORDER BY page, id) AS text, count(*) AS pages FROM cp WHERE page < 2 GROUP BY entity"))
-def a19_entity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = L.company_pages(spark, sf_dir).where("page < 2")
-    return own.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "id", F.substring("raw_text", 1, 12).alias("t")))), lambda x: x["t"]), "|").alias("text"), F.count("*").alias("pages"))
-
-
 @query(_cp("SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY page NULLS FIRST, id NULLS FIRST, raw_text NULLS FIRST) AS place, page, id, coalesce(CAST(page AS VARCHAR), '') || chr(10) || raw_text AS text, count(*) OVER (PARTITION BY entity) AS pages, CAST(sum(coalesce(length(raw_text), 0)) OVER (PARTITION BY entity) AS BIGINT) AS total_chars FROM cp"))
-def a19_entity_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job of A19: all pages of all types with their whole texts. a19_entity_text keeps the first 12 characters of two types, as its SQL does."""
+def a19_entity_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages of all types with their whole texts, in numbered pieces, so that no entity's text is in one row."""
     return tables.entity_pieces(L.company_pages(spark, sf_dir))
 
 
@@ -73,12 +67,6 @@ def a35_tenant_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("tenant", F.col("w.start").alias("minute"), "requests", "errors")
 
 
-@query("SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'documents', count(*) FROM documents")
-def a39_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = lambda name: L.table(spark, sf_dir, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-    return one("events").unionByName(one("pages")).unionByName(one("documents"))
-
-
 @query(_pv("SELECT ip, count(*) AS used, max(ts) AS last_used FROM pv GROUP BY ip"))
 def a41_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.page_views(spark, sf_dir).groupBy("ip").agg(F.count("*").alias("used"), F.max("ts").alias("last_used"))
@@ -175,16 +163,17 @@ def j19_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.resolved(L.table(spark, sf_dir, "events").select("event_id", "event_type"), "event_type", s)
 
 
-@query("WITH d AS (SELECT text, doc_id % 2 AS half FROM documents), a AS (SELECT text, count(*) AS f FROM d WHERE half = 0 GROUP BY 1), b AS (SELECT text, count(*) AS f FROM d WHERE half = 1 GROUP BY 1) SELECT md5(text) AS pointer, CAST(sum(f) AS BIGINT) AS frequency, text AS original FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY text")
+@query("WITH a AS (SELECT text, count(*) AS f FROM documents WHERE lang = 'en' GROUP BY 1), b AS (SELECT text, count(*) AS f FROM documents WHERE lang IS DISTINCT FROM 'en' GROUP BY 1) SELECT md5(text) AS pointer, CAST(sum(f) AS BIGINT) AS frequency, text AS original FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY text")
 def a31_dictionary_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = lambda half: _docs(spark, sf_dir).where(F.col("doc_id") % 2 == half).groupBy(F.md5("text").alias("pointer")).agg(F.count("*").alias("frequency"), F.min("text").alias("original"))
-    return reports.merged_counts(own(0), own(1), "pointer")
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    own = lambda test: _docs(spark, sf_dir).where(test).groupBy(F.md5("text").alias("pointer")).agg(F.count("*").alias("frequency"), F.min("text").alias("original"))
+    return reports.merged_counts(own(english), own(~english), "pointer")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN toxic + 10 ELSE quality END AS v FROM labels")
+@query("SELECT doc_id, CASE WHEN toxic = 1 THEN toxic + 10 ELSE quality END AS v FROM labels")
 def u9_last_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = L.table(spark, sf_dir, "labels")
-    return reports.last_write(lab.select("doc_id", F.col("quality").alias("v")), lab.where("doc_id % 4 = 0").select("doc_id", (F.col("toxic") + 10).alias("v")), "doc_id")
+    return reports.last_write(lab.select("doc_id", F.col("quality").alias("v")), lab.where("toxic = 1").select("doc_id", (F.col("toxic") + 10).alias("v")), "doc_id")
 
 
 @query("SELECT d.doc_id, CASE WHEN l.toxic = 1 THEN 'staged' ELSE 'written' END AS route, coalesce(l.quality, 0) + 1 AS version FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -236,7 +225,7 @@ def d51_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("doc_id", T.banded(s, [(50, "UNSTABLE"), (75, "PARTIAL"), (90, "STABLE")], "OPTIMAL").alias("structural"), T.banded(100 - s, [(30, "STABLE"), (60, "WATCH"), (80, "TENSION")], "CRITICAL").alias("risk"))
 
 
-@query()
+@query(_PAIRS + f", o AS (SELECT *, {_SENTENCES.format(t='prompt')} AS s FROM m) SELECT conv_id, i, substr(coalesce(s[1], ''), 1, 400) AS objective, CAST(floor(alike * 1000 + 0.5) AS BIGINT) AS similarity, CAST(floor((1 - alike) * 1000 + 0.5) AS BIGINT) AS drift FROM o")
 def d7_objective_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.objective(tables.pairs(L.turns(spark, sf_dir)))
 
@@ -284,7 +273,7 @@ def t3_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("ip", F.col("w.start").alias("started"), "hits")
 
 
-@query()
+@query("SELECT DISTINCT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'")
 def u12_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = L.table(spark, sf_dir, "events")
     return traffic.between(e.unionByName(e), "2024-01-01", "2024-02-01").dropDuplicates(["event_id"]).select("event_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .cases import _FRICTION, _INTEGRITY, _M, _TOKENS, _any, _count, _docs, _list, _pv
 from .cases_more import _scored
-from .operators import audit, signals, traffic
+from .operators import audit, signals, tables, traffic
 from .plans import logical as L
 from .registry import query
 
@@ -74,10 +74,10 @@ def p10_work_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).join(lab, "doc_id", "left").where("(quality is null or quality = 0) and length(text) >= 80").select("doc_id")
 
 
-@query("SELECT o_orderkey AS id, coalesce(c.n_name, n.n_name) AS owner, CASE WHEN c.n_name IS NOT NULL THEN 'key' WHEN n.n_name IS NOT NULL THEN 'fallback' END AS how FROM orders LEFT JOIN (SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0) c ON o_custkey = c.c_custkey LEFT JOIN nation n ON o_custkey % 30 = n.n_nationkey")
+@query("SELECT o_orderkey AS id, coalesce(c.n_name, n.n_name) AS owner, CASE WHEN c.n_name IS NOT NULL THEN 'key' WHEN n.n_name IS NOT NULL THEN 'fallback' END AS how FROM orders LEFT JOIN (SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) c ON o_custkey = c.c_custkey LEFT JOIN nation n ON o_custkey % 30 = n.n_nationkey")
 def j11_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = L.table(spark, sf_dir, "customer"), L.table(spark, sf_dir, "nation")
-    owners = c.where("c_custkey % 2 = 0").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("key"), F.col("n_name").alias("owner"))
+    owners = c.where("c_mktsegment in ('BUILDING', 'MACHINERY')").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("key"), F.col("n_name").alias("owner"))
     rows = L.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("key"), (F.col("o_custkey") % 30).alias("other"))
     return signals.resolved_owner(rows, owners, n.select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("owner")))
 
@@ -88,9 +88,9 @@ def a2_filtered_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pv.groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("path") == "/error").alias("errors"), F.count_if(F.col("path") == "/view").alias("views"), F.count_if(F.col("latency") > 100).alias("slow"))
 
 
-@query("SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN false ELSE true END AS is_current FROM documents")
+@query("SELECT doc_id, source, NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 0) AS is_current FROM documents d")
 def u10_soft_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", "source", F.when(F.col("doc_id") % 7 == 0, False).otherwise(True).alias("is_current"))
+    return tables.soft_deleted(_docs(spark, sf_dir).select("doc_id", "source"), L.table(spark, sf_dir, "labels").where("quality = 0"), "doc_id")
 
 
 @query(f"SELECT doc_id, {_any('lower(coalesce(text, ' + chr(39) * 2 + '))', _M['hedge'])} AS hedged, {_count('lower(coalesce(text, ' + chr(39) * 2 + '))', _M['constraint'])} >= 2 AS specific FROM documents")

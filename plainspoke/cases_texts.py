@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cases import _S, _TOKENS, _any, _count, _cp, _docs
+from .cases import _PAIRS, _S, _TOKENS, _any, _count, _cp, _docs
 from .operators import reports, tables, texts
 from .plans import logical as L
 from .registry import query
@@ -42,7 +42,7 @@ def w17_entrenched_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.entrenched_claims(L.turns(spark, sf_dir))
 
 
-@query()
+@query("WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(length(text), 0)) AS i FROM conversations), f AS (SELECT conv_id, turn, i, CAST(1 AS INTEGER) AS relay, CAST(n AS BIGINT) AS chars FROM t WHERE i = 1 UNION ALL SELECT t.conv_id, t.turn, t.i, CASE WHEN f.chars >= 3000 THEN f.relay + 1 ELSE f.relay END, CASE WHEN f.chars >= 3000 THEN 0 ELSE f.chars END + t.n FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1) SELECT conv_id, turn, relay, chars FROM f")
 def w8_relay_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.relay_numbers(L.turns(spark, sf_dir))
 
@@ -68,7 +68,7 @@ def x20_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.pointers(L.turns(spark, sf_dir))
 
 
-@query()
+@query(f"WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM conversations), k AS (SELECT *, {_KEY} AS key FROM l), d AS (SELECT key, arg_min(x, row(conv_id, turn, pos)) AS original FROM k WHERE key <> '' GROUP BY key) SELECT conv_id, turn, string_agg(original, chr(10) ORDER BY pos) AS text FROM k JOIN d USING (key) GROUP BY conv_id, turn")
 def x20_reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.reconstructed(texts.pointers(L.turns(spark, sf_dir)), tables.sequence_dictionary(L.turns(spark, sf_dir)))
 
@@ -83,20 +83,20 @@ def x15_without_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.without_lines(_docs(spark, sf_dir), "licensed|released under")
 
 
-@query()
+@query(_PAIRS + ", f AS (SELECT *, coalesce(lag(longer) OVER (PARTITION BY conv_id ORDER BY i) * longer < 0, false) AS flip FROM m) SELECT conv_id, count(*) AS pairs, count(*) FILTER (WHERE flip) AS flips, CAST(sum(abs(longer)) AS BIGINT) AS distance FROM f GROUP BY conv_id")
 def a27_thread_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.thread_summary(tables.pair_metrics(L.turns(spark, sf_dir)))
 
 
-@query("SELECT n.doc_id FROM (SELECT doc_id, toxic AS v FROM labels) n LEFT JOIN (SELECT doc_id, quality AS v FROM labels WHERE doc_id % 2 = 0) o ON n.doc_id = o.doc_id WHERE o.doc_id IS NULL OR n.v IS DISTINCT FROM o.v")
+@query("SELECT n.doc_id FROM (SELECT doc_id, toxic AS v FROM labels) n LEFT JOIN (SELECT doc_id, quality AS v FROM labels WHERE quality = 1) o ON n.doc_id = o.doc_id WHERE o.doc_id IS NULL OR n.v IS DISTINCT FROM o.v")
 def u7_requeued(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = L.table(spark, sf_dir, "labels")
-    return texts.requeued(lab.where("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("v")), lab.select("doc_id", F.col("toxic").alias("v")), "doc_id", "v")
+    return texts.requeued(lab.where("quality = 1").select("doc_id", F.col("quality").alias("v")), lab.select("doc_id", F.col("toxic").alias("v")), "doc_id", "v")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '[\"a\",\"' || source || '\"]' ELSE '[\"' || source || '\"]' END AS items FROM documents")
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN '[\"a\",\"' || source || '\"]' ELSE '[\"' || source || '\"]' END AS items FROM documents")
 def u14_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _docs(spark, sf_dir).select("doc_id", "source", F.when(F.col("doc_id") % 2 == 0, '["a"]').alias("items"))
+    own = _docs(spark, sf_dir).select("doc_id", "source", F.when(F.col("lang") == "en", '["a"]').alias("items"))
     return texts.appended(own, "items", F.col("source")).select("doc_id", "items")
 
 

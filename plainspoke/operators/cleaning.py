@@ -56,9 +56,14 @@ PERSONAL = {"SSN": "[0-9]{3}-[0-9]{2}-[0-9]{4}", "CARD": "[0-9]{4}[ -]?[0-9]{4}[
 
 
 def personal_hits(texts: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, kind, at, match) of each whole-word match of ``PERSONAL``, in order; at numbers a kind's matches."""
+    """(id, kind, nth, match) of each whole-word match of ``PERSONAL``, in order; nth numbers a kind's matches."""
     t = F.coalesce(F.col(text), F.lit(""))
-    found = F.concat(*(F.transform(F.regexp_extract_all(t, F.lit(f"(?:^|{_EDGE})({p})(?={_EDGE}|$)"), F.lit(1)), lambda m, i, k=k: F.struct(F.lit(k).alias("kind"), i.alias("at"), m.alias("match"))) for k, p in PERSONAL.items()))
+
+    def of(kind: str, pattern: str) -> Column:
+        hits = F.regexp_extract_all(t, F.lit(f"(?:^|{_EDGE})({pattern})(?={_EDGE}|$)"), F.lit(1))
+        return F.transform(hits, lambda m, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), m.alias("match")))
+
+    found = F.concat(*(of(k, p) for k, p in PERSONAL.items()))
     return texts.where(F.rlike(t, F.lit("[0-9]{2}"))).select(F.col(id), F.inline(found))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -112,10 +112,33 @@ def stagnant_streaks(turns: DataFrame) -> DataFrame:
     return own.withColumn("streak", F.when(F.col("stagnant"), F.count_if("stagnant").over(W.partitionBy("conv_id", "_island").orderBy("turn"))).otherwise(0)).drop("_island", "n")
 
 
-def retrieve(artifacts: DataFrame, topic: int, k: int, weights: dict[int, int]) -> DataFrame:
-    """The k artifacts of a topic with the best weight of priority plus recency bonus."""
+def recency_bonus(updated: Column, as_of: str) -> Column:
+    """20 points that decay over 30 whole days, in hundredths."""
+    age = F.greatest(F.lit(0), F.datediff(F.lit(as_of).cast("date"), F.to_date(updated)))
+    return F.floor(2000 * F.greatest(F.lit(0), 30 - age) / 30 + 0.5).cast("int")
+
+
+def retrieve(artifacts: DataFrame, topic: str, k: int, weights: dict[int, int], as_of: str, anchor: int | None = None, general: str = "general") -> DataFrame:
+    """(key, score in hundredths, anchor): the anchor, then the k best of 2 k artifacts of a topic by priority and date; where a topic other than ``general`` has fewer than two, k of other topics are candidates too.
+
+    score: the priority's weight and the recency bonus. Only the k asked for and the candidates are limited.
+    """
+    rest = artifacts.where(F.col("key") != F.lit(anchor)) if anchor is not None else artifacts
+    order = ["priority", F.desc("updated"), "key"]
+    own = rest.where(F.col("topic") == topic).orderBy(*order).limit(2 * k)
+    if topic != general:
+        other = rest.where(F.col("topic") != topic).orderBy(*order).limit(k)
+        own = own.unionByName(other.crossJoin(own.agg(F.count("*").alias("_n"))).where("_n < 2").drop("_n"))  # one row of a count
     w = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("priority")), F.lit(0))
-    return artifacts.where(F.col("topic") == topic).withColumn("score", w + F.greatest(F.lit(0), F.lit(20) - F.col("age"))).orderBy(F.desc("score"), "key").limit(k).select("key", "score")
+    best = own.select("key", (w * 100 + recency_bonus(F.col("updated"), as_of)).alias("score"), F.lit(False).alias("anchor")).orderBy(F.desc("score"), "key").limit(k)
+    if anchor is None:
+        return best
+    return artifacts.where(F.col("key") == anchor).select("key", F.lit(None).cast("int").alias("score"), F.lit(True).alias("anchor")).unionByName(best)
+
+
+def soft_deleted(rows: DataFrame, gone: DataFrame, key: str, flag: str = "is_current") -> DataFrame:
+    """``rows`` with a flag that is false where ``gone`` has the key; no row is lost."""
+    return rows.join(gone.select(key).distinct().withColumn("_gone", F.lit(True)), key, "left").withColumn(flag, F.col("_gone").isNull()).drop("_gone")
 
 
 def capped(artifacts: DataFrame, per: int) -> DataFrame:

@@ -110,3 +110,20 @@ def requeued(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
 def appended(rows: DataFrame, column: str, item: Column) -> DataFrame:
     """A JSON array column with one more string."""
     return rows.withColumn(column, F.to_json(F.array_append(F.coalesce(F.from_json(column, "array<string>"), F.array().cast("array<string>")), item)))
+
+
+def without_transitions(texts: DataFrame, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text_out, changed): what the pattern of transitions matches taken out of a text with single spaces."""
+    t = T.squeezed(F.coalesce(F.col(text), F.lit("")))
+    return texts.select(F.col(id), t.alias("t")).select(id, T.squeezed(F.regexp_replace("t", F.lit(pattern), F.lit(""))).alias("text_out"), F.rlike("t", F.lit(pattern)).alias("changed"))
+
+
+def blocked(texts: DataFrame, phrases: list[str], ceiling: int, level: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, text_out, blocked, cut): whole-word phrases replaced, then words beyond the target cut: the ceiling less 15 in a hundred for each level, rounded down."""
+    from .cleaning import bounded, replaced
+
+    df = texts.select(F.col(id), F.coalesce(F.col(text), F.lit("")).alias("t"), F.lit(0).alias("blocked"))
+    for p in phrases:
+        df = df.select(id, replaced(F.col("t"), p, "[REMOVED]").alias("t"), (F.col("blocked") + F.rlike("t", F.lit(bounded(p))).cast("int")).alias("blocked"))
+    most, w = ceiling * (100 - 15 * level) // 100, T.words(F.col("t"))
+    return df.select(id, F.when(F.size(w) > most, F.array_join(F.slice(w, 1, most), " ")).otherwise(F.col("t")).alias("text_out"), "blocked", F.greatest(F.size(w) - most, F.lit(0)).alias("cut"))
