@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add, or_
 
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 _BREAK = "\u0001"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: inside lambdas a plain expression would be computed again for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def tokens(t: Column) -> Column:
     """Runs of ASCII letters, digits and apostrophes, lowered."""
     return F.regexp_extract_all(F.lower(t), F.lit("([a-z0-9']+)"), F.lit(1))
@@ -77,8 +83,9 @@ def mirror_rate(prompt: Column, answer: Column) -> Column:
 
 def repeated_bigrams(own: Column) -> Column:
     """Places where a pair of tokens is followed at once by the same pair."""
-    n = F.size(own)
-    return F.when(n < 4, 0).otherwise(F.size(F.filter(F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1))), lambda i: (F.get(own, i - 1) == F.get(own, i + 1)) & (F.get(own, i) == F.get(own, i + 2)))))
+    same = lambda k: F.zip_with(k, F.slice(k, 3, F.greatest(F.size(k) - 2, F.lit(0))), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    twice = lambda e: F.zip_with(e, F.slice(e, 2, F.greatest(F.size(e) - 1, F.lit(0))), lambda a, b: a & F.coalesce(b, F.lit(False)))
+    return let(own, lambda k: F.size(F.filter(let(same(k), twice), lambda x: x)))
 
 
 def unique_ratio(own: Column) -> Column:
@@ -206,9 +213,14 @@ def squash(x: Column) -> Column:
 
 def length_spread(t: Column) -> Column:
     """Population standard deviation of the words a sentence has; 0 without sentences."""
-    n = F.transform(sentences(t), lambda s: word_count(s).cast("double"))
-    mean = F.aggregate(n, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(n), F.lit(1))
-    return F.sqrt(F.aggregate(n, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.greatest(F.size(n), F.lit(1)))
+    lengths = F.transform(sentences(t), lambda s: word_count(s).cast("double"))
+    return let(lengths, spread)
+
+
+def spread(n: Column) -> Column:
+    """Population standard deviation of an array of doubles; 0 if it is empty."""
+    total, size = F.aggregate(n, F.lit(0.0), lambda a, x: a + x), F.greatest(F.size(n), F.lit(1))
+    return F.sqrt(let(total / size, lambda mean: F.aggregate(n, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))) / size)
 
 
 def page_kind(url: Column, text: Column, kinds: dict[str, list[str]]) -> Column:

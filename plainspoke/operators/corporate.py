@@ -41,8 +41,7 @@ def dimensions(texts: DataFrame, m: dict, id: str = "doc_id", text: str = "text"
     numbers = F.regexp_count("t", F.lit(_NUMBER)).cast("double")
     figures = count("f", lambda x: x)
     commit, aspire = count("k", lambda x: x.isin(m["commit"])), T.hits(low, m["aspire"]).cast("double")
-    mean = F.aggregate("n", F.lit(0.0), lambda a, x: a + x) / at_least_one
-    spread = F.sqrt(F.aggregate("n", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / at_least_one)
+    spread = T.let(F.transform("n", lambda x: x.cast("double")), T.spread)
     heavy = count("s", lambda x: (T.occurrences(x, " and ") >= 3) | (T.occurrences(x, ",") >= 5))
     structure = count("n", lambda x: x.between(10, 25)) / at_least_one * 0.5 + F.when(spread < 2, 0.6).when(spread > 15, 0.5).otherwise(1.0) * 0.3 + (one - count("n", lambda x: x > 35) / at_least_one) * 0.2 - F.least(heavy / at_least_one * 0.3, F.lit(0.25))
     empty = F.size(F.filter(F.zip_with("c", "f", lambda c, f: c & ~f), lambda x: x)).cast("double")

@@ -145,3 +145,8 @@ def capped(artifacts: DataFrame, per: int) -> DataFrame:
     """At most ``per`` artifacts of each priority but 0, in order of key."""
     w = W.partitionBy("priority").orderBy("key")
     return artifacts.withColumn("_r", F.row_number().over(w)).where((F.col("priority") == 0) | (F.col("_r") <= per)).select("key", "priority")
+
+
+def indexed(rows: DataFrame, batch: str, order: str) -> DataFrame:
+    """``rows`` with their place in their batch, from 0."""
+    return rows.withColumn("index", F.row_number().over(W.partitionBy(batch).orderBy(order)) - 1)
