@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .lexicon import PROSE, lexicon
-from .operators import audit, tables, traffic
+from .operators import audit, tables, texts, traffic
 from .plans import logical as L
 from .registry import QUERIES, SQL, Query
 from .registry import query as _query
@@ -94,9 +94,9 @@ def j15_lexicon_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.lexicon_join(_docs(spark, sf_dir), lexicon(spark, _M))
 
 
-@_query(f"SELECT category, term, count(DISTINCT doc_id) AS n_docs, CAST(sum(n) AS BIGINT) AS n_hits FROM ({_HITS}) GROUP BY category, term")
+@_query(f"SELECT category, term, count(DISTINCT doc_id) AS n_docs, CAST(sum(n) AS BIGINT) AS n_hits, count(DISTINCT doc_id) * 10000 // (SELECT count(*) FROM documents) AS share FROM ({_HITS}) GROUP BY category, term")
 def a37_prevalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.prevalence(audit.lexicon_hits(_docs(spark, sf_dir), _M), ["category", "term"])
+    return audit.prevalence(audit.lexicon_hits(_docs(spark, sf_dir), _M), ["category", "term"], _docs(spark, sf_dir), once=True)
 
 
 @_query(f"SELECT lang, category, count(DISTINCT doc_id) AS n_docs, CAST(sum(n) AS BIGINT) AS n_hits FROM ({_HITS}) GROUP BY ROLLUP (lang, category)")
@@ -484,7 +484,7 @@ def f25_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def s5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.html_blocks(L.table(spark, sf_dir, "pages"))
+    return html.html_blocks(L.table(spark, sf_dir, "pages"), junk=lambda b: texts.junk(b, boilerplate="released under|licensed"))
 
 
 @_query()
@@ -494,4 +494,4 @@ def s6_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def s7_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.page_links(L.table(spark, sf_dir, "pages"))
+    return html.page_links(L.table(spark, sf_dir, "pages"), url="url")

@@ -153,8 +153,7 @@ def j14_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH s AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) SELECT a.doc_id, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j FROM s a JOIN s b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i + 1 AND a.i + 3")
 def j17_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc_id", "at")
-    return reports.neighbours(s, "doc_id", "at", 3)
+    return reports.neighbours(_docs(spark, sf_dir), "doc_id", F.size(F.split("text", "\n")), 3)
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 'click' WHEN 'signup' THEN 'purchase' ELSE event_type END AS event_type FROM events")

@@ -13,19 +13,7 @@ def lexicon(spark: SparkSession, terms: dict[str, list[str]], mode: str = "subst
     return spark.createDataFrame(rows, SCHEMA)
 
 
-#: Categories that the integrity score looks at, with a few markers each; callers bring their own lists.
-MARKERS = {
-    "constraint": ["must", "cannot", "require", "deadline", "budget", "policy", "only if"],
-    "hedge": ["maybe", "might", "perhaps", "likely", "around"],
-    "reassure": ["no problem", "rest assured", "glad"],
-    "blend": ["sort of", "overall", "basically"],
-    "capability": ["we can build", "just add", "quick fix"],
-    "defer": ["later", "eventually", "next week", "consider"],
-    "collapse": ["overall", "basically", "all in all"],
-    "calm": ["no big deal", "totally", "relief"],
-    "ask": ["need", "send", "confirm", "review", "reply"],
-}
-#: The same categories with words that the supplied prose does hold.
+#: Categories that the integrity score looks at, with words that the supplied prose holds; callers bring their own lists.
 PROSE = {
     "constraint": ["only", "there", "was"],
     "hedge": ["then", "with"],

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,16 +25,40 @@ def lexicon_hits(texts: DataFrame, terms: dict[str, list[str]], id: str = "doc_i
 
 
 def lexicon_join(texts: DataFrame, lexicon: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same with a lexicon table whose size is that of the list given: a broadcast join on containment."""
-    low = texts.select(F.col(id), F.lower(F.col(text)).alias("_low"))
-    met = low.join(F.broadcast(lexicon), F.contains("_low", "term"))
-    n = ((F.length("_low") - F.length(F.replace("_low", "term", F.lit("")))) / F.length("term")).cast("int")
-    return met.select(id, "category", "term", n.alias("n"))
-
-
-def prevalence(hits: DataFrame, keys: list[str], total: DataFrame | None = None) -> DataFrame:
-    """Texts and occurrences for each key over (id, category, term, n) hits."""
-    return hits.groupBy(*keys).agg(F.countDistinct("doc_id").alias("n_docs"), F.sum("n").cast("long").alias("n_hits"))
+    """The same with a lexicon table: one pass of an Aho-Corasick automaton over Arrow batches, whatever the number of terms. The lexicon is a list that someone gives, and is held by the driver and each worker."""
+    pairs = [(r["category"], r["term"]) for r in lexicon.where("term <> ''").select("category", "term").distinct().collect()]
+
+    @F.pandas_udf("array<struct<category:string,term:string,n:int>>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        words: dict[str, list[str]] = {}
+        for category, term in pairs:
+            words.setdefault(term, []).append(category)
+        automaton = ahocorasick.Automaton()
+        for term in words:
+            automaton.add_word(term, term)
+        automaton.make_automaton()
+        for low in batches:
+            out = []
+            for t in low:
+                n: dict[str, int] = {}
+                free: dict[str, int] = {}
+                for end, term in automaton.iter(t) if words and isinstance(t, str) else ():
+                    if end - len(term) + 1 >= free.get(term, 0):  # occurrences of a term don't overlap
+                        n[term], free[term] = n.get(term, 0) + 1, end + 1
+                out.append([{"category": c, "term": term, "n": k} for term, k in n.items() for c in words[term]])
+            yield pd.Series(out)
+
+    return texts.select(F.col(id), F.inline(find(F.lower(F.col(text)))))
+
+
+def prevalence(hits: DataFrame, keys: list[str], total: DataFrame | None = None, id: str = "doc_id", once: bool = False) -> DataFrame:
+    """Texts and occurrences for each key over (id, category, term, n) hits, and with ``total`` (the texts) the share of them in ten-thousandths, rounded down. once: whether an id has one hit a key, as unique ids do with a term among the keys; then nothing distinct is counted."""
+    got = hits.groupBy(*keys).agg((F.count("*") if once else F.countDistinct(id)).alias("n_docs"), F.sum("n").cast("long").alias("n_hits"))
+    if total is None:
+        return got
+    return got.crossJoin(F.broadcast(total.agg(F.count("*").alias("_n")))).withColumn("share", F.floor(F.col("n_docs") * 10000 / F.greatest("_n", F.lit(1))).cast("long")).drop("_n")  # one row
 
 
 def integrity(texts: DataFrame, m: dict[str, list[str]], id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,15 +103,16 @@ def integrity(texts: DataFrame, m: dict[str, list[str]], id: str = "doc_id", tex
 
 def gate(texts: DataFrame, common: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, passed, reason): the first rule that a text breaks, OK if none."""
-    own = T.words(F.coalesce(F.col(text), F.lit("")))
-    alpha = F.filter(F.transform(own, lambda w: F.lower(F.regexp_replace(w, r"^[.,!?;:'\"()]+|[.,!?;:'\"()]+$", ""))), lambda w: F.rlike(w, F.lit(r"^[a-z']+$")))
-    base = texts.select(F.col(id), own.alias("w"), alpha.alias("a"))
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    # Words of letters only once their marks are off, found in one pass over the text.
+    alpha = F.regexp_extract_all(low, F.lit(r"(?<!\S)[.,!?;:'\"()]*+([a-z](?:[a-z']*[a-z])?)[.,!?;:'\"()]*+(?!\S)"), F.lit(1))
+    base = texts.select(F.col(id), T.word_count(low).alias("w"), alpha.alias("a"))
     n = F.size("a")
     known = F.size(F.filter("a", lambda x: x.isin(common)))
     total = F.aggregate("a", F.lit(0), lambda s, x: s + F.length(x))
     sorted_ = F.array_sort("a")
     top = F.aggregate(sorted_, F.struct(F.lit("").alias("x"), F.lit(0).alias("n"), F.lit(0).alias("m")), lambda s, x: F.struct(x.alias("x"), F.when(s["x"] == x, s["n"] + 1).otherwise(1).alias("n"), F.greatest(s["m"], F.when(s["x"] == x, s["n"] + 1).otherwise(1)).alias("m")))["m"]
-    reason = F.when(F.size("w") == 0, "EMPTY").when(F.size("w") < 4, "TOO_SHORT").when(n < 2, "NO_LANGUAGE").when((known * 10 < n) & (n > 4), "GIBBERISH").when((total > 14 * n) & (n > 2), "KEYBOARD_MASH").when((n > 4) & (top * 10 > 6 * n), "REPETITION").otherwise("OK")
+    reason = F.when(F.col("w") == 0, "EMPTY").when(F.col("w") < 4, "TOO_SHORT").when(n < 2, "NO_LANGUAGE").when((known * 10 < n) & (n > 4), "GIBBERISH").when((total > 14 * n) & (n > 2), "KEYBOARD_MASH").when((n > 4) & (top * 10 > 6 * n), "REPETITION").otherwise("OK")
     return base.select(id, reason.alias("reason")).withColumn("passed", F.col("reason") == "OK")
 
 

@@ -71,10 +71,11 @@ def presence(wanted: DataFrame, have: DataFrame, key: str, size: str, thin: int)
     return met.select(key, F.when(F.col("_n").isNull(), "missing").when(F.col("_n") < thin, "thin").otherwise("present").alias("status"))
 
 
-def neighbours(sentences: DataFrame, key: str, at: str, reach: int) -> DataFrame:
-    """(key, i, j) of sentences at most ``reach`` apart: an explode of the offsets, then an equi-join."""
-    a = sentences.select(F.col(key), F.col(at).alias("i"), F.explode(F.array(*(F.col(at) + d for d in range(1, reach + 1)))).alias("j"))
-    return a.join(sentences.select(F.col(key), F.col(at).alias("j")), [key, "j"]).select(key, "i", "j")
+def neighbours(texts: DataFrame, key: str, size: Column, reach: int) -> DataFrame:
+    """(key, i, j) of a text's ``size`` places at most ``reach`` apart, from their number alone: nothing is shuffled."""
+    base = texts.select(F.col(key), size.alias("_n")).where("_n > 1")
+    far = base.select(key, "_n", F.explode(F.sequence(F.lit(0), F.col("_n") - 2)).alias("i"))
+    return far.select(key, "i", F.explode(F.sequence(F.col("i") + 1, F.least(F.col("i") + reach, F.col("_n") - 1))).alias("j"))
 
 
 def resolved(rows: DataFrame, pointer: str, synonyms: DataFrame) -> DataFrame:

@@ -37,13 +37,19 @@ def exchange_profile(texts: DataFrame, hedges: list[str], smooth: list[str], id:
 
 
 def entrenched_claims(turns: DataFrame, above: float = 0.6, role: str = "assistant") -> DataFrame:
-    """(conv_id, turn, streak): earlier turns of the same role with a sentence whose words overlap one of this turn's by more than ``above`` of the larger set. Sentences meet only where they share a word."""
+    """(conv_id, turn, streak): earlier turns of the same role with a sentence whose words overlap one of this turn's by more than ``above`` of the larger set. Sentences meet only where they share one of their rarest words, as many as such an overlap can't all avoid."""
     s = turns.where(F.col("role") == role).select("conv_id", "turn", F.posexplode(T.sentences(F.coalesce(F.col("text"), F.lit("")))).alias("at", "sentence"))
     s = s.select("conv_id", "turn", "at", F.array_distinct(F.filter(T.words(F.lower("sentence")), lambda w: F.length(w) > 3)).alias("w")).where(F.size("w") > 0)
     words = s.select("conv_id", "turn", "at", F.size("w").alias("n"), F.explode("w").alias("word"))
-    b = words.select("conv_id", "word", F.col("turn").alias("turn_b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
-    met = words.join(b, ["conv_id", "word"]).where("turn_b < turn").groupBy("conv_id", "turn", "at", "n", "turn_b", "at_b", "n_b").agg(F.count("*").alias("both"))
-    return met.where(F.col("both") > above * F.greatest("n", "n_b")).groupBy("conv_id", "turn").agg(F.count_distinct("turn_b").alias("streak"))
+    known = words.join(words.groupBy("conv_id", "word").agg(F.count("*").alias("f")), ["conv_id", "word"])
+    rank = F.row_number().over(W.partitionBy("conv_id", "turn", "at").orderBy("f", "word"))
+    # More than above n common words leave at most n - above n others, so the rarest of one more include a common one.
+    rare = known.withColumn("r", rank).where(F.col("r") <= F.col("n") - F.floor(F.col("n") * above)).select("conv_id", "word", "turn", "at")
+    b = rare.select("conv_id", "word", F.col("turn").alias("turn_b"), F.col("at").alias("at_b"))
+    met = rare.join(b, ["conv_id", "word"]).where("turn_b < turn").select("conv_id", "turn", "at", "turn_b", "at_b").distinct()
+    met = met.join(s, ["conv_id", "turn", "at"]).join(s.select("conv_id", F.col("turn").alias("turn_b"), F.col("at").alias("at_b"), F.col("w").alias("w_b")), ["conv_id", "turn_b", "at_b"])
+    near = F.size(F.array_intersect("w", "w_b")) > above * F.greatest(F.size("w"), F.size("w_b"))
+    return met.where(near).groupBy("conv_id", "turn").agg(F.count_distinct("turn_b").alias("streak"))
 
 
 def relay_numbers(turns: DataFrame, most: int = 3000) -> DataFrame:
@@ -64,6 +70,18 @@ def redacted_cards(texts: DataFrame, id: str = "doc_id", text: str = "text") ->
     return texts.select(F.col(id), F.regexp_replace(t, rule, "[CARD]").alias("text_out"), F.regexp_count(t, F.lit(rule)).alias("n"))
 
 
+def junk(t: Column, prices: str = r"[$€£] ?[0-9]", boilerplate: str | None = None) -> Column:
+    """Whether a block of text is junk: three prices or more, fewer than 8 words, or a match of the boilerplate pattern in its lowered form."""
+    out = (F.regexp_count(t, F.lit(prices)) >= 3) | (T.word_count(t) < 8)
+    return out | F.rlike(F.lower(t), F.lit(boilerplate)) if boilerplate else out
+
+
+def product_page(t: Column, cart: list[str], prices: str = r"[$€£] ?[0-9]", thin: int = 200) -> Column:
+    """Whether a page sells rather than says: a text below ``thin`` characters, a phrase of a cart, or three prices."""
+    own = F.coalesce(t, F.lit(""))
+    return (F.length(own) < thin) | T.has_any(F.lower(own), cart) | (F.regexp_count(own, F.lit(prices)) >= 3)
+
+
 def token_ceiling(texts: DataFrame, most: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text_out, kept_per_mille): the first ``most`` words, and the share of words kept."""
     own = T.words(F.coalesce(F.col(text), F.lit("")))

@@ -137,10 +137,12 @@ def rollout(users: DataFrame, flag: str, percent: int, bucket: Column) -> DataFr
 
 
 def covering(events: DataFrame, schedule: DataFrame) -> DataFrame:
-    """The schedule row that covers each event's time, the lowest order first; no row without cover. The schedule is a small list and is broadcast."""
-    met = events.join(F.broadcast(schedule), F.col("ts").between(F.col("start_time"), F.col("end_time")))
-    w = W.partitionBy("id").orderBy("escalation", "person")
-    return met.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("id", "person")
+    """The schedule row that covers each event's time, the lowest order first; no row without cover. The schedule is laid out by day, so the join is on equal days and each event looks through that day's rows in order."""
+    own = F.struct("escalation", "person", "start_time", "end_time")
+    days = schedule.select(F.explode(F.sequence(F.to_date("start_time"), F.to_date("end_time"))).alias("_day"), own.alias("s")).groupBy("_day").agg(F.array_sort(F.collect_list("s")).alias("_s"))
+    met = events.withColumn("_day", F.to_date("ts")).join(days, "_day")
+    first = F.get(F.filter("_s", lambda s: F.col("ts").between(s["start_time"], s["end_time"])), 0)
+    return met.select("id", first["person"].alias("person")).where("person is not null")
 
 
 def as_of(facts: DataFrame, history: DataFrame, key: str, ts: str, since: str, value: str) -> DataFrame:

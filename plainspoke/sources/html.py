@@ -2,36 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+_LINE, _BLOCK_END = "\u0001", r"(?i)</(?:p|div|li|h[1-6]|tr|blockquote|section)\s*>|<br\s*/?>"
 _DROPPED = r"(?is)<(script|style|nav|footer|header|noscript|form)\b[^>]*>.*?</\1\s*>"
 
 
-def html_blocks(pages: DataFrame, id: str = "page_id", html: str = "html", at_least: int = 60, most: int = 5000) -> DataFrame:
-    """(id, text): paragraphs, quotes and list items of enough characters, each beginning once, joined and cut."""
+def html_blocks(pages: DataFrame, id: str = "page_id", html: str = "html", at_least: int = 60, most: int = 5000, junk: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, text): paragraphs, quotes and list items of enough characters that aren't junk, each beginning once, joined and cut."""
     clean = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), _DROPPED, " ")
     blocks = F.transform(F.regexp_extract_all(clean, F.lit(r"(?is)<(p|blockquote|li)\b[^>]*>(.*?)</\1\s*>"), F.lit(2)), T.plain_html)
-    long = F.filter(blocks, lambda b: F.length(b) >= at_least)
-    heads = F.transform(long, lambda b: F.lower(F.substring(b, 1, 80)))
-    first = F.filter(long, lambda b, i: F.array_position(heads, F.lower(F.substring(b, 1, 80))) == i + 1)
+    long = F.filter(blocks, lambda b: (F.length(b) >= at_least) & ~junk(b) if junk else F.length(b) >= at_least)
+    heads = lambda own: F.transform(own, lambda b: F.lower(F.substring(b, 1, 80)))
+    first = T.let(long, lambda own: T.let(heads(own), lambda h: F.filter(own, lambda b, i: F.array_position(h, F.get(h, i)) == i + 1)))
     return pages.select(F.col(id), F.substring(F.array_join(first, "\n"), 1, most).alias("text"))
 
 
 def article_text(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
-    """(id, text) of the first article, else main, else nothing."""
+    """(id, text) of the first article, else main, else nothing; a line for each block."""
     h = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), _DROPPED, " ")
+    h = F.regexp_replace(h, _BLOCK_END, _LINE)
     own = lambda tag: F.regexp_extract(h, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
-    return pages.select(F.col(id), T.plain_html(F.when(own("article") != "", own("article")).otherwise(own("main"))).alias("text"))
+    got = pages.select(F.col(id), F.when(own("article") != "", own("article")).otherwise(own("main")).alias("_h"))
+    lines = F.filter(F.transform(F.split("_h", _LINE), T.plain_html), lambda x: x != "")
+    return got.select(id, F.array_join(lines, "\n").alias("text"))
 
 
-def page_links(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
-    """(id, href, label): links with a label of 2 to 100 characters that lead somewhere, each address once a page."""
+def page_links(pages: DataFrame, id: str = "page_id", html: str = "html", url: str | None = None) -> DataFrame:
+    """(id, href, label): links with a label of 2 to 100 characters that lead somewhere, each address once a page; with ``url``, only those that stay on the page's domain."""
     found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>.*?</a\s*>'), F.lit(0))
-    one = pages.select(F.col(id), F.explode(found).alias("a"))
-    got = one.select(id, F.regexp_extract("a", r'(?is)href="([^"]*)"', 1).alias("href"), T.plain_html(F.col("a")).alias("label"))
+    one = pages.select(F.col(id), F.lower(F.col(url) if url else F.lit("")).alias("_u"), F.explode(found).alias("a"))
+    got = one.select(id, "_u", F.regexp_extract("a", r'(?is)href="([^"]*)"', 1).alias("href"), T.plain_html(F.col("a")).alias("label"))
+    if url:
+        got = got.where(T.base_domain(F.lower("href")).isin("") | (T.base_domain(F.lower("href")) == T.base_domain(F.col("_u"))))
     return got.where(~F.col("href").startswith("#") & ~F.lower("href").startswith("javascript:") & F.length("label").between(2, 100)).groupBy(id, "href").agg(F.min("label").alias("label"))
 
 
@@ -44,8 +52,11 @@ def sitemap_urls(raw: DataFrame, xml: str = "xml") -> DataFrame:
     return raw.select(F.explode(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("url")).withColumn("child", F.lower("url").endswith(".xml"))
 
 
-def feed_items(raw: DataFrame, xml: str = "xml") -> DataFrame:
-    """(title, summary, link) of RSS items; items without a title are dropped."""
-    item = raw.select(F.explode(F.regexp_extract_all(xml, F.lit(r"(?is)<item\b[^>]*>(.*?)</item\s*>"), F.lit(1))).alias("i"))
-    own = lambda tag: T.plain_html(F.regexp_extract("i", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1))
-    return item.select(own("title").alias("title"), F.substring(own("description"), 1, 500).alias("summary"), own("link").alias("link")).where("title <> ''")
+def feed_items(raw: DataFrame, xml: str = "xml", most: int = 15) -> DataFrame:
+    """(nth, title, summary, link, published, kind) of the first ``most`` RSS items, or else Atom entries, of each feed; those without a title are dropped."""
+    part = lambda tag: F.slice(F.regexp_extract_all(xml, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1)), 1, most)
+    both = raw.select(part("item").alias("r"), part("entry").alias("e")).select(F.when(F.size("r") > 0, "rss2").otherwise("atom").alias("kind"), F.posexplode(F.when(F.size("r") > 0, F.col("r")).otherwise(F.col("e"))).alias("nth", "i"))
+    own = lambda tag: T.plain_html(F.regexp_replace(F.regexp_extract("i", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1), r"<!\[CDATA\[|\]\]>", ""))
+    filled = lambda *tags: F.coalesce(*(F.nullif(own(t), F.lit("")) for t in tags), F.lit(""))
+    link = F.coalesce(F.nullif(own("link"), F.lit("")), F.regexp_extract("i", r'(?is)<link\b[^>]*?href="([^"]*)"', 1))
+    return both.select("nth", own("title").alias("title"), F.substring(filled("description", "summary", "content"), 1, 500).alias("summary"), link.alias("link"), filled("pubDate", "updated").alias("published"), "kind").where("title <> ''")

@@ -4,9 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from plainspoke.functions import text as T
-from plainspoke.lexicon import MARKERS, lexicon
+from plainspoke.lexicon import lexicon
 from plainspoke.operators import audit, reports, tables, traffic
 
+MARKERS = {
+    "constraint": ["no later than", "at most", "signed", "must"], "hedge": ["maybe", "i suppose"], "reassure": ["have no fear"], "blend": ["more or less"], "capability": ["any shape you like"],
+    "defer": ["some other day"], "collapse": ["so to speak"], "calm": ["it is nothing", "totally"], "ask": ["kindly", "answer"],
+}
+
 
 def one(spark, text, column):
     return spark.createDataFrame([(text,)], "t string").select(column(F.col("t")).alias("x")).first().x
@@ -33,7 +38,7 @@ def test_jaccard(spark):
 
 
 def test_integrity_prefers_specific_texts(spark):
-    rows = [(1, "You must send the signed policy before the deadline. Confirm the budget today."), (2, "Maybe we can look at it later. It is sort of fine, no big deal, totally."), (3, ""), (4, None)]
+    rows = [(1, "You must send the signed form no later than noon. Kindly answer today."), (2, "Maybe we look at it some other day. It is more or less fine, it is nothing, totally."), (3, ""), (4, None)]
     got = {r.doc_id: r for r in audit.integrity(spark.createDataFrame(rows, "doc_id int, text string"), MARKERS).collect()}
     assert got[1].score > got[2].score and all(0 <= r.score <= 100 for r in got.values()) and len(got) == 4
 
@@ -88,4 +93,6 @@ def test_html(spark):
     raw = spark.createDataFrame([("<urlset><loc> https://a/b </loc><loc>https://a/c.xml</loc></urlset>",)], "xml string")
     assert sorted((r.url, r.child) for r in html.sitemap_urls(raw).collect()) == [("https://a/b", False), ("https://a/c.xml", True)]
     feed = spark.createDataFrame([("<rss><item><title>T &amp; x</title><description>d</description><link>l</link></item><item><title/></item></rss>",)], "xml string")
-    assert [tuple(r) for r in html.feed_items(feed).collect()] == [("T & x", "d", "l")]
+    assert [(r.title, r.summary, r.link, r.kind) for r in html.feed_items(feed).collect()] == [("T & x", "d", "l", "rss2")]
+    atom = spark.createDataFrame([('<feed><entry><title>A</title><link href="https://a/1"/><updated>2024-01-02</updated><content>c</content></entry><entry><title>B</title></entry></feed>',)], "xml string")
+    assert [tuple(r) for r in html.feed_items(atom, most=1).collect()] == [(0, "A", "c", "https://a/1", "2024-01-02", "atom")]
