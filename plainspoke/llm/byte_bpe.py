@@ -14,7 +14,8 @@ the pieces between such spaces are encoded on their own and remembered in a
 cache of bounded size.
 
 Defined results: null and empty texts have no tokens. Long texts and long
-pre-tokens take linear time; repeated rows give repeated results.
+pre-tokens take linear time; repeated rows give repeated results, an empty table
+none; no column but the text is read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -23,8 +24,7 @@ import base64
 import hashlib
 import sys
 from array import array
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -34,11 +34,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Cache, lean, resident, table
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Entries that a cache holds at most before it starts anew; longer pieces aren't kept.
-CACHE, LONGEST = 400_000, 60
+#: Pairs of tokens whose compatibility is remembered before it starts anew.
+PAIRS = 400_000
 #: White space other than space and line feed.
 _OTHER = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
 _BORDER = regex.compile(r"(?<=\S) (?=\S)")
@@ -50,29 +50,6 @@ def pieces(text: str) -> list[str]:
     return _BORDER.split(text) if unsure else text.split(" ")
 
 
-class Cache(dict):
-    """piece -> make(piece), of bounded size."""
-
-    def __init__(self, make: Callable[[str], bytes]):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.keep(piece, self.make(piece))
-
-    def keep(self, piece: str, value: bytes) -> bytes:
-        if len(piece) <= LONGEST:
-            if len(self) >= CACHE:
-                self.halve()
-            self[piece] = value
-        return value
-
-    def halve(self) -> None:
-        """Forgets the newer half: what is frequent came early."""
-        for _ in range(len(self) // 2):
-            self.popitem()
-
-
 class ByteBpe:
     """The encoder of one file of ranks. ids are unsigned 32-bit little-endian bytes."""
 
@@ -102,15 +79,15 @@ class ByteBpe:
         self.fits.clear()  # what was found while merges were missing
         self.plain = self.pattern.findall(" ab cd") == [" ab", " cd"]
         self.ends = {c for c in ".,;:!?" if self.pattern.findall("ab" + c) == ["ab", c]} if self.plain else set()
-        self.words = Cache(lambda word: self._encode(word.encode().decode("latin-1")))
-        self.first = Cache(self._split)
-        self.rest = Cache(lambda piece: self._split(" " + piece))
+        self.words = Cache(lambda word: self._encode(word.encode().decode("latin-1")), 8 << 20)
+        self.first = Cache(self._split, 1 << 20)
+        self.rest = Cache(lambda piece: self._split(" " + piece), 64 << 20)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether merging by rank leaves tokens a and b side by side."""
         known = self.fits.get((a, b))
         if known is None:
-            if len(self.fits) >= 2 * CACHE:
+            if len(self.fits) >= PAIRS:
                 self.fits.clear()
             known = self.fits[a, b] = self._compatible(a, b)
         return known
@@ -161,11 +138,12 @@ class ByteBpe:
         return out.tobytes()
 
     def _split(self, piece: str) -> bytes:
-        letters = piece[1:] if piece[:1] == " " else piece
+        spaced = piece[:1] == " "
+        letters = piece[1:] if spaced else piece
         if letters.isalpha() and self.plain:  # one pre-token
-            return self.words[piece]
+            return self._encode(piece.encode().decode("latin-1"))
         if letters[-1:] in self.ends and letters[:-1].isalpha():
-            return self.words[piece[:-1]] + self.words[piece[-1]]
+            return (self.rest if spaced else self.first)[letters[:-1]] + self.words[letters[-1]]
         return b"".join(map(self.words.__getitem__, self.pattern.findall(piece)))
 
     def encode(self, text: str) -> bytes:
@@ -176,9 +154,9 @@ class ByteBpe:
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(2)
 def coder(path: str, pattern: str = public_tokenizers.PATTERN) -> ByteBpe:
-    return ByteBpe(path, pattern)
+    """The encoder of a file, read once in a worker."""
+    return resident(("bpe", path, pattern), lambda: ByteBpe(path, pattern))
 
 
 def encode(text: Column, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> Column:
@@ -188,7 +166,7 @@ def encode(text: Column, path: str | None = None, pattern: str = public_tokenize
     @F.pandas_udf("binary")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = coder(path, pattern)
-        for texts in batches:
+        for texts in lean(batches, keep=True):
             yield pd.Series([own.encode(t) if isinstance(t, str) else b"" for t in texts], dtype=object)
 
     return ids(text)
@@ -201,7 +179,7 @@ def decode(ids: Column, path: str | None = None, pattern: str = public_tokenizer
     @F.pandas_udf("binary")
     def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = coder(path, pattern)
-        for some in batches:
+        for some in lean(batches, keep=True):
             yield pd.Series([own.decode(x) if x is not None else b"" for x in some], dtype=object)
 
     return raw(ids)
@@ -214,7 +192,7 @@ def digests(text: Column, path: str | None = None, pattern: str = public_tokeniz
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = coder(path, pattern)
-        for texts in batches:
+        for texts in lean(batches, keep=True):
             rows = []
             for t in texts:
                 ids = own.encode(t) if isinstance(t, str) else b""

@@ -7,22 +7,32 @@ exactness doesn't depend on the sample. The rotated dimensions are split into
 ``BLOCKS`` low-dimensional blocks, and B is split among them in proportion to
 their variance: two linked vectors are within budget in one block at least.
 
-Each block is joined on range by itself: ``PIVOTS`` points of the sample cut the
+Each block is joined on range by itself: pivots, points of the sample, cut the
 subspace into cells, a vector lives in its nearest pivot's cell and visits every
 later cell whose border is within the budget's radius. That finds every pair
 within the radius, because a point of a cell is on its pivot's side of each
 border. In a cell, blocks of a matrix product find the candidates, and these are
 verified by their cosine in double precision at once. A pair within budget in
-several blocks counts in the first only. Partial distances come from sums in a
-fixed order, so that all cells agree on them.
+several blocks counts in the first only. Partial distances of linked pairs come
+from sums in a fixed order, so that all cells agree on them.
+
+How many blocks and pivots there are is chosen by their cost on the sample: copies
+of vectors in cells, products within cells and candidates, weighed by the number of
+vectors. Both grow with the table: more vectors get more pivots, so that cells stay
+small, and wider blocks, so that fewer unrelated pairs are within a budget. Results
+don't depend on the choice.
 
 Cells with more than ``CHUNK`` members are dealt into pairs of salted chunks. No
 pair leaves its task: a task returns each vector's number of links and a spanning
 forest of them. Equal vectors are one class, joined once with its size as weight.
 
 Defined results: null vectors, zero vectors, vectors with null or non-finite
-components and empty vectors link with nothing; vectors of different lengths
-don't link. Repeated rows count as other vectors; one row comes out for each.
+components and empty vectors link with nothing, and so do rows without an id; vectors
+of different lengths don't link. Repeated rows, and different vectors under one id,
+count as other vectors; one row comes out for each. A cosine of exactly the threshold
+is a link; components are named by the smallest id. Vectors of any length are joined;
+those of lengths that few vectors have go without a sample. An empty table gives an
+empty table. Only the id and the vector are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,10 +44,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, components, forest, sorted_runs, table, written
+from .common import bounded_sample, components, forest, joined_hot, lean, sorted_runs, table, written
 
 THRESHOLD = 0.95
-BLOCKS, PIVOTS, SAMPLE, CHUNK = 8, 32, 4096, 16384
+#: Most blocks and pivots of a block, vectors that they are fitted on at most, members of a cell's chunk.
+BLOCKS, PIVOTS, SAMPLE, CHUNK = 8, 2048, 8192, 32768
+#: Seconds for a copy of a vector in a cell, a pair in a product, and a candidate, about.
+COPY, PRODUCT, CANDIDATE = 1.2e-5, 2.1e-9, 7e-7
 _SLACK = 1e-9
 
 
@@ -62,6 +75,41 @@ class Subspaces:
         pool = self.rotate(unit) if len(unit) else np.zeros((1, dim))
         step = max(1, len(pool) // pivots)
         self.pivots = [np.unique(pool[::step][:pivots, p], axis=0) for p in self.parts]
+        self.apart = [np.sqrt(np.maximum(_squared(c, c), 0)) for c in self.pivots]
+
+    @classmethod
+    def chosen(cls, unit: np.ndarray, dim: int, threshold: float, n: int, blocks: int = BLOCKS, pivots: int = PIVOTS, chunk: int = CHUNK) -> Subspaces:
+        """The one of the least cost for n vectors, by the sample ``unit``."""
+        best, least = None, np.inf
+        test = unit[np.random.default_rng(0).permutation(len(unit))[:600]]
+        for b in sorted({max(1, min(blocks, dim) >> i) for i in range(2)}):
+            for p in (4 << i for i in range(14)):
+                if best and (p > pivots or 4 * p > len(unit)):
+                    break
+                own = cls(unit, dim, threshold, b, min(p, pivots))
+                cost = own.cost(test, n, chunk)
+                if cost < least:
+                    best, least = own, cost
+                elif cost > 2 * least:
+                    break
+        return best
+
+    def cost(self, test: np.ndarray, n: int, chunk: int = CHUNK) -> float:
+        """Seconds that the join of n vectors like those of ``test`` takes, about. The members of a cell are copied once for each of its chunks."""
+        if not len(test):
+            return 0.0
+        turned, total, m = test @ self.q, 0.0, len(test)
+        for k, _, cells, home in self.cells(turned):
+            if home.all():
+                at_home = np.bincount(cells, minlength=len(self.pivots[k])) / m
+                x = turned[:, self.parts[k]]
+                near = (_squared(x, x) <= self.budget[k]).sum() - m
+                total += n * n * (at_home @ at_home * PRODUCT + max(near, 0) / (2 * m * m) * CANDIDATE)
+            else:
+                visits = np.bincount(cells, minlength=len(self.pivots[k])) / m
+                members = n * (at_home + visits)
+                total += members @ np.ceil(members / chunk) * COPY + n * n * (at_home @ visits) * PRODUCT
+        return total
 
     def rotate(self, unit: np.ndarray) -> np.ndarray:
         """unit @ q with sums in a fixed order, whatever the number of rows."""
@@ -74,11 +122,10 @@ class Subspaces:
         """Per block (block, rows, cells, at home): each row at home once, and as a visitor of later cells within the radius."""
         for k, part in enumerate(self.parts):
             x, c = rotated[:, part], self.pivots[k]
-            far = ((x[:, None, :] - c[None]) ** 2).sum(2)
+            far = _squared(x, c)
             home = far.argmin(1)
             yield k, np.arange(len(x)), home, np.ones(len(x), bool)
-            apart = np.sqrt(((c[:, None] - c[None]) ** 2).sum(2))
-            border = (far - far[np.arange(len(x)), home][:, None]) / (2 * np.maximum(apart[home], 1e-300))
+            border = (far - far[np.arange(len(x)), home][:, None]) / (2 * np.maximum(self.apart[k][home], 1e-300))
             rows, cells = np.nonzero((border <= np.sqrt(self.budget[k]) + _SLACK) & (np.arange(len(c)) > home[:, None]))
             yield k, rows, cells, np.zeros(len(rows), bool)
 
@@ -90,8 +137,9 @@ class Subspaces:
         return out
 
 
-def usable(raw: np.ndarray) -> np.ndarray:
-    return np.isfinite(raw).all(1) & (raw != 0).any(1) if raw.shape[1] else np.zeros(len(raw), bool)
+def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances (len(a), len(b)), within about 1e-15 for vectors of at most length 1."""
+    return (a * a).sum(1)[:, None] - 2 * (a @ b.T) + (b * b).sum(1)
 
 
 def units(raw: np.ndarray) -> np.ndarray:
@@ -99,38 +147,46 @@ def units(raw: np.ndarray) -> np.ndarray:
     x = raw.astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
     n = np.zeros(len(x))
-    for d in range(x.shape[1]):
-        n += x[:, d] ** 2
+    for column in np.ascontiguousarray(x.T):
+        n += column * column
     return x / np.sqrt(n)[:, None]
 
 
-def _dealt(spaces: dict[int, Subspaces], kind: str) -> object:
-    """(id, n, dim, raw) -> (dim, block, cell, home, id, n, raw)."""
+def _dealt(spaces: dict[int, Subspaces], kind: str, counted: bool = False) -> object:
+    """(row, n, dim, raw) -> (dim, block, cell, home, row, n, raw), or only (dim, block, cell, copies)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(i, 2048) for i in range(0, whole.num_rows, 2048)):
+        for whole in lean(batches):
+            for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
                 dims = batch.column("dim").to_numpy()
                 for dim in np.unique(dims):
                     own = batch.filter(pa.array(dims == dim))
                     raw = np.frombuffer(b"".join(own.column("raw").to_pylist()), kind).reshape(own.num_rows, dim)
-                    space = spaces[int(dim)]
+                    space = spaces.get(int(dim)) or _plain(int(dim), spaces)
                     for k, rows, cells, home in space.cells(space.rotate(units(raw))):
                         n = len(rows)
-                        got = own.select(["id", "n", "dim", "raw"]).take(pa.array(rows))
-                        yield pa.RecordBatch.from_arrays([got.column("dim"), pa.array(np.full(n, k, np.int32)), pa.array(cells.astype(np.int32)), pa.array(home), got.column("id"), got.column("n"), got.column("raw")], names=["dim", "block", "cell", "home", "id", "n", "raw"])
+                        if counted:
+                            of, copies = np.unique(cells, return_counts=True)
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(of), x, np.int32)) for x in (dim, k)] + [pa.array(of.astype(np.int32)), pa.array(copies)], names=["dim", "block", "cell", "copies"])
+                            continue
+                        got = own.select(["row", "n", "dim", "raw"]).take(pa.array(rows))
+                        yield pa.RecordBatch.from_arrays([got.column("dim"), pa.array(np.full(n, k, np.int32)), pa.array(cells.astype(np.int32)), pa.array(home), got.column("row"), got.column("n"), got.column("raw")], names=["dim", "block", "cell", "home", "row", "n", "raw"])
 
     return run
 
 
+def _plain(dim: int, spaces: dict) -> Subspaces:
+    """For a length that few vectors have: one block, one cell."""
+    return spaces.setdefault(dim, Subspaces(np.zeros((0, dim)), dim, spaces[0], 1, 1))
+
+
 def _joined(spaces: dict[int, Subspaces], threshold: float, kind: str) -> object:
     """Sorted runs of one cell (or of two of its chunks) -> (a, b, links): forest links (links null) and numbers of links (b null)."""
 
     def pairs(space: Subspaces, k: int, raw: np.ndarray, ids: np.ndarray, home: np.ndarray, side: np.ndarray, both: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Index pairs (i at home, j) that block k is the first to find and that are linked."""
         unit = units(raw)
-        turned = space.rotate(unit)
-        x = turned[:, space.parts[k]]
+        x = unit @ space.q[:, space.parts[k]]
         sq, one = (x * x).sum(1, keepdims=True), np.ones((len(x), 1))
         # One product gives all squared distances; single precision is safe within the slack, as the rest decides.
         left, right = np.hstack([-2 * x, one, sq]).astype(np.float32), np.ascontiguousarray(np.hstack([x, sq, one]).T.astype(np.float32))
@@ -141,22 +197,25 @@ def _joined(spaces: dict[int, Subspaces], threshold: float, kind: str) -> object
                 flat = np.flatnonzero(left[rows] @ right[:, at : at + 4096] <= np.float32(space.budget[k] + 1e-5))
                 i, j = np.divmod(flat, len(cols))
                 a, b = rows[i], cols[j]
-                # Two hosts meet twice: the pair counts where the first has the smaller id. Pairs of one chunk belong to the cell of that chunk alone.
+                # Two hosts meet twice: the pair counts where the first has the smaller number. Pairs of one chunk belong to the cell of that chunk alone.
                 ok = (~home[b] | (ids[a] < ids[b])) & (not both or side[a] != side[b])
                 i, j = i[ok], j[ok]
                 for part in range(0, len(i), 65536):
                     a, b = rows[i[part : part + 65536]], cols[j[part : part + 65536]]
-                    ok = space.distance(turned[a], turned[b], k) <= space.budget[k]
+                    ok = np.einsum("nd,nd->n", unit[a], unit[b]) >= threshold
                     a, b = a[ok], b[ok]
+                    if not len(a):
+                        continue
+                    some, at_ = np.unique(np.r_[a, b], return_inverse=True)
+                    turned = space.rotate(unit[some])
+                    p, q = turned[at_[: len(a)]], turned[at_[len(a) :]]
+                    ok = space.distance(p, q, k) <= space.budget[k]
                     for before in range(k):
-                        ok = space.distance(turned[a], turned[b], before) > space.budget[before]
-                        a, b = a[ok], b[ok]
-                    cosine = np.einsum("nd,nd->n", unit[a], unit[b])
-                    ok = cosine >= threshold
+                        ok &= space.distance(p, q, before) > space.budget[before]
                     yield a[ok], b[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in sorted_runs(batches, "run"):
+        for rows in sorted_runs(lean(batches), "run"):
             key = rows.column("run").to_numpy()
             edges = np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
@@ -164,12 +223,12 @@ def _joined(spaces: dict[int, Subspaces], threshold: float, kind: str) -> object
                     continue
                 own = rows.slice(lo, hi - lo)
                 dim, k = own.column("dim")[0].as_py(), own.column("block")[0].as_py()
-                ids, n = own.column("id").to_numpy(), own.column("n").to_numpy()
+                ids, n = own.column("row").to_numpy(), own.column("n").to_numpy()
                 raw = np.frombuffer(b"".join(own.column("raw").to_pylist()), kind).reshape(len(ids), dim)
                 home, side = own.column("home").to_numpy(), own.column("side").to_numpy()
                 count = np.zeros(len(ids), np.int64)
                 a, b = [ids[:0]], [ids[:0]]
-                for i, j in pairs(spaces[dim], k, raw, ids, home, side, bool(own.column("both")[0].as_py())):
+                for i, j in pairs(spaces.get(dim) or _plain(dim, spaces), k, raw, ids, home, side, bool(own.column("both")[0].as_py())):
                     np.add.at(count, i, n[j])
                     np.add.at(count, j, n[i])
                     x, y = forest(ids[i], ids[j])
@@ -184,38 +243,44 @@ def _joined(spaces: dict[int, Subspaces], threshold: float, kind: str) -> object
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, blocks: int = BLOCKS, pivots: int = PIVOTS, sample: int = SAMPLE, chunk: int = CHUNK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: links are pairs with cosine >= ``threshold``."""
-    kind = "f4" if dict(vectors.dtypes)[embedding] == "array<float>" else "f8"  # as exact, and half as much to send
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"))
+    kind, of = ("f4", "float") if dict(vectors.dtypes)[embedding] == "array<float>" else ("f8", "double")  # as exact, and half as much to send
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(f"array<{of}>").alias("e"))
     sound = F.col("e").isNotNull() & (F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
-    rows = rows.withColumn("k", F.when(sound & F.col("vec_id").isNotNull(), F.transform("e", lambda x: x + 0.0)))  # no negative zeros
-    classes = written(rows.where("k is not null").groupBy("k").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")), "vectors")
+    zero = F.lit(0.0).cast(of)
+    rows = rows.select("vec_id", F.when(sound & F.col("vec_id").isNotNull(), F.transform("e", lambda x: F.when(x == zero, zero).otherwise(x))).alias("k"))  # no negative zeros
+    classes = written(rows.where("k is not null").groupBy("k").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumns({"row": F.monotonically_increasing_id(), "h": F.xxhash64("k")}), "vectors")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             k = b.column("k")
             raws = [np.asarray(v.values.to_numpy(zero_copy_only=False), kind).tobytes() for v in k]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), pa.array([len(r) // np.dtype(kind).itemsize for r in raws], pa.int32()), pa.array(raws, pa.binary())], names=["id", "n", "dim", "raw"])
-
-    flat = classes.mapInArrow(packed, "id long, n long, dim int, raw binary")
-    dims = [r.dim for r in classes.select(F.size("k").alias("dim")).distinct().collect()]
-    spaces = {}
-    for dim in dims:
-        got = bounded_sample(classes.where(F.size("k") == dim).select("id", "k"), sample, "id").collect()
-        spaces[dim] = Subspaces(units(np.array([r.k for r in got])), dim, threshold, blocks, pivots)
-    cells = flat.repartition("id").mapInArrow(_dealt(spaces, kind), "dim int, block int, cell int, home boolean, id long, n long, raw binary")
-    sizes = cells.groupBy("dim", "block", "cell").count().select(F.col("dim").alias("_d"), F.col("block").alias("_b"), F.col("cell").alias("_e"), F.greatest(F.lit(1), F.ceil(F.col("count") / chunk)).cast("int").alias("_c"))
-    met = cells.join(F.broadcast(sizes), (F.col("dim") == F.col("_d")) & (F.col("block") == F.col("_b")) & (F.col("cell") == F.col("_e")))  # at most blocks x pivots rows a length
-    own = F.pmod(F.xxhash64("id"), F.col("_c")).cast("int")
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n"), pa.array([len(r) // np.dtype(kind).itemsize for r in raws], pa.int32()), pa.array(raws, pa.binary())], names=["row", "n", "dim", "raw"])
+
+    flat = classes.select("row", "n", "k").mapInArrow(packed, "row long, n long, dim int, raw binary")
+    lengths = {r["dim"]: r["n"] for r in classes.groupBy(F.size("k").alias("dim")).agg(F.count("*").alias("n")).collect()}  # one row a length
+    spaces: dict[int, object] = {0: threshold}
+    for dim, n in lengths.items():
+        if n > 256 and 64 * n > sum(lengths.values()):  # 64 lengths at most
+            got = bounded_sample(classes.where(F.size("k") == dim), sample, ["row"], F.col("k"))
+            spaces[dim] = Subspaces.chosen(units(np.array([r.k for r in got], np.float64)), dim, threshold, n, blocks, pivots, chunk)
+    cells = flat.repartition("row").mapInArrow(_dealt(spaces, kind), "dim int, block int, cell int, home boolean, row long, n long, raw binary")
+    counts = flat.mapInArrow(_dealt(spaces, kind, True), "dim int, block int, cell int, copies long").groupBy("dim", "block", "cell").agg(F.sum("copies").alias("copies"))
+    sizes = counts.select(F.col("dim").alias("_d"), F.col("block").alias("_b"), F.col("cell").alias("_e"), F.ceil(F.col("copies") / chunk).cast("int").alias("_c")).where("_c > 1")
+    # Fewer than 1 / chunk of all copies' number are cells of more than a chunk, and blocks x pivots a length at most.
+    met = cells.join(F.broadcast(sizes), (F.col("dim") == F.col("_d")) & (F.col("block") == F.col("_b")) & (F.col("cell") == F.col("_e")), "left").withColumn("_c", F.coalesce("_c", F.lit(1)))
+    own = F.pmod(F.xxhash64("row"), F.col("_c")).cast("int")
     # Chunk x meets itself in (x, x) and each other chunk once.
     dealt = met.withColumn("side", own).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
     i, j = F.least("side", "_o"), F.greatest("side", "_o")
-    dealt = dealt.select(F.xxhash64("dim", "block", "cell", i, j).alias("run"), (i != j).alias("both"), "side", "dim", "block", "home", "id", "n", "raw")
+    dealt = dealt.select(F.xxhash64("dim", "block", "cell", i, j).alias("run"), (i != j).alias("both"), "side", "dim", "block", "home", "row", "n", "raw")
     got = written(dealt.repartition("run").sortWithinPartitions("run").mapInArrow(_joined(spaces, threshold, kind), "a long, b long, links long"), "links")
-    counts = got.where("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
-    found = components(got.where("links is null").select("a", "b")).select(F.col("node").alias("_n"), F.col("component").alias("_comp"))
-    named = classes.select("id", "k", "n").join(counts, F.col("id") == F.col("a"), "left").join(found, F.col("id") == F.col("_n"), "left")
-    named = named.select(F.col("k").alias("_k"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("_links"), F.coalesce("_comp", "id").alias("_comp"))
-    out = rows.select("vec_id", "k").join(named, F.col("k") == F.col("_k"), "left").select("vec_id", F.coalesce("_links", F.lit(0)).alias("n_links"), F.coalesce("_comp", "vec_id").alias("component_id"))
+    counts = got.where("links is not null").groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("links"))
+    found = components(got.where("links is null").select("a", "b")).select(F.col("node").alias("row"), F.col("component").alias("_comp"))
+    named = classes.join(counts, "row", "left").join(found, "row", "left")
+    named = written(named.select("h", "k", "n", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("_comp", "row").alias("_comp")), "named")
+    whole = written(named.join(named.groupBy("_comp").agg(F.min("least").alias("component_id")), "_comp").select("h", "k", "n", "n_links", "component_id"), "components")
+    # A hash in front, so that the join sorts by it and not by whole vectors.
+    out = joined_hot(rows.withColumn("h", F.xxhash64("k")), whole, ["h", "k"], "n").select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -10,29 +10,32 @@ side by side through the network, each with ``MARGIN`` bytes of its neighbours
 on both sides to warm the states up, and every byte of the text is labelled in
 exactly one window. Memory does not depend on the length of a text.
 
-Defined results: null texts and texts without a letter give ``und`` with score
-0; if there is nothing to learn from, every text gives ``und``. Repeated rows
-give repeated results; extra columns are never read.
+Defined results: null texts and texts without a letter (of any script; digits,
+fractions and numerals such as "½" or "Ⅷ" are none) give ``und`` with score 0; if
+there is nothing to learn from, every text gives ``und``. Of languages that are
+equally probable, the first in order of name is given. Repeated rows give
+repeated results, an empty table none; extra columns are never read. Rows without
+a language or an id can be predicted, and the former are never learned from.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table
+from .common import bounded_sample, lean, table
 
 #: Rows that training may see at most, windows cut from each, and bytes of each.
 SAMPLE_ROWS, WINDOWS_PER_ROW, TRAIN_BYTES = 3000, 3, 72
 WINDOW, MARGIN = 192, 8
 HIDDEN, STEPS, BATCH = 8, 300, 160
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _step(x: np.ndarray, h: np.ndarray, u_rz: np.ndarray, u_n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -189,7 +192,7 @@ class ByteGru:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", rows: int = SAMPLE_ROWS) -> ByteGru | None:
-    """A network fitted on at most ``rows`` labelled rows, chosen by a hash of ``order``; None without labelled text.
+    """A network fitted on at most ``rows`` labelled rows, chosen by a hash of ``order`` and text; None without labelled text.
 
     Only ``WINDOWS_PER_ROW`` windows of each chosen text come to the driver:
     the sample is bounded in rows and in bytes.
@@ -197,7 +200,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str =
     size = F.length(text)
     cuts = [F.substring(F.col(text), F.lit(1) + F.floor(size * k / WINDOWS_PER_ROW).cast("int"), F.lit(TRAIN_BYTES)) for k in range(WINDOWS_PER_ROW)]
     known = docs.where(F.col(lang).isNotNull() & (size > 0))
-    got = bounded_sample(known.select(F.col(order).alias("id"), F.array(*cuts).alias("cuts"), F.col(lang).alias("lang")), rows, "id").collect()
+    got = bounded_sample(known, rows, [order, text], F.array(*cuts).alias("cuts"), F.col(lang).alias("lang"))
     pairs = [(cut.encode()[:TRAIN_BYTES], r.lang) for r in got for cut in r.cuts if cut and len(cut.encode()) >= 24]
     if not pairs:
         return None
@@ -214,7 +217,7 @@ def predict(net: ByteGru | None, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in lean(batches):
             some = [bool(isinstance(t, str) and net and _LETTER.search(t)) for t in texts]
             raws = [t.encode("utf-8", "replace") if ok else b"" for t, ok in zip(texts, some, strict=True)]
             if not net:

@@ -12,12 +12,14 @@ repeats. A token whose
 marginal for a kind is at least ``SURE`` and that touches no base span is added.
 
 The weights are learned by maximum pseudo-likelihood on the base spans of at most
-``SAMPLE_ROWS`` documents, chosen by a hash of their id, so that the field learns
+``SAMPLE_ROWS`` documents, chosen by a hash of their id and text, so that the field learns
 what the look of a token and its neighbours say about the patterns' verdicts.
 
 Defined results: null and empty texts have no spans. Patterns run in linear time
 over whole texts of any length; the links of n repeats are n - 1. If the sample
-holds no token to learn from, only base spans are returned.
+holds no token to learn from, only base spans are returned. Overlapping base spans
+all stay; an added span touches none of them. Repeated rows give repeated results, an
+empty table none; no column but the text and the id is read.
 """
 
 from __future__ import annotations
@@ -31,10 +33,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table
+from .common import bounded_sample, lean, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rows that training may see at most, and the longest text among them.
+#: Rows that training may see at most, and characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
 SURE, ROUNDS, DAMPING = 0.95, 8, 0.5
 #: A text's messages are settled when none changes by so much in a round, looked at every ``ROUNDS`` rounds.
@@ -284,9 +286,11 @@ def joined(spans: list[Span]) -> str:
 
 
 def train(docs: DataFrame, text: str = "text", order: str = "doc_id", rows: int = SAMPLE_ROWS) -> SkipChain | None:
-    """A field fitted on at most ``rows`` documents that hold a digit or an ``@``; None if there are none."""
-    some = docs.where((F.length(text) <= SAMPLE_CHARS) & F.col(text).rlike("[0-9@]"))
-    got = bounded_sample(some.select(F.col(order).alias("id"), F.col(text).alias("t")), rows, "id").collect()
+    """A field fitted on at most ``rows`` documents that hold a digit or an ``@``; None if there are none. Of longer texts than ``SAMPLE_CHARS``, a stretch around the first of these that is not at the very start."""
+    some = docs.where(F.col(text).rlike("[0-9@]"))
+    before = F.greatest(F.lit(0), F.regexp_instr(F.col(text), F.lit("[0-9@]")) - SAMPLE_CHARS // 2)
+    stretch = F.when(F.length(text) <= SAMPLE_CHARS, F.col(text)).otherwise(F.substring(F.col(text), before + 1, F.lit(SAMPLE_CHARS)))
+    got = bounded_sample(some, rows, [order, text], stretch.alias("t"))
     graphs = [(g, g.labels(base_spans(r.t))) for r in got if (g := Nodes(r.t)).spans]
     if not graphs:
         return None
@@ -301,7 +305,7 @@ def found(field: SkipChain | None, text: Column) -> Column:
 
     @F.pandas_udf(f"base {one}, spans {one}")
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in lean(batches):
             own = spans_of([t if isinstance(t, str) else None for t in texts], field)
             rows = [[[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in part] for part in pair] for pair in own]
             yield pd.DataFrame(rows, columns=["base", "spans"])
@@ -319,7 +323,7 @@ def redacted(field: SkipChain | None, text: Column) -> Column:
 
     @F.pandas_udf("string")
     def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in lean(batches):
             out = []
             for t, (_, spans) in zip(texts, spans_of([t if isinstance(t, str) else None for t in texts], field), strict=True):
                 if not spans:

@@ -9,7 +9,10 @@ soft label of a linear scorer over hashed words and word shapes, fitted on a
 bounded sample, which scores every whole text.
 
 Defined results: null and empty texts are voted on like texts of no words and
-score 0. With an empty table there is nothing to fit and nothing to return.
+score 0. Of very long texts the whole is measured and scored; the scorer's fit sees
+a stretch of them. Repeated rows count and vote as often as they occur and get equal
+results. A text exactly on the border (one half) is good. With an empty table there
+is nothing to fit and nothing to return. No column but the text and the id is read.
 """
 
 from __future__ import annotations
@@ -24,29 +27,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, table
+from .common import Cache, bounded_sample, lean, resident, table
 
 GOOD, BAD, NONE = 0, 1, 2
-#: Rows that the scorer is fitted on at most, the longest text among them, and the scorer's size.
+#: Rows that the scorer is fitted on at most, characters of a text that it sees there at most, and the scorer's size.
 SAMPLE_ROWS, SAMPLE_CHARS, DIMS = 2500, 20_000, 1 << 15
 _PLAIN = {ord(c): None for c in ".,;:?\"'()-+@/"}
 _SYMBOLS = [bytes([c]) for c in b"|#{}<>=_~*\\^$%&"]
 
 
-class _Plain(dict):
-    """word -> 1 if it is letters or digits but for common marks, and no long run of capitals; remembered up to a bound."""
+def plain(word: str) -> int:
+    """1 if a word is letters or digits but for common marks, and no long run of capitals."""
+    return int(word.translate(_PLAIN).isalnum() and not (word.isupper() and len(word) > 3))
 
-    def __missing__(self, word: str) -> int:
-        value = int(word.translate(_PLAIN).isalnum() and not (word.isupper() and len(word) > 3))
-        if len(self) < 150_000 and len(word) <= 60:  # what is frequent comes early
-            self[word] = value
-        return value
 
+def known_words() -> Cache:
+    """``plain`` of words, remembered by the worker up to a bound of bytes."""
+    return resident("plain", lambda: Cache(plain))
 
-_plain = _Plain()
 
-
-def measures(text: str) -> dict[str, float]:
+def measures(text: str, plain: Cache) -> dict[str, float]:
     """What the labellers look at, each read off the whole text."""
     raw, words, lines = text.encode("utf-8", "replace"), text.split(), [x for x in text.split("\n") if x.strip()]
     n, b = max(1, len(words)), np.frombuffer(raw, np.uint8)
@@ -55,7 +55,7 @@ def measures(text: str) -> dict[str, float]:
     return {
         "words": len(words), "letters": upper + lower, "upper": upper / max(1, upper + lower), "symbols": sum(map(raw.count, _SYMBOLS)) / n,
         "cries": raw.count(b"!") / n, "bars": words.count("|") / n, "again": again / n,
-        "plain": (sum(map(_plain.__getitem__, words)) - (sum(_plain[w] for w, x in zip(words, words[1:]) if w == x) if again else 0)) / n,
+        "plain": (sum(map(plain.__getitem__, words)) - (sum(plain[w] for w, x in zip(words, words[1:]) if w == x) if again else 0)) / n,
         "lines": len(lines), "lines_again": 1 - len(set(lines)) / max(1, len(lines)),
     }
 
@@ -73,17 +73,18 @@ LABELLERS = {
 }
 
 
-def pattern(text: str | None) -> int:
+def pattern(text: str | None, plain: Cache) -> int:
     """The votes as a number in base 3, the first labeller's lowest."""
-    m = measures(text or "")
+    m = measures(text or "", plain)
     return sum(vote(m) * 3**i for i, vote in enumerate(LABELLERS.values()))
 
 
 def patterns(text: Column) -> Column:
     @F.pandas_udf("int")
     def votes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series([pattern(t if isinstance(t, str) else None) for t in texts], dtype="int32")
+        words = known_words()
+        for texts in lean(batches, keep=True):
+            yield pd.Series([pattern(t if isinstance(t, str) else None, words) for t in texts], dtype="int32")
 
     return votes(text)
 
@@ -134,7 +135,7 @@ class Scorer:
 
     def __init__(self, dims: int = DIMS):
         self.w, self.bias, self.again, self.dims = np.zeros(dims, np.float32), 0.0, 0.0, dims
-        self.seen: dict[str, float] = {}
+        self.seen = Cache(self.weight)
 
     def fit(self, texts: list[str], good: np.ndarray, steps: int = 150, rate: float = 0.3, ridge: float = 1e-5) -> None:
         lists = [t.split() for t in texts]
@@ -162,20 +163,15 @@ class Scorer:
             w = w - rate * (m / (1 - 0.9**i)) / (np.sqrt(s / (1 - 0.99**i)) + 1e-8)
         self.w, self.bias, self.again = w[:-2].astype(np.float32), float(w[-2]), float(w[-1])
 
-    def word(self, word: str) -> float:
-        value = self.seen.get(word)
-        if value is None:
-            a, b = buckets(word, self.dims)
-            value = float(self.w[a] + self.w[b])
-            if len(self.seen) < 150_000 and len(word) <= 60:
-                self.seen[word] = value
-        return value
+    def weight(self, word: str) -> float:
+        a, b = buckets(word, self.dims)
+        return float(self.w[a] + self.w[b])
 
     def score(self, text: str) -> float:
         words = text.split()
         if not words:
             return 0.0
-        z = self.bias + sum(map(self.word, words)) / len(words) + self.again * sum(map(eq, words, words[1:])) / len(words)
+        z = self.bias + sum(map(self.seen.__getitem__, words)) / len(words) + self.again * sum(map(eq, words, words[1:])) / len(words)
         return float(1 / (1 + np.exp(-min(60.0, max(-60.0, z)))))
 
 
@@ -183,9 +179,12 @@ def fitted(docs: DataFrame, text: str = "text", order: str = "doc_id", rows: int
     """The weak-label model of all of ``docs`` and the scorer fitted on at most ``rows`` of them."""
     counts = {r["p"]: r["n"] for r in docs.select(patterns(F.col(text)).alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}  # at most 3 ** labellers
     labels, scorer = WeakLabels(counts), Scorer()
-    some = bounded_sample(docs.where(F.length(text).between(1, SAMPLE_CHARS)).select(F.col(order).alias("id"), F.col(text).alias("t")), rows, "id").collect()
+    # Of a longer text, a stretch at a place that its hash gives; its votes are those of the whole text.
+    start = F.floor(F.pmod(F.xxhash64(text), F.lit(1000)) * (F.length(text) - SAMPLE_CHARS) / 1000).cast("int")
+    stretch = F.when(F.length(text) <= SAMPLE_CHARS, F.col(text)).otherwise(F.substring(F.col(text), start + 1, F.lit(SAMPLE_CHARS)))
+    some = bounded_sample(docs.where(F.length(text) > 0), rows, [order, text], stretch.alias("t"), patterns(F.col(text)).alias("votes"))
     if some:
-        scorer.fit([r.t for r in some], labels.posterior(np.array([pattern(r.t) for r in some])))
+        scorer.fit([r.t for r in some], labels.posterior(np.array([r.votes for r in some])))
     return labels, scorer
 
 
@@ -194,9 +193,10 @@ def graded(labels: WeakLabels, scorer: Scorer, text: Column) -> Column:
 
     @F.pandas_udf("votes int, p_good double, score double, good boolean")
     def grade(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        words = known_words()
+        for texts in lean(batches, keep=True):
             own = [t if isinstance(t, str) else "" for t in texts]
-            votes = np.array([pattern(t) for t in own], np.int32)
+            votes = np.array([pattern(t, words) for t in own], np.int32)
             p, s = labels.posterior(votes), np.array([scorer.score(t) for t in own], float)
             yield pd.DataFrame({"votes": votes, "p_good": p, "score": s, "good": (p + s) / 2 >= 0.5})
 
