@@ -13,15 +13,19 @@ third of all pieces share is never in one task.
 Defined results: null and empty texts are one piece of the closing token alone.
 Texts longer than a sequence are cut; the remainder comes first, so only piece 0
 may be shorter. Repeated rows are packed one by one; an empty table gives none.
+Pieces of equal length are interchangeable: a random rank, then the other columns,
+order them. A null id is kept as it is. Columns other than id and text aren't read;
+of ``packed``'s input all columns are kept, whatever their names, unless they are
+called sequence_id or offset.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -30,18 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .byte_bpe import CACHE, LONGEST, Cache, pieces
-from .common import table, written
+from .common import fresh, lean, resident, table, written
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 SIZE, DEPTH = 1024, 3
-_SPACE = re.compile(r"\s")
-#: Pieces of one length that a window may rank together, about.
-RANKED = 8192
+#: Pieces of one length that a window ranks together, about; or the root of their number, if that is more, so that neither the groups nor their number grow large.
+RANKED = 1024
 
 
 class Ids:
-    """ids of texts by a tokenizers file. Pieces between single spaces are encoded once and remembered, as far as the vocabulary allows."""
+    """ids of texts by a tokenizers file. Texts without a special token's string are merged by rank, several times faster, where the file's merges are in order of rank and odd texts get the same ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
@@ -49,72 +51,41 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        probe = "Some words, and  spaces\n here's 12 more. "
-        whole = self._ids(probe)
-        self.first, self.rest, self.words = Cache(self._ids), Cache(lambda piece: self._ids(" " + piece)), Cache(lambda word: self._ids(" " + word))
-        self.cut = self._joined(probe) == whole and self._ids("a b") == self._ids("a") + self._ids(" b")
-        line = np.frombuffer(self._ids("\n"), "<u4")
-        self.line = int(line[0]) if len(line) == 1 and self._ids(" ab\n cd") == self._ids(" ab") + self._ids("\n") + self._ids(" cd") else 0
-        self.ranked = self._by_rank()
-        self.ends = {c: self._ids(c) for c in ".,;:!?" if self._ids(" ab" + c) == self._ids(" ab") + self._ids(c)}
-
-    def _by_rank(self) -> object:
-        """The file's vocabulary as ranks, which merge several times faster; None unless ids are ranks and texts of all kinds get the same ids."""
+        self.ranked = self._by_rank(path)
+
+    def _by_rank(self, path: str) -> object:
+        """The file's vocabulary as ranks; None unless its merges go by rank and texts of all kinds get the same ids."""
         import tiktoken
 
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        with open(path, encoding="utf-8") as file:
+            merges = json.load(file)["model"].get("merges", [])
+        made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges]
+        vocabulary = self.tokenizer.get_vocab()
         try:
-            ranks = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab().items() if t not in self.special}
+            order = [vocabulary[t] for t in made]
+            ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if t not in self.special}
             fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         except (KeyError, ValueError):
             return None
+        if order != sorted(set(order)) or len(order) + 256 != len(ranks):
+            return None
         probes = ["".join(map(chr, range(1, 0x250))), " ".join(self.tokenizer.decode([i]) for i in range(0, len(ranks), 17)), "it's 12\n\n  they'll été Straße 字 \t!?"]
         same = all(fast.encode_ordinary(t) == self.tokenizer.encode(t, add_special_tokens=False).ids for t in probes)
         return fast if same else None
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _joined(self, text: str) -> bytes:
-        parts = pieces(text)
-        return self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))
-
-    def _learn(self, new: list[str]) -> None:
-        """Remembers pieces that begin with a letter, a sign or a digit, all in one call of the tokenizer."""
-        cut = {p: p[:-1] if p[-1:] in self.ends and p[:-1].isalpha() else p for p in new}
-        words = [w for w in dict.fromkeys(cut.values()) if w not in self.words]
-        lines = [w for w in words if self.line and not _SPACE.search(w)]
-        # Texts with a word on each line: the line ends are tokens of their own.
-        for own in (lines[i : i + 256] for i in range(0, len(lines), 256)):
-            text = "\n".join(f" {w}" for w in own)
-            ids = np.array(self.ranked.encode_ordinary(text) if self.ranked else self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            raw, at = ids.tobytes(), np.flatnonzero(ids == self.line) * 4
-            if len(at) == len(own) - 1:
-                for w, lo, hi in zip(own, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True):
-                    self.words[w] = raw[lo:hi]
-        for p, w in cut.items():
-            self.rest[p] = self.words[w] if w is p else self.words[w] + self.ends[p[-1]]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        easy = [self.cut and not any(s in t for s in self.special) for t in texts]
-        lists = [pieces(t) if ok else [t] for t, ok in zip(texts, easy, strict=True)]
-        new: set[str] = set()
-        for parts, ok in zip(lists, easy, strict=True):
-            if ok:
-                new.update(p for p in set(parts[1:]) if p not in self.rest)
-        new = {p for p in new if p and len(p) <= LONGEST}
-        if len(self.rest) + len(new) > CACHE:  # not while pieces are joined below
-            self.rest.halve()
-            self.words.halve()
-            new = {p for parts, ok in zip(lists, easy, strict=True) if ok for p in parts[1:] if p and len(p) <= LONGEST and p not in self.rest}
-        self._learn(list(new))
-        return [(self.first[parts[0]] + b"".join(map(self.rest.__getitem__, parts[1:]))) if ok else self._ids(t) for t, parts, ok in zip(texts, lists, easy, strict=True)]
-
-
-@lru_cache(2)
+    def __call__(self, text: str) -> bytes:
+        if self.ranked and not any(s in text for s in self.special):
+            ids = self.ranked.encode_ordinary(text)
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, "<u4").tobytes()
+
+
 def ids_by(path: str) -> Ids:
-    return Ids(path)
+    """The tokenizer of a file, read once in a worker."""
+    return resident(("ids", path), lambda: Ids(path))
 
 
 def cut(n: int, size: int = SIZE) -> list[tuple[int, int]]:
@@ -130,12 +101,11 @@ def tokenised(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
     @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long>>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own, end = ids_by(path), np.array([END], "<u4").tobytes()
-        for texts in batches:
+        for texts in lean(batches, keep=True):
             out = []
-            for at in range(0, len(texts), 256):
-                for raw in own([t if isinstance(t, str) else "" for t in texts.iloc[at : at + 256]]):
-                    raw += end
-                    out.append([{"piece": k, "start": a, "length": n, "ids_crc32": zlib.crc32(raw[4 * a : 4 * (a + n)])} for k, (a, n) in enumerate(cut(len(raw) // 4, size))])
+            for t in texts:
+                raw = memoryview((own(t) if isinstance(t, str) else b"") + end)
+                out.append([{"piece": k, "start": a, "length": n, "ids_crc32": zlib.crc32(raw[4 * a : 4 * (a + n)])} for k, (a, n) in enumerate(cut(len(raw) // 4, size))])
             yield pd.Series(out)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.inline(split(F.col(text))))
@@ -225,31 +195,32 @@ def places(steps: list[tuple[tuple[int, ...], int]], size: int = SIZE) -> dict[i
 
 def packed(parts: DataFrame, size: int = SIZE, depth: int = DEPTH) -> DataFrame:
     """``parts`` (with length) and the columns sequence_id and offset. What it reads is written first, so ranks are of one state of it."""
-    kept = written(parts.withColumn("_r", F.rand(13)), "pieces")
+    rand, salt, first, nth, rank, place_ = fresh(parts.columns, "_r", "_s", "_from", "_k", "_rank", "_p")
+    kept = written(parts.withColumn(rand, F.rand(13)), "pieces")
     counts = kept.groupBy("length").count().collect()  # at most ``size`` rows
     hist = np.zeros(size + 1, np.int64)
     for r in counts:
         hist[r["length"]] = r["count"]
     where = places(plan(hist, depth), size)
-    salts = F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r["length"], -(-r["count"] // RANKED))]), F.col("length")) if counts else F.lit(1)
-    salted = kept.withColumn("_s", F.floor(F.col("_r") * salts).cast("int"))
-    groups = salted.groupBy("length", "_s").count().withColumn("_from", F.sum("count").over(W.partitionBy("length").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)))
-    ranks = F.row_number().over(W.partitionBy("length", "_s").orderBy("_r", "doc_id", "piece", "ids_crc32"))
-    ranked = salted.withColumn("_k", ranks).join(groups.select("length", "_s", "_from"), ["length", "_s"]).withColumn("_rank", F.coalesce("_from", F.lit(0)) + F.col("_k") - 1)
+    salts = F.element_at(F.create_map(*[F.lit(v) for r in counts for v in (r["length"], -(-r["count"] // max(RANKED, isqrt(r["count"]))))]), F.col("length")) if counts else F.lit(1)
+    salted = kept.withColumn(salt, F.floor(F.col(rand) * salts).cast("int"))
+    groups = salted.groupBy("length", salt).agg(F.count("*").alias("n")).withColumn(first, F.sum("n").over(W.partitionBy("length").orderBy(salt).rowsBetween(W.unboundedPreceding, -1)))
+    ranks = F.row_number().over(W.partitionBy("length", salt).orderBy(rand, *(c for c in ("doc_id", "piece", "ids_crc32") if c in parts.columns)))
+    ranked = salted.withColumn(nth, ranks).join(groups.select("length", salt, first), ["length", salt]).withColumn(rank, F.coalesce(first, F.lit(0)) + F.col(nth) - 1)
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(lengths: pd.Series, rank: pd.Series) -> pd.DataFrame:
         n, r = lengths.to_numpy(), rank.to_numpy()
         seq, off = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
         order = np.argsort(n, kind="stable")
-        of, first = np.unique(n[order], return_index=True)
-        for v, rows in zip(of, np.split(order, first[1:]), strict=True) if len(n) else ():
+        of, starts = np.unique(n[order], return_index=True)
+        for v, rows in zip(of, np.split(order, starts[1:]), strict=True) if len(n) else ():
             t = where[int(v)]
             at = np.searchsorted(t[:, 0], r[rows], side="right") - 1
             seq[rows], off[rows] = t[at, 1] + r[rows] - t[at, 0], t[at, 2]
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
-    return ranked.withColumn("_p", place("length", "_rank")).select(*parts.columns, "_p.sequence_id", "_p.offset")
+    return ranked.withColumn(place_, place("length", rank)).select(*parts.columns, F.col(place_)["sequence_id"].alias("sequence_id"), F.col(place_)["offset"].alias("offset"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
