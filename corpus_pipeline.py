@@ -11,10 +11,19 @@ go from stage to stage as Parquet.
 - quality: documents that the weak labels and the scorer together grade as bad go.
 - near_duplicates: of each group of documents linked by a similarity of five-word
   shingles of 0.8 or more, the one with the smallest id stays. Repeated rows are
-  copies; rows with a null id can't be told apart and stay.
+  copies; different texts under one id, or without one, are different documents.
 - pii: each span of personal data becomes its kind in angle brackets; n_chars
   follows the text.
 - packing: one row for each piece of each document with its sequence and place.
+
+Defined for every stage: null texts and texts without a letter are rejected by
+language; a later stage that is given them rejects them (quality), keeps each
+(near_duplicates), leaves them as they are with n_chars null or 0 (pii), or packs
+the closing token alone (packing). Texts of any length are read whole. Ties: a
+language's score of exactly ``LEAST`` and a grade of exactly one half stay. Repeated
+rows are decided alike, and one of them survives near_duplicates. An empty table
+gives an empty table. Further columns, whatever their names, go along through all
+stages but the last, whose columns are those of packing.
 """
 
 from __future__ import annotations
@@ -23,26 +32,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainspoke.llm import language_id, minhash_dedup, packing, pii, quality
-from plainspoke.llm.common import table, written
+from plainspoke.llm.common import fresh, table, written
 
 LEAST, SIMILAR = 0.5, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = language_id.train(docs.where(~language_id.held_out()))
-    told = docs.withColumn("_language", language_id.predict(net, F.col("text")))
-    return told.where((F.col("_language.lang_pred") != language_id.UND) & (F.col("_language.score") >= LEAST)).select(*docs.columns)
+    (told,) = fresh(docs.columns, "_told")
+    own = docs.withColumn(told, language_id.predict(net, F.col("text")))
+    return own.where((F.col(told)["lang_pred"] != language_id.UND) & (F.col(told)["score"] >= LEAST)).select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    graded = docs.withColumn("_grade", quality.graded(*quality.fitted(docs), F.col("text")))
-    return graded.where("_grade.good").select(*docs.columns)
+    (grade,) = fresh(docs.columns, "_grade")
+    graded = docs.withColumn(grade, quality.graded(*quality.fitted(docs), F.col("text")))
+    return graded.where(F.col(grade)["good"]).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = minhash_dedup.near_duplicates(docs, threshold=SIMILAR).where("kept").select("doc_id")
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return minhash_dedup.survivors(docs, threshold=SIMILAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
