@@ -136,6 +136,6 @@ def versioned(target: DataFrame, writes: DataFrame, key: str, version: str = "ve
 def best_links(links: DataFrame, page: str, kind: str, confidence: str, priority: dict[str, int], most: int = 6) -> DataFrame:
     """Of each page the best link of each kind, by confidence, then the kind's priority, ``most`` at most. Ties go to the first place."""
     rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in priority.items() for x in kv)), F.col(kind)), F.lit(99))
-    one = links.withColumn("_k", F.row_number().over(W.partitionBy(page, kind).orderBy(F.desc(confidence), "at"))).where("_k = 1")
-    best = one.withColumn("place", F.row_number().over(W.partitionBy(page).orderBy(F.desc(confidence), rank, "at"))).where(F.col("place") <= most)
+    one = links.withColumn("_k", F.row_number().over(W.partitionBy(page, kind).orderBy(F.desc(confidence), "nth"))).where("_k = 1")
+    best = one.withColumn("place", F.row_number().over(W.partitionBy(page).orderBy(F.desc(confidence), rank, "nth"))).where(F.col("place") <= most)
     return best.drop("_k")

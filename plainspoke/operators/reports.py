@@ -156,3 +156,43 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     for df in counts[1:]:
         out = out.unionByName(df)
     return out
+
+
+def all_tilt(pairs: DataFrame, tags: dict[str, list[str]], sure: list[str], acts: list[str], universal: list[str], able: list[str], reach: list[str], stopwords: list[str]) -> DataFrame:
+    """(conv_id, i, tags) of answers, T1 to T10 in order. T2: certainty without an enforcing verb; T4: a phrase, or a universal word with a capability; T9: at least 6 words of 4 letters that the prompt lacks, and .55 of the answer's."""
+    a, p = F.lower(F.coalesce(F.col("answer"), F.lit(""))), F.lower(F.coalesce(F.col("prompt"), F.lit("")))
+    own = pairs.select("conv_id", "i", a.alias("a"), T.content_tokens(a, stopwords, 4, 1_000_000).alias("k"), T.content_tokens(p, stopwords, 4, 1_000_000).alias("q"))
+    t, new = F.col("a"), F.size(F.array_except("k", "q"))
+    tests = {k: T.has_any(t, words) for k, words in tags.items()} | {"T2": T.has_any(t, sure) & ~T.has_any(t, acts), "T4": T.has_any(t, reach) | (T.has_any(t, universal) & T.has_any(t, able)), "T9": (new >= 6) & (new * 100 >= 55 * F.size("k"))}
+    return own.select("conv_id", "i", F.array_compact(F.array(*(F.when(tests[k], k) for k in sorted(tests, key=lambda k: int(k[1:]))))).alias("tags"))
+
+
+def phrase_union(phrases: DataFrame, key: str, side: str, phrase: str) -> DataFrame:
+    """(key, phrases): the phrases of all sides of a key, each once, in order."""
+    return phrases.select(key, phrase).distinct().groupBy(key).agg(F.array_sort(F.collect_list(phrase)).alias("phrases"))
+
+
+def latest_scores(entities: DataFrame, scored: dict[str, DataFrame]) -> DataFrame:
+    """``entities`` (id, kind) with the latest score (id, score, at) of the table of their kind."""
+    every = None
+    for kind, df in scored.items():
+        own = df.select("id", "score", "at", F.lit(kind).alias("kind"))
+        every = own if every is None else every.unionByName(own)
+    latest = every.groupBy("id", "kind").agg(F.max_by("score", "at").alias("score"))
+    return entities.join(latest, ["id", "kind"], "left").select("id", "kind", "score")
+
+
+def full_account_stats(scored: DataFrame, decisions: DataFrame, spent: DataFrame, account: str) -> DataFrame:
+    """(account, total, mean_tenths, overrides, accepted in a hundred, spend with 15 in a hundred on top, 4 digits): three aggregates, each made before they meet. spent: account, n thousandths of a cent."""
+    a = scored.groupBy(account).agg(F.count("*").alias("total"), F.floor(F.sum("score") * 10 / F.count("*")).cast("long").alias("mean_tenths"))
+    b = decisions.groupBy(account).agg(F.count_if("override").alias("overrides"), F.floor(F.count_if("accepted") * 100 / F.count("*")).cast("long").alias("accepted"))
+    c = spent.groupBy(account).agg(F.round(F.sum("n").cast("decimal(18,0)") * F.expr("0.0000115BD"), 4).cast("decimal(18,4)").alias("spend"))
+    got = a.join(b, account, "left").join(c, account, "left")
+    return got.select(account, "total", "mean_tenths", F.coalesce("overrides", F.lit(0)).alias("overrides"), F.coalesce("accepted", F.lit(0)).alias("accepted"), "spend")
+
+
+def page_of(df: DataFrame, order: list[str], page: int, size: int, place: str) -> DataFrame:
+    """One page of an ordered list with its places, in order: only so many first rows of each task meet."""
+    first = df.orderBy(*order).limit(page * size)
+    w = W.orderBy(*order)  # page x size rows
+    return first.withColumn(place, F.row_number().over(w).cast("long")).where(F.col(place) > (page - 1) * size)

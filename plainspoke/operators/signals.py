@@ -57,3 +57,58 @@ def resolved_owner(rows: DataFrame, owners: DataFrame, fallback: DataFrame) -> D
     b = fallback.select(F.col("key").alias("_b"), F.col("owner").alias("_f"))
     met = rows.join(a, F.col("key") == F.col("_a"), "left").join(b, F.col("other") == F.col("_b"), "left")
     return met.select("id", F.coalesce("_o", "_f").alias("owner"), F.when(F.col("_o").isNotNull(), "key").when(F.col("_f").isNotNull(), "fallback").alias("how"))
+
+
+def full_audit(texts: DataFrame, hedges: dict[str, int], actions: list[str], conflicts: list[tuple[str, str]], deferrals: list[str], passive: str, vague: list[str], times: list[str], pronouns: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, score, violations) of the whole structure audit in hundredths: hedges by severity (40 at most), no action (10), conflicting pairs (15 each, 30), deferrals (12 each, 25), three passives or more (5 each, 15), two vague words or more (4 each, 12), an action without a time in more than 100 characters (6), two sentences or more that begin with a pronoun (5 each, 10)."""
+    low = T.squeezed(F.lower(F.coalesce(F.col(text), F.lit(""))))
+    t = F.col("t")
+    count = lambda tests: sum((x.cast("int") for x in tests), F.lit(0))
+    n = texts.select(F.col(id), low.alias("t"))
+    n = n.select(
+        id, F.length("t").alias("l"), sum((F.contains(t, F.lit(w)).cast("int") * k for w, k in hedges.items()), F.lit(0)).alias("h"), T.has_any(t, actions).alias("a"), count([F.contains(t, F.lit(x)) & F.contains(t, F.lit(y)) for x, y in conflicts]).alias("c"),
+        T.hits(t, deferrals).alias("d"), F.regexp_count("t", F.lit(passive)).alias("p"), T.hits(t, vague).alias("v"), T.has_any(t, times).alias("m"), F.size(F.filter(T.sentences(t), lambda s: F.regexp_extract(s, r"^\S+", 0).isin(pronouns))).alias("r"),
+    )
+    late = F.col("a") & ~F.col("m") & (F.col("l") > 100)
+    least = lambda most, c, each: F.least(F.lit(most), F.col(c) * each)
+    parts = [
+        ("HEDGE_WORD", F.col("h") > 0, F.least(F.lit(40), F.col("h"))), ("MISSING_OBJECTIVE", ~F.col("a"), F.lit(10)), ("CONFLICTING_DIRECTIVE", F.col("c") > 0, least(30, "c", 15)), ("DEFERRED_ENFORCEMENT", F.col("d") > 0, least(25, "d", 12)),
+        ("EXCESSIVE_PASSIVE", F.col("p") >= 3, least(15, "p", 5)), ("VAGUE_QUANTIFIER", F.col("v") >= 2, least(12, "v", 4)), ("MISSING_TIMEFRAME", late, F.lit(6)), ("AMBIGUOUS_REFERENCE", F.col("r") >= 2, least(10, "r", 5)),
+    ]
+    less = sum((F.when(test, lost).otherwise(0) for _, test, lost in parts), F.lit(0))
+    return n.select(id, F.greatest(F.lit(0), 100 - less).cast("int").alias("score"), F.array_compact(F.array(*(F.when(test, name) for name, test, _ in parts))).alias("violations"))
+
+
+def feedback(score: Column, violations: Column) -> Column:
+    """A line for the writer."""
+    return F.when(score < 60, "Score below threshold.").when(F.size(violations) > 0, "Passed with findings.").otherwise("Clean.")
+
+
+def gated_friction(texts: DataFrame, rules: Rules, gate: tuple[str, str], pairs: list[tuple[set[str], int, str]], id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, friction, categories, band, hold, stop): every match weighs; the first category of ``gate`` counts only where the second occurs; categories that come together add or take more. Bands end at 30, 55 and 75 hundredths."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    n = texts.select(F.col(id), *(F.regexp_count(low, F.lit(p)).alias(f"_{c}") for c, p, _ in rules))
+    n = n.withColumn(f"_{gate[0]}", F.when(F.col(f"_{gate[1]}") > 0, F.col(f"_{gate[0]}")).otherwise(0))
+    has = {c: F.col(f"_{c}") > 0 for c, _, _ in rules}
+    total = sum((F.col(f"_{c}") * w for c, _, w in rules), F.lit(0))
+    for combo, delta, _ in pairs:
+        both = F.lit(True)
+        for c in sorted(combo):
+            both = both & has[c]
+        total = total + F.when(both, delta).otherwise(0)
+    got = n.select(id, F.greatest(F.lit(0), F.least(F.lit(100), total)).cast("int").alias("friction"), F.array_compact(F.array(*(F.when(has[c], c) for c, _, _ in rules))).alias("categories"))
+    f = F.col("friction")
+    return got.withColumns({"band": T.banded(f, [(30, "B0"), (55, "B1"), (75, "B2")], "B3"), "hold": f >= 55, "stop": f >= 75})
+
+
+def passive_share(texts: DataFrame, passive: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, passive, sentences, overused): sentences with a passive form, and whether they are more than 40 in a hundred."""
+    parts = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[.!?]+")
+    n = texts.select(F.col(id), parts.alias("s")).select(id, F.size(F.filter("s", lambda x: F.rlike(x, F.lit(passive)))).alias("passive"), F.greatest(F.size(F.filter("s", lambda x: F.trim(x) != "")), F.lit(1)).alias("sentences"))
+    return n.withColumn("overused", F.col("passive") * 100 > 40 * F.col("sentences"))
+
+
+def score_class(*scores: Column) -> Column:
+    """good from 80, mid from 60, bad above 0, none: of the first score that isn't 0 or null."""
+    s = F.coalesce(*(F.nullif(x, F.lit(0)) for x in scores), F.lit(0))
+    return F.when(s >= 80, "good").when(s >= 60, "mid").when(s > 0, "bad").otherwise("none")

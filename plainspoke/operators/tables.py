@@ -150,3 +150,25 @@ def capped(artifacts: DataFrame, per: int) -> DataFrame:
 def indexed(rows: DataFrame, batch: str, order: str) -> DataFrame:
     """``rows`` with their place in their batch, from 0."""
     return rows.withColumn("index", F.row_number().over(W.partitionBy(batch).orderBy(order)) - 1)
+
+
+def changed_lines(pages: DataFrame) -> DataFrame:
+    """(id, kind, nth, line): lines of each version that the one before lacks (added) and the reverse (removed), each once, with the last place they have."""
+    w = W.partitionBy("entity", "page").orderBy("ts", "id")
+    lines = F.split(F.coalesce("raw_text", F.lit("")), "\n")
+    own = pages.select("id", lines.alias("now"), F.lag(lines).over(w).alias("then")).where("then is not null")
+    # The last place of each line, by its place in the reversed array.
+    side = lambda a, b, kind: F.transform(F.array_except(a, b), lambda x: F.struct(F.lit(kind).alias("kind"), (F.size(a) - F.array_position(F.reverse(F.col(a)), x)).cast("int").alias("nth"), x.alias("line")))
+    return own.select("id", F.inline(F.concat(side("now", "then", "added"), side("then", "now", "removed"))))
+
+
+def snapshots(pages: DataFrame, path: str) -> None:
+    """Appends each page's text with its SHA-256 and words to a store of Parquet files by entity."""
+    t = F.coalesce("raw_text", F.lit(""))
+    pages.select("id", "entity", "page", "ts", F.sha2(t, 256).alias("sha"), T.word_count(t).alias("words"), t.alias("raw_text")).write.mode("append").partitionBy("entity").parquet(path)
+
+
+def rescore_queue(stored: DataFrame, scores: DataFrame, key: str, score: str, changed: str) -> tuple[DataFrame, DataFrame]:
+    """The stored rows with new scores, where ``changed`` moves with the score only, and the keys that moved or are new."""
+    moved = scores.join(stored.select(F.col(key).alias("_k"), F.col(score).alias("_s"), F.lit(True).alias("_is")), F.col(key) == F.col("_k"), "left").where(F.col("_is").isNull() | ~F.col(score).eqNullSafe(F.col("_s"))).select(key)
+    return upsert_keep(stored, scores, key, score, changed), moved

@@ -196,3 +196,28 @@ def vitals(views: DataFrame, page: str, value: str) -> DataFrame:
     cents = F.round(F.col(value) * 100).cast("long")
     quantile = lambda q: F.expr(f"percentile_disc({q}) within group (order by `{value}`)")
     return views.groupBy(page).agg(F.count("*").alias("n"), F.floor(F.sum(cents) / F.count(cents)).cast("long").alias("mean"), F.min(cents).alias("least"), quantile(0.5).alias("p50"), quantile(0.75).alias("p75"))
+
+
+#: The insights, in order.
+METRICS = ("hits", "visitors", "paths", "slow", "referred", "days", "purchases", "errors", "signups", "buyers", "nightly", "weekend", "very_slow")
+
+
+def insights(views: DataFrame) -> DataFrame:
+    """(place, metric, value): thirteen ordered figures out of one wide aggregate."""
+    on = lambda p: F.count_if(F.col("path") == p)
+    wide = views.agg(
+        F.count("*").alias("hits"), F.count_distinct("ip").alias("visitors"), F.count_distinct("path").alias("paths"), F.count_if(F.col("latency") > 100).alias("slow"), F.count("referrer").alias("referred"), F.count_distinct(F.to_date("ts")).alias("days"), on("/purchase").alias("purchases"),
+        on("/error").alias("errors"), on("/signup").alias("signups"), F.count_distinct(F.when(F.col("path") == "/purchase", F.col("ip"))).alias("buyers"), F.count_if(F.hour("ts") < 6).alias("nightly"), F.count_if(F.dayofweek("ts").isin(1, 7)).alias("weekend"), F.count_if(F.col("latency") > 150).alias("very_slow"),
+    )
+    return wide.select(F.expr(f"stack({len(METRICS)}, " + ", ".join(f"{i}, '{m}', {m}" for i, m in enumerate(METRICS, 1)) + ") as (place, metric, value)"))
+
+
+def changes_before(facts: DataFrame, changes: DataFrame, key: str, days: int) -> DataFrame:
+    """(id, changes, latest): how many changes (key, since) lie within ``days`` before each fact (id, key, ts), and the last; facts without any are left out. A range window over the union, so no pair is made."""
+    a = facts.select(key, "id", F.col("ts").alias("_t"), F.lit(None).cast("timestamp_ntz").alias("_c"))
+    b = changes.select(key, F.lit(None).cast("long").alias("id"), F.col("since").alias("_t"), F.col("since").alias("_c"))
+    micros = F.unix_micros(F.col("_t").cast("timestamp"))
+    w = W.partitionBy(key).orderBy("_u").rangeBetween(-days * 86_400_000_000, 0)
+    both = a.unionByName(b).withColumn("_u", micros)
+    got = both.select("id", F.count("_c").over(w).alias("changes"), F.max("_c").over(w).alias("latest"))
+    return got.where("id is not null and changes > 0")
