@@ -9,13 +9,15 @@ from .functions import text as T
 from .lexicon import PROSE, lexicon
 from .operators import audit, tables, texts, traffic
 from .plans import logical as L
-from .registry import QUERIES, SQL, Query
+from .registry import QUERIES, SQL, Query, also
 from .registry import query as _query
 from .sources import html
 
 def queries() -> dict[str, Query]:
     from . import cases_cleaning, cases_corporate, cases_decisions, cases_files, cases_lenses, cases_more, cases_profiles, cases_questions, cases_signals, cases_spans, cases_texts, cases_threads  # noqa: F401  they register their queries
 
+    also("d22_acronyms_in_all", "d22_undefined_acronyms")
+    also("a19_entity_pieces", "a19_entity_text")
     return dict(QUERIES)
 
 
@@ -316,7 +318,7 @@ def w6_low_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.low_balance_crossings(L.ledger(spark, sf_dir))
 
 
-@_query()
+@_query("WITH RECURSIVE lg AS (" + L.LEDGER + "), t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS i FROM lg), f AS (SELECT id, user_id, cents, i, cents >= 0 AS accepted, CAST(greatest(cents, 0) AS BIGINT) AS balance FROM t WHERE i = 1 UNION ALL SELECT t.id, t.user_id, t.cents, t.i, f.balance + t.cents >= 0, CASE WHEN f.balance + t.cents >= 0 THEN f.balance + t.cents ELSE f.balance END FROM f JOIN t ON t.user_id = f.user_id AND t.i = f.i + 1) SELECT id, user_id, cents, accepted, balance FROM f")
 def w5_accepted_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traffic.accepted_charges(L.ledger(spark, sf_dir))
 

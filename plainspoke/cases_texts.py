@@ -37,7 +37,7 @@ def d26_marked_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.explicit_questions(_docs(spark, sf_dir), mark="!")
 
 
-@query()
+@query(f"WITH s AS (SELECT conv_id, turn, unnest(range(len(s))) AS nth, unnest(s) AS s FROM (SELECT conv_id, turn, {_S} AS s FROM conversations WHERE role = 'assistant')), w AS (SELECT conv_id, turn, nth, list_distinct(list_filter(regexp_split_to_array(trim(lower(s)), '\\s+'), lambda x: length(x) > 3)) AS w FROM s) SELECT a.conv_id, a.turn, count(DISTINCT b.turn) AS streak FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn < a.turn AND len(list_intersect(a.w, b.w)) > 0.6 * greatest(len(a.w), len(b.w)) GROUP BY a.conv_id, a.turn")
 def w17_entrenched_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.entrenched_claims(L.turns(spark, sf_dir))
 
