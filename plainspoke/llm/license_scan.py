@@ -17,7 +17,10 @@ is broadcast. Full texts and the identifiers are files of the folder ``licenses`
 that only the driver reads.
 
 Defined results: null texts, and texts that are empty once canonical, have no
-digest and no licence. Repeated rows give repeated results.
+digest and no licence. Very long texts are made canonical and digested whole, like
+any other. Of licences whose known texts are equal once canonical, the one later in
+the list is named. Repeated rows give repeated results, an empty table none; only
+the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations

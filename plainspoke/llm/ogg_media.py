@@ -14,7 +14,9 @@ bits are reversed.
 
 Defined results: null and empty texts are stored as padding alone; equal texts
 have equal media. Damaged media raise ``BadMedia`` in ``read`` and are null in
-the column form. Memory is a few times one text.
+the column form. Memory is a few times one text, however long. Repeated rows give
+repeated results, an empty table none; no column but the text is read, whatever the
+others are called.
 """
 
 from __future__ import annotations
