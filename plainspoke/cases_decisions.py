@@ -199,3 +199,30 @@ def f26_page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_pv("SELECT id, CAST(round(tanh((latency - 50) / 200) * 1000) AS BIGINT) AS squashed FROM pv"))
 def f31_squash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.page_views(spark, sf_dir).select("id", F.round(T.squash(F.col("latency") - 50) * 1000).cast("long").alias("squashed"))
+
+
+_TIERS = [("BUILDING", 1, 20), ("MACHINERY", 2, 10), ("AUTOMOBILE", 1, 5), ("FURNITURE", 3, 40), ("HOUSEHOLD", 1, 15)]
+
+
+@query(_pv(", t(tier, rpm, monthly) AS (VALUES " + ", ".join(f"('{a}', {b}, {c})" for a, b, c in _TIERS) + "), n AS (SELECT id, ip, rpm, monthly, row_number() OVER (PARTITION BY ip, strftime(ts, '%Y-%m-%d %H:%M') ORDER BY ts, id) AS n, row_number() OVER (PARTITION BY ip, strftime(ts, '%Y-%m') ORDER BY ts, id) AS m FROM pv JOIN customer ON c_custkey = ip JOIN t ON tier = c_mktsegment) SELECT id, ip, CASE WHEN n > rpm THEN 'minute' ELSE 'month' END AS limit FROM n WHERE n > rpm OR m > monthly").replace(") , t(", "), t(").replace("AS limit", "AS \"limit\""))
+def f39_limited_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    who = L.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ip"), F.col("c_mktsegment").alias("tier"))
+    return traffic.limited_by_tier(L.page_views(spark, sf_dir).join(who, "ip"), spark.createDataFrame(_TIERS, "tier string, rpm int, monthly int"))
+
+
+@query(_pv("SELECT ip AS tenant, date_trunc('minute', ts) AS minute, count(*) AS requests, count(*) FILTER (WHERE path = '/error') AS errors, CAST(sum(CAST(round(latency * 100) AS BIGINT)) // count(*) AS BIGINT) AS mean FROM pv GROUP BY 1, 2"))
+def a35_tenant_minutes_with_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traffic.tenant_minutes(L.page_views(spark, sf_dir))
+
+
+@query("SELECT doc_id, CASE replace(lower(trim(source)), '-', '_') WHEN 'src1' THEN 'live_feed' WHEN 'src2' THEN 'live_feed' WHEN 'src3' THEN 'batch' ELSE 'manual' END AS audit_source FROM documents")
+def p18_audit_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", reports.audit_source(F.col("source"), {"src1": "live_feed", "src2": "live_feed", "src3": "batch"}).alias("audit_source"))
+
+
+_FOUR = {"commitment": "is |ist ", "specificity": "[0-9]", "accountability": "was |war ", "hedge": "then|sich"}
+
+
+@query("SELECT doc_id, " + ", ".join(f"regexp_matches(t, '{p}') AS {k}" for k, p in _FOUR.items()) + " FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)")
+def p15_four_lenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.statement_lenses(_docs(spark, sf_dir), _FOUR)

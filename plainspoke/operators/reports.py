@@ -196,3 +196,16 @@ def page_of(df: DataFrame, order: list[str], page: int, size: int, place: str) -
     first = df.orderBy(*order).limit(page * size)
     w = W.orderBy(*order)  # page x size rows
     return first.withColumn(place, F.row_number().over(w).cast("long")).where(F.col(place) > (page - 1) * size)
+
+
+def audit_source(column: Column, aliases: dict[str, str], other: str = "manual") -> Column:
+    """The normal name of a source: trimmed, lowered, hyphens as underscores, then by ``aliases``."""
+    name = F.replace(F.lower(F.trim(column)), F.lit("-"), F.lit("_"))
+    known = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))
+    return F.coalesce(F.try_element_at(known, name), F.lit(other))
+
+
+def statement_lenses(texts: DataFrame, lenses: dict[str, str], id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, one boolean a lens): whether a text's lowered form matches the lens's pattern."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return texts.select(F.col(id), *(F.rlike(low, F.lit(p)).alias(k) for k, p in lenses.items()))

@@ -221,3 +221,18 @@ def changes_before(facts: DataFrame, changes: DataFrame, key: str, days: int) ->
     both = a.unionByName(b).withColumn("_u", micros)
     got = both.select("id", F.count("_c").over(w).alias("changes"), F.max("_c").over(w).alias("latest"))
     return got.where("id is not null and changes > 0")
+
+
+def limited_by_tier(calls: DataFrame, tiers: DataFrame, key: str = "ip") -> DataFrame:
+    """(id, key, limit) of the calls (id, key, ts, tier) beyond their tier's allowance: "minute" beyond rpm calls of a key and minute, else "month" beyond monthly ones. tiers: tier, rpm, monthly."""
+    minute, month = F.date_format("ts", "yyyy-MM-dd HH:mm"), F.date_format("ts", "yyyy-MM")
+    nth = lambda by: F.row_number().over(W.partitionBy(key, by).orderBy("ts", "id"))
+    got = calls.join(tiers, "tier").withColumn("_n", nth(minute)).withColumn("_m", nth(month))
+    return got.select("id", key, F.when(F.col("_n") > F.col("rpm"), "minute").when(F.col("_m") > F.col("monthly"), "month").alias("limit")).where("limit is not null")
+
+
+def tenant_minutes(views: DataFrame, tenant: str = "ip") -> DataFrame:
+    """(tenant, minute, requests, errors, mean): each tenant's minute with the mean latency in hundredths, rounded down."""
+    cents = F.round(F.col("latency") * 100).cast("long")
+    got = views.groupBy(F.col(tenant).alias("tenant"), F.window("ts", "1 minute").alias("w")).agg(F.count("*").alias("requests"), F.count_if(F.col("path") == "/error").alias("errors"), F.floor(F.sum(cents) / F.count("*")).cast("long").alias("mean"))
+    return got.select("tenant", F.col("w.start").alias("minute"), "requests", "errors", "mean")
