@@ -16,7 +16,10 @@ what failed or repeated attempts left behind is never read.
 Defined results: null payloads are empty; a null or odd URL is percent-encoded;
 records without payload (revisits) report the length and digest their headers
 state. An empty table gives an archive without files. Files that are cut short
-or whose payload doesn't match its digest raise ``BadArchive``.
+or whose payload doesn't match its digest raise ``BadArchive``. A payload may be as
+long as Spark's binary values; its record is held in memory while it is written.
+Repeated rows are records each. Other columns of the pages aren't read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from .common import scratch, table
+from .common import joined_hot, scratch, table, written
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, headers map<string,string>, content_digest string, payload binary"
 WRITES = "record_id string, record_type string, target_uri string, refers_to string, payload binary"
@@ -58,10 +61,14 @@ def sha1_base32(payload: bytes) -> str:
 
 
 def member(raw: bytes, level: int = LEVEL) -> bytes:
-    """A gzip member that states its own length in an extra field."""
+    """A gzip member that states its own length in an extra field, if 32 bits can say it."""
     z = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = z.compress(raw) + z.flush()
-    head = _GZIP.pack(b"\x1f\x8b", 8, 4, 0, 0, 255, 12, b"s", b"l", 8, _GZIP.size + len(body) + 8, len(raw) & 0xFFFFFFFF)
+    size = _GZIP.size + len(body) + 8
+    if size >= 1 << 32:  # readers then inflate it to find its end
+        head = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff"
+    else:
+        head = _GZIP.pack(b"\x1f\x8b", 8, 4, 0, 0, 255, 12, b"s", b"l", 8, size, len(raw) & 0xFFFFFFFF)
     return head + body + struct.pack("<II", zlib.crc32(raw), len(raw) & 0xFFFFFFFF)
 
 
@@ -310,12 +317,14 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
     Equal means equal SHA-1 and length. Pages that repeat an id and its payload
     are responses each; a page with a null id revisits the response of its payload
-    if there is one.
+    if there is one. Digests are grouped without payloads; only payloads that
+    another page shares look their response up, and those of one page in ``HOT`` or
+    more find it where they are.
     """
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
-    own = pages.select(F.col(page_id).alias("_id"), F.col(url).alias("target_uri"), payload.alias("payload")).withColumn("_sha", F.sha1("payload")).withColumn("_n", F.length("payload"))
-    heads = own.where(F.col("_n") >= min_bytes).groupBy("_sha", "_n").agg(F.max("_id").alias("_head")).select(F.col("_sha").alias("_s"), F.col("_n").alias("_m"), "_head")
-    met = own.join(heads, (F.col("_sha") == F.col("_s")) & (F.col("_n") == F.col("_m")), "left")
+    own = pages.select(F.col(page_id).alias("_id"), F.col(url).alias("target_uri"), payload.alias("payload")).withColumn("_sha", F.unhex(F.sha1("payload"))).withColumn("_n", F.length("payload"))
+    groups = own.where(F.col("_n") >= min_bytes).select("_id", "_sha", "_n").groupBy("_sha", "_n").agg(F.max("_id").alias("_head"), F.count("*").alias("_c")).where("_c > 1")
+    met = joined_hot(own, written(groups, "heads"), ["_sha", "_n"], "_c")
     again = F.col("_head").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_head"))
     name = lambda c: F.concat(F.lit("urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("none")))
     return met.select(name("_id").alias("record_id"), F.when(again, "revisit").otherwise("response").alias("record_type"), "target_uri", F.when(again, name("_head")).alias("refers_to"), "payload")
