@@ -29,11 +29,11 @@ def _lenses(rel: str, key: str) -> str:
     held = lambda x: f"greatest(0, least(1000, {x}))"
     active = "len(list_filter(states, lambda s: s > 0))"
     dims = [("least(1000, constraints * 250)", 15), (held("1000 - hedges * 15000 // greatest(words, 50)"), 10), (held("1000 - len(tags) * 120"), 12), (held(f"1000 - {active} * 250"), 15)]
-    dims += [(held(f"1000 - {of(own)} * {less * 10}"), w) for own, less, w in lenses.CSI.values()]
-    hcs = [held(f"1000 - hedges * 80 - {of(('T6',))} * 150"), held(f"1000 - {active} * 200"), *(held(f"1000 - {of(own)} * {less * 10}") for own, less in lenses.HCS.values())]
-    return f"""SELECT {key}, words, CAST(floor((CASE WHEN constraints >= 1 THEN 1000 ELSE 0 END + CASE WHEN early THEN 0 ELSE 1000 END + 1000 - least({of(lenses.DRIFT)} * 150 + {active} * 250, 1000)) / 3 + 0.5) AS INTEGER) AS nii,
-CAST({held('1000 - len(tags) * 50 - list_sum(states) * 50 - hedges * 20 - reassurances * 15 - greatest(density - 50, 0) * 2')} AS INTEGER) AS nti,
-CAST(floor(({' + '.join(f'{d} * {w}' for d, w in dims)}) / {sum(w for _, w in dims)} + 0.5) AS INTEGER) AS csi, CAST(floor(({' + '.join(hcs)}) / {len(hcs)} + 0.5) AS INTEGER) AS hcs FROM {rel}"""
+    dims += [(held(f"1000 - {of(own)} * {less * 10}"), w) for own, less, w in lenses.STRUCTURE.values()]
+    conduct = [held(f"1000 - hedges * 80 - {of(('T6',))} * 150"), held(f"1000 - {active} * 200"), *(held(f"1000 - {of(own)} * {less * 10}") for own, less in lenses.CONDUCT.values())]
+    return f"""SELECT {key}, words, CAST(floor((CASE WHEN constraints >= 1 THEN 1000 ELSE 0 END + CASE WHEN early THEN 0 ELSE 1000 END + 1000 - least({of(lenses.DRIFT)} * 150 + {active} * 250, 1000)) / 3 + 0.5) AS INTEGER) AS bounds,
+CAST({held('1000 - len(tags) * 50 - list_sum(states) * 50 - hedges * 20 - reassurances * 15 - greatest(density - 50, 0) * 2')} AS INTEGER) AS tilt,
+CAST(floor(({' + '.join(f'{d} * {w}' for d, w in dims)}) / {sum(w for _, w in dims)} + 0.5) AS INTEGER) AS structure, CAST(floor(({' + '.join(conduct)}) / {len(conduct)} + 0.5) AS INTEGER) AS conduct FROM {rel}"""
 
 
 _DOCS = "b AS (SELECT doc_id, source, lower(coalesce(text, '')) AS t FROM documents)"
@@ -41,7 +41,7 @@ _PARTS = "b AS (SELECT doc_id, nth, lower(p) AS t FROM (SELECT doc_id, unnest(ra
 _PARAGRAPHS = f"{_PARTS}, d AS ({_detected('b', 'doc_id, nth')}), s AS ({_lenses('d', 'doc_id, nth')})"
 
 
-@query(f"WITH {_DOCS}, d AS ({_detected('b', 'doc_id')}) SELECT doc_id, CAST(words AS INTEGER) AS words, nii, nti, csi, hcs FROM ({_lenses('d', 'doc_id')})")
+@query(f"WITH {_DOCS}, d AS ({_detected('b', 'doc_id')}) SELECT doc_id, CAST(words AS INTEGER) AS words, bounds, tilt, structure, conduct FROM ({_lenses('d', 'doc_id')})")
 def d8_lens_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lenses.scores(lenses.detected(_docs(spark, sf_dir), _M, _TAGS))
 
@@ -50,12 +50,12 @@ def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lenses.paragraph_scores(_docs(spark, sf_dir), _M, _TAGS, "\n")
 
 
-@query(f"WITH {_PARAGRAPHS} SELECT doc_id, CAST(nth AS INTEGER) AS nth, CAST(words AS INTEGER) AS words, nii, nti, csi, hcs FROM s")
+@query(f"WITH {_PARAGRAPHS} SELECT doc_id, CAST(nth AS INTEGER) AS nth, CAST(words AS INTEGER) AS words, bounds, tilt, structure, conduct FROM s")
 def d9_paragraph_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paragraphs(spark, sf_dir)
 
 
-@query(f"WITH {_PARAGRAPHS} SELECT doc_id, count(*) AS paragraphs, CAST(sum(words) AS BIGINT) AS words, " + ", ".join(f"CAST(floor(sum({c} * words) / greatest(sum(words), 1) + 0.5) AS INTEGER) AS {c}" for c in ("nii", "nti", "csi", "hcs")) + " FROM s GROUP BY doc_id")
+@query(f"WITH {_PARAGRAPHS} SELECT doc_id, count(*) AS paragraphs, CAST(sum(words) AS BIGINT) AS words, " + ", ".join(f"CAST(floor(sum({c} * words) / greatest(sum(words), 1) + 0.5) AS INTEGER) AS {c}" for c in ("bounds", "tilt", "structure", "conduct")) + " FROM s GROUP BY doc_id")
 def a22_page_lenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lenses.page_scores(_paragraphs(spark, sf_dir))
 
@@ -66,7 +66,7 @@ def a33_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lenses.issues(lenses.detected(docs, _M, _TAGS), corporate.findings(corporate.dimensions(docs, WORDS)))
 
 
-_SHARES = {"nii": 30, "nti": 30, "csi": 20, "hcs": 20}
+_SHARES = {"bounds": 30, "tilt": 30, "structure": 20, "conduct": 20}
 
 
 @query(f"WITH {_DOCS}, d AS ({_detected('b', 'doc_id, source')}), g AS (SELECT source, count(*) AS n, " + ", ".join(f"CAST(sum({c}) // count(*) AS BIGINT) AS {c}" for c in _SHARES) + f" FROM ({_lenses('d', 'doc_id, source')}) GROUP BY source) SELECT *, CAST(({' + '.join(f'{c} * {w}' for c, w in _SHARES.items())}) // 100 AS BIGINT) AS total FROM g")

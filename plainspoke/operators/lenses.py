@@ -1,7 +1,7 @@
 """Four lenses on one detection map of a text, for texts, paragraphs and pages.
 
-nii (thousandths): constraints named, named before capabilities, boundaries kept.
-nti, csi and hcs (tenths of 0 to 100): deductions for tilt, states, framing and
+bounds (thousandths): constraints named, named before capabilities, boundaries kept.
+tilt, structure and conduct (tenths of 0 to 100): deductions for tilt, states, framing and
 density; ten dimensions by weight; five lenses of talk between people.
 """
 
@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Tilt tags that count as structural drift; dimensions of csi as (tags or measure, points lost each) and their weights in tenths; lenses of hcs likewise.
+#: Tilt tags that count as structural drift; dimensions of structure as (tags or measure, points lost each) and their weights in tenths; lenses of conduct likewise.
 DRIFT = ("T2", "T4", "T5", "T9", "T10")
-CSI = {"certainty": (("T2", "T5"), 25, 10), "authority": (("T10",), 35, 8), "scope": (("T9", "T4"), 25, 10), "accountability": (("T3",), 40, 10), "emotion": (("T7",), 30, 7), "social": (("T8",), 30, 7)}
-HCS = {"respect": (("T10", "T3"), 20), "honesty": (("T2", "T5", "T4"), 18), "regulation": (("T1", "T7", "T8"), 15)}
+STRUCTURE = {"certainty": (("T2", "T5"), 25, 10), "authority": (("T10",), 35, 8), "scope": (("T9", "T4"), 25, 10), "accountability": (("T3",), 40, 10), "emotion": (("T7",), 30, 7), "social": (("T8",), 30, 7)}
+CONDUCT = {"respect": (("T10", "T3"), 20), "honesty": (("T2", "T5", "T4"), 18), "regulation": (("T1", "T7", "T8"), 15)}
 
 
 def detected(texts: DataFrame, m: dict[str, list[str]], tags: dict[str, list[str]], id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -38,32 +38,32 @@ def _of(names: tuple[str, ...]) -> Column:
 
 
 def scores(detections: DataFrame, id: str = "doc_id") -> DataFrame:
-    """(id, words, nii, nti, csi, hcs)."""
+    """(id, words, bounds, tilt, structure, conduct)."""
     active = F.size(F.filter("states", lambda s: s > 0))
     held = lambda x: F.greatest(F.lit(0), F.least(F.lit(1000), x))
     whole = lambda x: F.floor(x).cast("int")
-    nii = whole((F.when(F.col("constraints") >= 1, 1000).otherwise(0) + F.when(F.col("early"), 0).otherwise(1000) + 1000 - F.least(_of(DRIFT) * 150 + active * 250, F.lit(1000))) / 3 + 0.5)
-    nti = held(1000 - F.size("tags") * 50 - F.aggregate("states", F.lit(0), lambda a, s: a + s * 50) - F.col("hedges") * 20 - F.col("reassurances") * 15 - F.greatest(F.col("density") - 50, F.lit(0)) * 2)
+    bounds = whole((F.when(F.col("constraints") >= 1, 1000).otherwise(0) + F.when(F.col("early"), 0).otherwise(1000) + 1000 - F.least(_of(DRIFT) * 150 + active * 250, F.lit(1000))) / 3 + 0.5)
+    tilt = held(1000 - F.size("tags") * 50 - F.aggregate("states", F.lit(0), lambda a, s: a + s * 50) - F.col("hedges") * 20 - F.col("reassurances") * 15 - F.greatest(F.col("density") - 50, F.lit(0)) * 2)
     # A hedge costs 30 points for each fifty words, 30 at most for texts below fifty.
     dims = [(F.least(F.lit(1000), F.col("constraints") * 250), 15), (held(1000 - whole(F.col("hedges") * 300 * 50 / F.greatest(F.col("words"), F.lit(50)))), 10), (held(1000 - F.size("tags") * 120), 12), (held(1000 - active * 250), 15)]
-    dims += [(held(1000 - _of(own) * less * 10), w) for own, less, w in CSI.values()]
-    csi = whole(sum((d * w for d, w in dims), F.lit(0)) / sum(w for _, w in dims) + 0.5)
-    lenses = [held(1000 - F.col("hedges") * 80 - _of(("T6",)) * 150), held(1000 - active * 200), *(held(1000 - _of(own) * less * 10) for own, less in HCS.values())]
-    hcs = whole(sum(lenses, F.lit(0)) / len(lenses) + 0.5)
-    return detections.select(id, "words", nii.alias("nii"), nti.cast("int").alias("nti"), csi.alias("csi"), hcs.alias("hcs"))
+    dims += [(held(1000 - _of(own) * less * 10), w) for own, less, w in STRUCTURE.values()]
+    structure = whole(sum((d * w for d, w in dims), F.lit(0)) / sum(w for _, w in dims) + 0.5)
+    lenses = [held(1000 - F.col("hedges") * 80 - _of(("T6",)) * 150), held(1000 - active * 200), *(held(1000 - _of(own) * less * 10) for own, less in CONDUCT.values())]
+    conduct = whole(sum(lenses, F.lit(0)) / len(lenses) + 0.5)
+    return detections.select(id, "words", bounds.alias("bounds"), tilt.cast("int").alias("tilt"), structure.alias("structure"), conduct.alias("conduct"))
 
 
 def paragraph_scores(texts: DataFrame, m: dict[str, list[str]], tags: dict[str, list[str]], between: str = r"\n\s*\n", id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, nth, words and the lenses) of each paragraph of more than 20 characters."""
     parts = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), between), lambda p: F.btrim(p, F.lit(" \t\r\n"))), lambda p: F.length(p) > 20)
     far = texts.select(F.col(id), F.posexplode(parts).alias("nth", "p")).select(F.struct(id, "nth").alias("k"), "p")
-    return scores(detected(far, m, tags, "k", "p"), "k").select(F.col("k")[id].alias(id), F.col("k.nth").alias("nth"), "words", "nii", "nti", "csi", "hcs")
+    return scores(detected(far, m, tags, "k", "p"), "k").select(F.col("k")[id].alias(id), F.col("k.nth").alias("nth"), "words", "bounds", "tilt", "structure", "conduct")
 
 
 def page_scores(paragraphs: DataFrame, id: str = "doc_id") -> DataFrame:
     """(id, paragraphs, words and the lenses): means by words, rounded."""
     mean = lambda c: F.floor(F.sum(F.col(c) * F.col("words")) / F.greatest(F.sum("words"), F.lit(1)) + 0.5).cast("int").alias(c)
-    return paragraphs.groupBy(id).agg(F.count("*").alias("paragraphs"), F.sum("words").alias("words"), *(mean(c) for c in ("nii", "nti", "csi", "hcs")))
+    return paragraphs.groupBy(id).agg(F.count("*").alias("paragraphs"), F.sum("words").alias("words"), *(mean(c) for c in ("bounds", "tilt", "structure", "conduct")))
 
 
 def issues(detections: DataFrame, findings: DataFrame, id: str = "doc_id") -> DataFrame:

@@ -142,4 +142,4 @@ def test_lens_scores_fall_with_tilt(spark):
 
     df = spark.createDataFrame([(1, "only a word"), (2, "this then which here les all none"), (3, None)], "doc_id int, text string")
     got = {r.doc_id: r for r in lenses.scores(lenses.detected(df, PROSE, _TAGS)).collect()}
-    assert got[1].nti > got[2].nti and got[1].csi > got[2].csi and got[3].hcs == 1000
+    assert got[1].tilt > got[2].tilt and got[1].structure > got[2].structure and got[3].conduct == 1000
