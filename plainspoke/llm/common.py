@@ -172,37 +172,30 @@ class Cache(dict):
         return value
 
 
-def _followed(rows: DataFrame, column: str, pointers: DataFrame) -> DataFrame:
-    """``rows`` with a node's pointer (hi, p) in place of the node, if it has one. Hubs, nodes of more than one in ``HOT`` rows, are broadcast."""
-    counts = rows.groupBy(F.col(column).alias("_k")).agg(F.count("*").alias("_n"))
-    hubs = counts.crossJoin(F.broadcast(counts.agg(F.sum("_n").alias("_t")))).where(F.col("_n") * HOT > F.col("_t")).select("_k")  # fewer than HOT rows, and one
-    to = pointers.select(F.col("hi").alias("_k"), F.col("p").alias("_to"))
-    own = rows.withColumnRenamed(column, "_k")
-    known = to.join(F.broadcast(hubs), "_k", "left_semi")
-    met = own.join(F.broadcast(hubs), "_k", "left_semi").join(F.broadcast(known), "_k", "left")
-    rest = own.join(F.broadcast(hubs), "_k", "left_anti").join(to, "_k", "left")
-    return met.unionByName(rest).select(*(F.coalesce("_to", "_k").alias(c) if c == column else c for c in rows.columns))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b): one row (node, component) per node, component = smallest node.
 
     Every round points each node at its smallest neighbour, follows the
     pointers three more steps, and contracts the edges; at least half of the
     nodes of every unfinished component vanish in a round. Hubs are safe: minima
-    are combined before the shuffle, and what points at a hub is not shuffled by it.
+    are combined before the shuffle, and every join is a plain equi-join of two
+    written tables, with one row a node on one side, whose hot partitions skew
+    handling splits.
     Null ends and loops are ignored. An empty table gives an empty table.
     """
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
     e = written(edges.where("a is not null and b is not null and a <> b").select(lo.alias("lo"), hi.alias("hi")).distinct(), "edges")
-    labels = e.select(F.explode(F.array("lo", "hi")).alias("node")).distinct().withColumn("component", F.col("node"))
+    labels = written(e.select(F.explode(F.array("lo", "hi")).alias("node")).distinct().withColumn("component", F.col("node")), "labels")
     while not e.isEmpty():
         p = written(e.groupBy("hi").agg(F.min("lo").alias("p")), "parents")
         for _ in range(2):  # each doubles the steps taken
-            p = written(_followed(p, "p", p), "parents")
-        moved = _followed(_followed(e, "lo", p), "hi", p)
-        e = written(moved.where("lo <> hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct(), "edges")
-        labels = written(_followed(labels, "component", p), "labels")
+            q = p.select(F.col("hi").alias("q_hi"), F.col("p").alias("q_p"))
+            p = p.join(q, p.p == q.q_hi, "left").select("hi", F.coalesce("q_p", "p").alias("p"))
+        p = written(p, "parents")
+        left, right = p.select(F.col("hi").alias("n1"), F.col("p").alias("p1")), p.select(F.col("hi").alias("n2"), F.col("p").alias("p2"))
+        moved = e.join(left, e.lo == left.n1, "left").join(right, e.hi == right.n2, "left").select(F.coalesce("p1", "lo").alias("x"), F.coalesce("p2", "hi").alias("y"))
+        e = written(moved.where("x <> y").select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).distinct(), "edges")
+        labels = written(labels.join(left, labels.component == left.n1, "left").select("node", F.coalesce("p1", "component").alias("component")), "labels")
     return labels
 
 

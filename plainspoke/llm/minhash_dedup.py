@@ -8,31 +8,39 @@
    coordinate j. So every coordinate is always filled, one round does for large
    sets, and the share of equal coordinates concentrates around the Jaccard
    similarity as with independent minima.
-2. Documents with equal words are one class; its smallest id stands for it.
+2. Documents with equal words are one class, which a row of it stands for.
 3. Bands of ``ROWS`` coordinates are hashed. Classes that share a band meet in
-   sorted runs, where their sketches (a byte a coordinate) are compared in bulk;
-   a bucket of more than ``BUCKET`` classes is dealt into pairs of salted chunks.
+   sorted runs, where their sketches (a byte a coordinate) are compared in bulk.
    Pairs that may be similar enough become links of a spanning forest, and the
    connected components of those are families: any true link lies in one.
-4. Each family's full shingle sets meet once, in chunks and pairs of chunks of at
-   most about ``CHUNK`` shingles, and pairs not yet connected are verified exactly.
+4. Each family's full shingle sets meet once, and pairs not yet connected are
+   verified exactly.
 5. Components of the verified links, joined back to all documents.
 
+Large groups: a bucket of more than ``BUCKET`` classes, or a family of more than
+``TEXTS`` classes or ``CHUNK`` shingles, is dealt into salted cells, each of which also gets the same few
+``PIVOTS`` of the group. A member that is linked with a pivot of the largest
+connected set of pivots needs no other comparison, as it is connected to all others
+of that kind. Only the members for which that fails meet all the group's members,
+chunk by chunk, so no link is lost and a group of n copies of a text costs n, not n^2.
+
 No pair within a group is ever emitted for its own sake: tasks emit at most one
 link per member. A pair at the threshold is missed with probability about 3e-7
 by the bands and 1e-5 by the comparison of sketches, unless others connect it.
 
 Defined results: null texts and texts without words have an empty set, are linked
 with nothing and stand alone. Documents of fewer words than a shingle have one
-shingle, their words. Repeated rows give repeated results; ids are
-expected to be unique otherwise: of different texts under one id, one takes part
-in links with other texts. A row with a null id is in the class of its words, and
-its component is null (kept false) if no row of the class has an id.
+shingle, their words. Repeated rows give repeated results. Different texts under one
+id are compared as any others, and each row is in the group of its own text. A row
+with a null id is too; a group none of whose rows has an id has a null component
+(kept false). Very long texts are read whole, a slice of a batch at a time. An empty
+table gives an empty table. Of the columns, only the id and the text are read, so
+the others may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +48,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, forest, sorted_runs, table, written
+from .common import components, forest, fresh, joined_hot, lean, slices, sorted_runs, table, written
 
 WORDS, THRESHOLD = 5, 0.85
 T, ROWS = 192, 6
 #: Share of equal sketch coordinates from which a pair is verified: over four standard deviations below the threshold.
 MAY_BE = 0.12
 BUCKET, CHUNK = 512, 500_000
+#: Texts whose full sets meet in a cell at most, and loose ones of them, about.
+TEXTS, LOOSE = 128, 64
+#: Constants that give different members as the least after XOR.
+PIVOTS = [0, 0x2D358DCCAA6C78A5, 0x0BB8E7C7D1B5A3F1, 0x6F9D5B3C1E87A249, 0x1B873593CC9E2D51, 0x5851F42D4C957F2D]
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
@@ -117,18 +129,22 @@ def band_keys(sk: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-_SKETCHED = "id long, n_shingles long, words_key binary, sketch binary, bands binary"
+_SKETCHED = "id long, at long, n_shingles long, words_key binary, sketch binary, bands binary"
+
 
+def sketched(docs: DataFrame, doc_id: str, text: str, k: int, row: str | None = None) -> DataFrame:
+    """(id, at, n_shingles, words_key, sketch, bands, row) of every document; words_key, sketch and bands null for empty sets. One byte a coordinate, eight a band.
 
-def sketched(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
-    """(id, n_shingles, words_key, sketch, bands) of every document; the last three null for empty sets. One byte a coordinate, eight a band."""
+    at: a hash of id and text by which the text is found again. row: a number of
+    each row that is fixed only once the result is written, unless a column is named.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                ids, keys, sets = part.column(0), [], []
-                for t in part.column(1).to_pylist():
+        for batch in lean(batches):
+            for part in slices(batch, 2):
+                keys, sets = [], []
+                for t in part.column(2).to_pylist():
                     words = words_of(t)
                     sets.append(shingles(words, hashes, k))
                     keys.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
@@ -138,29 +154,80 @@ def sketched(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
                 sketch, band = [None] * len(sets), [None] * len(sets)
                 for j, i in enumerate(some):
                     sketch[i], band[i] = small[j].tobytes(), bands[j].astype("<i8", copy=False).tobytes()
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary()), pa.array(band, pa.binary())], names=["id", "n_shingles", "words_key", "sketch", "bands"])
+                own = [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary()), pa.array(band, pa.binary())]
+                names = ["id", "at", "n_shingles", "words_key", "sketch", "bands"]
+                if row:
+                    own, names = [*own, part.column(3)], [*names, "row"]
+                yield pa.RecordBatch.from_arrays(own, names=names)
+
+    cols = [F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("at"), F.col(text).alias("text")]
+    if row:
+        return docs.select(*cols, F.col(row).alias("row")).mapInArrow(run, _SKETCHED + ", row long")
+    return docs.select(*cols).mapInArrow(run, _SKETCHED).withColumn("row", F.monotonically_increasing_id())
+
+
+def _pivots(large: DataFrame, key: str) -> DataFrame:
+    """(key, _c, row, marked) of each group's pivots, once for every one of its _c cells, which column _at numbers. By minima alone, so that a hot group is combined before the shuffle."""
+    least = large.groupBy(key, "_c").agg(*(F.min(F.col("row").bitwiseXOR(F.lit(x))).alias(f"_{i}") for i, x in enumerate(PIVOTS)))
+    rows = F.array_distinct(F.array(*(F.col(f"_{i}").bitwiseXOR(F.lit(x)) for i, x in enumerate(PIVOTS))))
+    return least.select(key, "_c", F.explode(rows).alias("row")).withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+
+
+def _starred(members: DataFrame, key: str) -> DataFrame:
+    """(cell, key, row, marked): members (key, row, _c) dealt to cells; those of groups with more than one cell with the group's pivots, marked."""
+    salt = F.pmod(F.xxhash64("row"), F.col("_c")).cast("int")
+    own = members.select(F.xxhash64(key, salt).alias("cell"), key, "row", F.lit(0).alias("marked"))
+    pivots = _pivots(members.where("_c > 1"), key).select(F.xxhash64(key, "_at").alias("cell"), key, "row", F.lit(1).alias("marked"))
+    return own.unionByName(pivots)
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, _SKETCHED)
 
+def _loose_cells(members: DataFrame, loose: DataFrame, key: str, most: int) -> DataFrame:
+    """(cell, key, row, marked): the loose members of large groups, marked 1, with all members of their groups, chunk by chunk; among these the loose ones are marked 2."""
+    n = loose.groupBy(key).agg(F.ceil(F.count("*") / most).cast("int").alias("_l"))
+    sizes = written(n.join(members.groupBy(key, "_c").agg(F.count("*").alias("_n")), key), "loose")
+    salt, chunk = F.pmod(F.xxhash64("row"), F.col("_c")).cast("int"), F.pmod(F.xxhash64("row", F.lit(1)), F.col("_l")).cast("int")
+    all_ = members.drop("_c").join(loose.withColumn("marked", F.lit(2)), [key, "row"], "left")
+    met = joined_hot(all_, sizes, [key], "_n").where("_l is not null").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_l") - 1)))
+    own = met.select(F.xxhash64(key, "_i", salt).alias("cell"), key, "row", F.coalesce("marked", F.lit(0)).alias("marked"))
+    rest = joined_hot(loose, sizes, [key], "_n").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
+    return own.unionByName(rest.select(F.xxhash64(key, chunk, "_i").alias("cell"), key, "row", F.lit(1).alias("marked")))
 
-def chunk_pairs(df: DataFrame, chunks: str, by: str) -> DataFrame:
-    """Deals the members of a group to cells of two chunks each: column ``chunks`` says how many chunks the group has. Adds _i and _j (0, 0 for one chunk)."""
-    own = F.pmod(F.xxhash64(by), F.col(chunks)).cast("int")
-    cells = F.when(F.col(chunks) <= 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col(chunks).cast("int") - 1), lambda x: x != own))
-    far = df.withColumn("_own", own).withColumn("_other", F.explode(cells))
-    return far.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_own", "_other")
 
+def _main(n: int, links: list[tuple[int, int]]) -> np.ndarray:
+    """Which of n pivots are in the largest connected set, the one with the first pivot if there are several."""
+    label = np.arange(n)
+    for i, j in links:
+        label[label == label[j]] = label[i]
+    of, first, size = np.unique(label, return_index=True, return_counts=True)
+    best = min(range(len(of)), key=lambda x: (-size[x], first[x]))
+    return label == of[best]
 
-def _bucket_links(need: int) -> object:
-    """Sorted runs of (cell, id, sketch) -> forest links of pairs with at least ``need`` equal coordinates."""
+
+_LINKS = "a long, b long, loose long"
+
+
+def _out(a: list[np.ndarray], b: list[np.ndarray], loose: list[np.ndarray], group: list[np.ndarray]) -> pa.RecordBatch:
+    """Forest links (a, b, null) and loose members (row, null, group)."""
+    x, y = forest(np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+    rows, of = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (loose, group))
+    nothing = lambda n: pa.nulls(n, pa.int64())
+    join = lambda p, q: pa.concat_arrays([p, q])
+    return pa.RecordBatch.from_arrays([pa.array(np.r_[x, rows], pa.int64()), join(pa.array(y, pa.int64()), nothing(len(rows))), join(nothing(len(x)), pa.array(of, pa.int64()))], names=["a", "b", "loose"])
+
+
+def _bucket_links(need: int, last: bool) -> object:
+    """Sorted runs of (cell, key, row, marked, sketch) -> links of pairs with at least ``need`` equal coordinates, and the loose members of cells with pivots (``last``: marked rows are loose ones, held against all)."""
+
+    def like(sk: np.ndarray, one: np.ndarray) -> np.ndarray:
+        return (sk == one).sum(1) >= need
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in sorted_runs(batches, "cell"):
-            cell = rows.column("cell").to_numpy()
-            ids = rows.column("id").to_numpy()
+        for rows in sorted_runs(lean(batches), "cell"):
+            cell, ids, marked = (rows.column(c).to_numpy() for c in ("cell", "row", "marked"))
             sk = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-            a, b = [], []
-            at = np.arange(len(ids))
+            a, b, loose, group = [], [], [], []
+            starred = np.isin(cell, cell[marked == 1])
+            at = np.flatnonzero(~starred)
             d = 1
             while True:  # each row with the one d places on, as long as some run is longer than d
                 at = at[at + d < len(ids)]
@@ -172,24 +239,45 @@ def _bucket_links(need: int) -> object:
                     a.append(ids[ok])
                     b.append(ids[ok + d])
                 d += 1
-            x, y = forest(np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+            for c in np.unique(cell[starred]):
+                own = np.flatnonzero(cell == c)
+                some = own[marked[own] == 1]
+                some, rest = some[np.argsort(ids[some], kind="stable")], own[marked[own] != 1]
+                if last:
+                    for i in some:
+                        ok = own[like(sk[own], sk[i])]
+                        a.append(ids[ok])
+                        b.append(np.full(len(ok), ids[i]))
+                    continue
+                pairs = [(i, j) for i in range(len(some)) for j in np.flatnonzero(like(sk[some[:i]], sk[some[i]]))]
+                main = some[_main(len(some), pairs)]
+                a.append(ids[some[[i for i, _ in pairs]]] if pairs else ids[:0])
+                b.append(ids[some[[j for _, j in pairs]]] if pairs else ids[:0])
+                left = rest[~np.isin(ids[rest], ids[main])]
+                for i in main:
+                    ok = like(sk[left], sk[i])
+                    a.append(ids[left[ok]])
+                    b.append(np.full(int(ok.sum()), ids[i]))
+                    left = left[~ok]
+                loose.append(ids[left])
+                group.append(rows.column("key").to_numpy()[left])
+            yield _out(a, b, loose, group)
 
     return run
 
 
-def linked(sets: list[np.ndarray], sk: np.ndarray, need: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def linked(sets: list[np.ndarray], sk: np.ndarray, need: int, threshold: float, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Indices (a, b) of a spanning forest of the pairs whose Jaccard similarity is at least the threshold, decided on full sets.
 
-    Pairs that are connected already, differ too much in size, or whose sketches
-    rule them out are passed over.
+    Pairs that are connected already (``label``: equal for what is connected from
+    the start), differ too much in size, or whose sketches rule them out are passed over.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     starts = np.r_[0, np.cumsum(sizes)]
     _, codes = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(codes.max() + 1, bool)
-    label, done = np.arange(n), np.zeros(n, bool)
+    label, done = np.arange(n) if label is None else label.copy(), np.zeros(n, bool)
     a, b = [], []
     percent = round(100 * threshold)
     for i in np.argsort(-sizes, kind="stable"):
@@ -216,21 +304,51 @@ def linked(sets: list[np.ndarray], sk: np.ndarray, need: int, threshold: float)
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _family_links(k: int, need: int, threshold: float) -> object:
+def _similar(one: np.ndarray, flat: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sorted sets that ``flat`` joins are similar enough to set ``one``."""
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    both = np.add.reduceat(one[at] == flat, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.int64)
+    return 100 * both >= percent * (len(one) + sizes - both)
+
+
+def _family_links(need: int, threshold: float, last: bool) -> object:
+    """The same with full sets: sorted runs of (cell, key, row, marked, sketch, shingles) -> verified links and loose members."""
+    percent = round(100 * threshold)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in sorted_runs(batches, "cell"):
-            cell, ids = rows.column("cell").to_numpy(), rows.column("id").to_numpy()
+        for rows in sorted_runs(lean(batches), "cell"):
+            cell, ids, marked = (rows.column(c).to_numpy() for c in ("cell", "row", "marked"))
             raw, sketch = rows.column("shingles").to_pylist(), rows.column("sketch").to_pylist()
-            a, b = [], []
+            a, b, loose, group = [], [], [], []
             edges = np.r_[np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]), len(cell)]
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                if hi - lo > 1:
+                if hi - lo < 2:
+                    continue
+                own, star = ids[lo:hi], marked[lo:hi]
+                sets = [np.frombuffer(s, np.uint64) for s in raw[lo:hi]]
+                if last or not (star == 1).any():
                     sk = np.frombuffer(b"".join(sketch[lo:hi]), np.uint8).reshape(hi - lo, -1)
-                    x, y = linked([np.frombuffer(s, np.uint64) for s in raw[lo:hi]], sk, need, threshold)
-                    a.append(ids[lo:hi][x])
-                    b.append(ids[lo:hi][y])
-            x, y = (np.concatenate(v) if v else ids[:0] for v in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+                    label = np.where(star > 0, np.unique(own, return_inverse=True)[1], -1) if last else None  # all that aren't loose are connected
+                    x, y = linked(sets, sk, need, threshold, label)
+                    a.append(own[x])
+                    b.append(own[y])
+                    continue
+                some, rest = np.flatnonzero(star == 1), np.flatnonzero(star != 1)
+                some = some[np.argsort(own[some], kind="stable")]
+                against = lambda i, js: _similar(sets[i], np.concatenate([sets[j] for j in js]), np.array([len(sets[j]) for j in js]), percent) if len(js) else np.zeros(0, bool)  # noqa: E731,B023
+                pairs = [(i, j) for i in range(len(some)) for j in np.flatnonzero(against(some[i], some[:i]))]
+                main = some[_main(len(some), pairs)]
+                a.append(own[some[[i for i, _ in pairs]]] if pairs else own[:0])
+                b.append(own[some[[j for _, j in pairs]]] if pairs else own[:0])
+                left = rest[~np.isin(own[rest], own[main])]
+                for i in main:
+                    ok = against(i, left)
+                    a.append(own[left[ok]])
+                    b.append(np.full(int(ok.sum()), own[i]))
+                    left = left[~ok]
+                loose.append(own[left])
+                group.append(rows.column("key").to_numpy()[lo:hi][left])
+            yield _out(a, b, loose, group)
 
     return run
 
@@ -242,44 +360,69 @@ def with_sets(docs: DataFrame, text: str, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
-            words = [words_of(t) for t in batch.column(text).to_pylist()]
-            sets = [shingles(w, hashes, k).tobytes() for w in words]
-            keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(sets, pa.binary()), pa.array(keys, pa.binary())], names=[*rest, "shingles", "_key"])
+        for whole in lean(batches):
+            for batch in slices(whole, whole.schema.get_field_index(text)):
+                words = [words_of(t) for t in batch.column(text).to_pylist()]
+                sets = [shingles(w, hashes, k).tobytes() for w in words]
+                keys = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(sets, pa.binary()), pa.array(keys, pa.binary())], names=[*rest, "shingles", "_key"])
 
     return docs.mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row: the components of links with Jaccard similarity of at least ``threshold``."""
+def _connected(members: DataFrame, key: str, most: int, task: Callable[[bool], object], payload: DataFrame, name: str) -> DataFrame:
+    """Links (a, b) within the groups of ``members`` (key, row, _c cells). ``payload`` has the columns that a task needs, by row."""
+
+    def met(cells: DataFrame, last: bool) -> DataFrame:
+        own = cells.withColumnRenamed(key, "key").join(payload, "row")
+        return own.repartition("cell").sortWithinPartitions("cell").mapInArrow(task(last), _LINKS)
+
+    first = written(met(_starred(members, key), False), name)
+    links, loose = first.where("loose is null").select("a", "b"), first.where("loose is not null").select(F.col("loose").alias(key), F.col("a").alias("row")).distinct()
+    if loose.isEmpty():
+        return links
+    return links.unionByName(met(_loose_cells(members.where("_c > 1"), loose, key, most), True).select("a", "b"))
+
+
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = WORDS, row: str | None = None) -> DataFrame:
+    """(row, doc_id, n_shingles, group, component_id) of every row: group numbers the components of links with Jaccard similarity of at least ``threshold`` (null for empty sets), component_id is the smallest id in it (of a row with an empty set, its own). row: the column that numbers the rows, if there is one."""
     need = int(np.floor((threshold - MAY_BE) * T))
-    base = written(sketched(docs, doc_id, text, k), "sketches")
-    some = base.where("words_key is not null and id is not null")
-    # The id that stands for a class, and the words' digest under which its members find it.
-    classes = some.groupBy("words_key").agg(F.min("id").alias("rep"))
-    heads = base.join(classes.select(F.col("rep"), F.col("words_key").alias("_w")), (F.col("id") == F.col("rep")) & (F.col("words_key") == F.col("_w")), "left_semi").dropDuplicates(["id"])
-    reps = written(heads.select("id", "n_shingles", "words_key", "sketch", "bands"), "classes")
+    base = written(sketched(docs, doc_id, text, k, row), "sketches")
+    classes = written(base.where("words_key is not null").groupBy("words_key").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count("*").alias("n")), "classes")
+    reps = written(base.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "at", "n_shingles", "words_key", "sketch", "bands"), "heads")
     bands = T // ROWS
-    keys = reps.select("id", F.explode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(bands, i * 8 + 1, 8)))")).alias("key"))
-    shared = keys.groupBy("key").count().where("count > 1").select(F.col("key").alias("_key"), F.ceil(F.col("count") / BUCKET).cast("int").alias("_c"))
-    met = keys.join(shared, F.col("key") == F.col("_key")).select("key", "id", "_c")
-    cells = chunk_pairs(met, "_c", "id").select(F.xxhash64("key", "_i", "_j").alias("cell"), "id")
-    compared = cells.join(reps.select(F.col("id").alias("_id"), "sketch"), F.col("id") == F.col("_id")).select("cell", "id", "sketch")
-    maybe = compared.repartition("cell").sortWithinPartitions("cell").mapInArrow(_bucket_links(need), "a long, b long")
-    families = components(maybe)
-    members = written(families.join(reps.select("id", "n_shingles", "words_key", "sketch"), families.node == reps.id).select("id", "component", "n_shingles", "words_key", "sketch"), "families")
-    sizes = members.groupBy("component").agg(F.ceil(F.sum("n_shingles") / CHUNK).cast("int").alias("_c")).select(F.col("component").alias("_f"), "_c")
-    own = members.join(sizes, F.col("component") == F.col("_f")).select("id", "component", "words_key", "sketch", "_c")
-    texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    sets = with_sets(own.join(texts, F.col("id") == F.col("_id")).select("id", "component", "words_key", "sketch", "_c", "_text"), "_text", k)
-    sets = sets.where("_key = words_key").dropDuplicates(["id"])
-    dealt = chunk_pairs(sets, "_c", "id").select(F.xxhash64("component", "_i", "_j").alias("cell"), "id", "sketch", "shingles")
-    links = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_family_links(k, need, threshold), "a long, b long")
-    found = components(links).select(F.col("node").alias("_n"), F.col("component").alias("_comp"))
-    named = classes.join(found, classes.rep == found._n, "left").select(F.col("words_key").alias("_w"), F.coalesce("_comp", "rep").alias("_comp"))
-    out = base.join(named, base.words_key == named._w, "left").select(F.col("id").alias("doc_id"), "n_shingles", F.coalesce("_comp", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    keys = reps.select("row", F.explode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(bands, i * 8 + 1, 8)))")).alias("key"))
+    shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("_c", F.ceil(F.col("n") / BUCKET).cast("int")), "buckets")
+    buckets = written(joined_hot(keys, shared, ["key"], "n").where("_c is not null").drop("n"), "buckets")
+    families = components(_connected(buckets, "key", BUCKET, lambda last: _bucket_links(need, last), reps.select("row", "sketch"), "maybe"))
+    members = written(families.join(reps.select("row", "at", "n_shingles", "words_key", "sketch"), families.node == reps.row).select("row", "component", "n_shingles", "at", "words_key", "sketch"), "families")
+    sizes = written(members.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.sum("n_shingles") / CHUNK, F.count("*") / TEXTS)).cast("int").alias("_c")), "sizes")
+    texts = docs.select(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("at"), F.col(text).alias("_text"))
+    sets = with_sets(members.select("row", "at", "words_key", "sketch").join(texts, "at"), "_text", k)
+    sets = written(sets.where("_key = words_key").select("row", "sketch", "shingles").dropDuplicates(["row"]), "sets")
+    dealt = joined_hot(members.select("component", "row"), sizes.select("component", "n", "_c"), ["component"], "n")
+    links = _connected(dealt, "component", LOOSE, lambda last: _family_links(need, threshold, last), sets, "links")
+    found = components(links).select(F.col("node").alias("rep"), F.col("component").alias("_comp"))
+    named = written(classes.join(found, "rep", "left").select("words_key", F.coalesce("_comp", "rep").alias("group"), "least", "n"), "named")
+    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    whole = written(named.join(least, "group").select("words_key", "group", "component_id", "n"), "groups")
+    out = joined_hot(base.select("row", F.col("id").alias("doc_id"), "n_shingles", "words_key"), whole, ["words_key"], "n")
+    return out.select("row", "doc_id", "n_shingles", "group", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row: the components of links with Jaccard similarity of at least ``threshold``."""
+    out = grouped(docs, doc_id, text, threshold, k)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = WORDS) -> DataFrame:
+    """``docs`` with one row of each group: one with the group's smallest id. Rows with empty sets all stay; so do different texts under one id, and rows without an id, unless they are near-duplicates."""
+    (row,) = fresh(docs.columns, "_row")
+    own = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    named = written(grouped(own, doc_id, text, threshold, k, row).select(F.col("row").alias(row), "doc_id", "group", "component_id"), "grouped")
+    one = named.where("group is not null and doc_id <=> component_id").groupBy("group").agg(F.min(row).alias(row)).select(row)
+    return own.join(one.unionByName(named.where("group is null").select(row)), row, "left_semi").select(*docs.columns)
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

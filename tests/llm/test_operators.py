@@ -263,3 +263,98 @@ def test_licences(spark, none):
     got = {r.doc_id: (r.license, r.notices) for r in license_scan.scan(df).collect()}
     assert got == {0: ("MIT", ["MIT"]), 1: ("MIT", ["MIT"]), 2: (None, ["CC-BY-NC-4.0"]), 3: (None, []), 4: (None, []), 5: ("ISC", []), 6: (None, [])}
     assert license_scan.scan(none).count() == 0
+
+
+def test_ids_that_repeat_and_rows_without_id(spark):
+    base = [f"w{i}" for i in range(60)]
+    text, near, far = " ".join(base), " ".join([*base, "more"]), " ".join(f"z{i}" for i in range(60))
+    rows = [(1, text), (5, near), (5, far), (6, far + " "), (7, "q"), (None, near.upper()), (None, "only here"), (None, None), (7, None), (7, "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("_row", F.lit(2))
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in minhash_dedup.near_duplicates(df).collect())
+    want = [("1", 56, "1", True), ("5", 57, "1", False), ("5", 56, "5", True), ("6", 56, "5", False), ("7", 1, "7", True), ("7", 1, "7", True), ("7", 0, "7", True), ("None", 57, "1", False), ("None", 1, "None", False), ("None", 0, "None", False)]
+    assert got == sorted(want)
+    left = minhash_dedup.survivors(df, threshold=0.8)
+    assert left.columns == df.columns and sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted([("1", text), ("5", far), ("7", "q"), ("None", "only here"), ("None", "None"), ("7", "None")])
+
+
+@pytest.mark.parametrize("shape", ["star", "chain", "none"])
+def test_large_groups_lose_no_link(spark, monkeypatch, shape):
+    """Groups dealt into cells with pivots: near copies of one text, a chain in which only neighbours are linked, and texts that share a bucket but no link."""
+    monkeypatch.setattr(minhash_dedup, "BUCKET", 4)
+    monkeypatch.setattr(minhash_dedup, "CHUNK", 600)
+    monkeypatch.setattr(minhash_dedup, "LOOSE", 3)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    if shape == "star":
+        texts = [" ".join([*words[:100], f"x{i}"]) for i in range(60)]
+    elif shape == "chain":
+        texts = [" ".join(words[4 * i : 4 * i + 100]) for i in range(60)]
+    else:
+        texts = [" ".join([*words[:70], *(f"y{i}x{j}" for j in range(40 + rng.randrange(3)))]) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingle_set(t) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = closure(range(len(sets)), links)
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df, threshold=0.8).collect()} == want
+
+
+def test_warc_filters_are_pushed_and_payloads_left_alone(spark, tmp_path):
+    """Predicates on headers are taken by the reader, and a record that fails them, or whose payload no column needs, may hold any payload."""
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In, StringStartsWith
+    from pyspark.sql.types import _parse_datatype_string as parse
+
+    good = [warc.member(warc.record(f"urn:x-page:{i}", "revisit" if i % 2 else "response", f"http://x/{i}", b"payload %d" % i, "urn:x-page:0")) for i in range(6)]
+    raw = warc.record("urn:x-page:9", "response", "http://x/9", b"p" * 5000)
+    broken = warc.member(raw.replace(b"p" * 100 + b"\r\n\r\n", b"q" * 100 + b"\r\n\r\n"))  # its digest doesn't match
+    (tmp_path / "part-a.warc.gz").write_bytes(b"".join([*good, broken]))
+    (tmp_path / "manifest.json").write_text('[["part-a.warc.gz", 1]]')
+    schema = parse("record_id string, payload binary")
+    tests = [EqualTo(("record_type",), "revisit"), In(("record_id",), ("urn:x-page:1", "urn:x-page:3", "urn:x-page:4")), StringStartsWith(("target_uri",), "http://x/"), GreaterThan(("payload_bytes",), 3)]
+    reader = warc.WarcReader(str(tmp_path), schema, 1 << 20)
+    assert list(reader.pushFilters(tests)) == [tests[3]] and len(reader.tests) == 3
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(r["record_id"] for r in rows) == ["urn:x-page:1", "urn:x-page:3"]
+    heads = warc.WarcReader(str(tmp_path), parse("record_id string, payload_digest string"), 1 << 20)
+    assert len([r for p in heads.partitions() for b in heads.read(p) for r in b.to_pylist()]) == 7
+    with pytest.raises(warc.BadArchive):
+        whole = warc.WarcReader(str(tmp_path), schema, 1 << 20)
+        list(b for p in whole.partitions() for b in whole.read(p))
+    warc.register(spark)
+    plan = spark.read.format("warc").load(str(tmp_path)).where("record_type = 'revisit'").select("record_id")._jdf.queryExecution().executedPlan().toString()
+    assert "record_type = revisit" not in plan.split("BatchScan")[0]  # nothing is left for Spark to filter
+
+
+def test_language_letters(spark):
+    texts = ["½ ² 12", "Ⅷ", "① ②", "٣٤", "word", "字", "é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net = language_id.ByteGru(["a", "b"])
+    got = [r.p.lang_pred for r in df.select("doc_id", language_id.predict(net, F.col("text")).alias("p")).orderBy("doc_id").collect()]
+    assert got[:4] == ["und"] * 4 and "und" not in got[4:]
+
+
+def test_models_leave_a_worker_one_at_a_time():
+    made = []
+    for key in ("a", "b", "b", "a"):
+        common.resident(key, lambda: made.append(key) or object())
+    assert made == ["a", "b", "a"] and len(common._resident) == 1
+    assert list(common.lean(iter([1, 2]))) == [1, 2] and not common._resident
+    cache = common.Cache(lambda x: x.encode(), limit=2000)
+    assert [cache[str(i)] for i in range(100)] == [str(i).encode() for i in range(100)] and len(cache) < 15
+
+
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 4)
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else 1 if i % 2 else i % 5) for i in range(300)], "id long, k long")
+    named = common.written(rows.where("k is not null").groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 10).where("k <> 3"), "named")
+    got = sorted(((r.id, r.k, r.v) for r in common.joined_hot(rows, named, ["k"], "n").collect()), key=repr)
+    assert got == sorted(((r.id, r.k, None if r.k in (None, 3) else r.k * 10) for r in rows.collect()), key=repr)
+    assert common.joined_hot(rows, named.where("false"), ["k"], "n").where("v is not null").count() == 0
+
+
+def test_samples_are_bounded_and_never_empty(spark):
+    same = spark.createDataFrame([(None, "x")] * 500, "id long, t string")
+    assert [r.t for r in common.bounded_sample(same, 10, ["id", "t"], F.col("t"))] == ["x"] * 10
+    rows = spark.createDataFrame([(i, str(i)) for i in range(5000)], "id long, t string")
+    a = [r.t for r in common.bounded_sample(rows.repartition(3), 40, ["id", "t"], F.col("t"))]
+    assert len(a) == 40 and a == [r.t for r in common.bounded_sample(rows.repartition(7), 40, ["id", "t"], F.col("t"))]
+    assert common.bounded_sample(rows.where("false"), 40, ["id"], F.col("t")) == []
