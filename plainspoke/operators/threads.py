@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -17,7 +18,10 @@ OBJECTIVES = {
     "DIAGNOSE": (["DECLARE", "ADVANCE", "OPEN_BRANCH", "CLOSE", "CONSOLIDATE", "REPAIR"], 0, 3),
     "ALIGN": (["DECLARE", "ADVANCE", "OPEN_BRANCH", "PARK", "CLOSE", "CONSOLIDATE", "REPAIR"], 1, 4),
 }
-_IN_ORDER = W.partitionBy("conv_id").orderBy("turn")
+
+
+def _in_order() -> WindowSpec:
+    return W.partitionBy("conv_id").orderBy("turn")
 
 
 def _low(text: str = "text") -> Column:
@@ -32,7 +36,7 @@ def best(low: Column, terms: dict[str, list[str]]) -> Column:
 def abstraction(turns: DataFrame, levels: list[list[str]], allowed: int = 1, bounds: tuple[int, int] | None = None) -> DataFrame:
     """(conv_id, turn, level, delta, direction, passed): each turn's level (0 without a term), its step from the turn before, and whether the step is within ``allowed`` and the level within ``bounds``."""
     got = turns.select("conv_id", "turn", best(_low(), {str(i): own for i, own in enumerate(levels)}).alias("b")).select("conv_id", "turn", F.when(F.col("b.n") > 0, F.col("b.name").cast("int")).otherwise(0).alias("level"))
-    got = got.withColumn("delta", F.coalesce(F.col("level") - F.lag("level").over(_IN_ORDER), F.lit(0)))
+    got = got.withColumn("delta", F.coalesce(F.col("level") - F.lag("level").over(_in_order()), F.lit(0)))
     ok = F.abs("delta") <= allowed
     if bounds:
         ok = ok & F.col("level").between(*bounds)
@@ -56,7 +60,7 @@ def salience(turns: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
 def state_deltas(turns: DataFrame, added: list[str], resolved: list[str]) -> DataFrame:
     """(conv_id, turn, open, done, delta, state, streak): open and resolved markers so far; delta is what was resolved since the turn before less what was added. PROGRESS above 0, STAGNANT at 0, EXPANDING below; streak counts turns without progress in a row."""
     low = _low()
-    w = _IN_ORDER.rowsBetween(W.unboundedPreceding, 0)
+    w = _in_order().rowsBetween(W.unboundedPreceding, 0)
     n = turns.select("conv_id", "turn", T.hits(low, added).alias("a"), T.hits(low, resolved).alias("r"))
     got = n.select("conv_id", "turn", F.sum("a").over(w).cast("int").alias("open"), F.sum("r").over(w).cast("int").alias("done"), (F.col("r") - F.col("a")).alias("delta"))
     got = got.withColumn("state", F.when(F.col("delta") > 0, "PROGRESS").when(F.col("delta") == 0, "STAGNANT").otherwise("EXPANDING"))
