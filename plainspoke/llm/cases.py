@@ -1,7 +1,8 @@
 """Queries of the training-data operators and their SQL.
 
 SQL can state what op2, op4 and op7 return: all pairs by cosine or by full shingle
-sets with the closure of their links, and digests with the largest id of each.
+sets with the closure of their links, digests with the largest id of each; and
+what op12 and op13 return: trees level by level, and counts of phrases.
 The others depend on models (1, 6, 8), on tokenizers (5, 9), on stored bytes of a
 format (10) or on a scanner of lines (3); tests hold them against brute force, an
 exact round trip or held-out accuracy.
@@ -13,11 +14,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, language_id, license_scan, minhash_dedup, ogg_media, packing, pii, quality, warc
+from . import byte_bpe, embedding_dedup, language_id, license_scan, merkle, minhash_dedup, ogg_media, packing, pii, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (language_id.op1_language_id, embedding_dedup.op2_embedding_dedup, license_scan.op3_license_scan, minhash_dedup.op4_minhash_dedup, packing.op5_packing, quality.op6_quality, pii.op8_pii, warc.op7_warc, byte_bpe.op9_byte_bpe, ogg_media.op10_ogg_media)
+    own = (language_id.op1_language_id, embedding_dedup.op2_embedding_dedup, license_scan.op3_license_scan, minhash_dedup.op4_minhash_dedup, packing.op5_packing, quality.op6_quality, pii.op8_pii, warc.op7_warc, byte_bpe.op9_byte_bpe, ogg_media.op10_ogg_media, merkle.op12_merkle)
     return {f.__name__: f for f in own}
 
 
@@ -42,5 +43,36 @@ _OP7 = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) A
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(8), lambda i: {_FOUR}), '') AS payload_digest, CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> head THEN head END AS refers_to FROM g"""
 
 
+
+def _framed(value: str) -> str:
+    return f"coalesce(CAST(octet_length(encode(CAST({value} AS VARCHAR))) AS VARCHAR) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_framed, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+#: crc32 of a decimal number: each byte goes in with the first of eight steps.
+_CRC = "xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))))"
+
+
+def _up(name: str, start: str) -> str:
+    return f"{name} AS ({start} UNION ALL SELECT t, lev + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), any_value((c + 1) // 2) FROM {name} WHERE c > 1 GROUP BY t, lev, i // 2)"
+
+
+def _sides(nodes: str, tree: str, place: str) -> str:
+    """For each ancestor below the root of the node at ``place`` of ``tree``: its level and the siblings before and after."""
+    return f"JOIN {nodes} u ON u.t = {tree} AND u.c > 1 AND u.i = ({place} >> u.lev) LEFT JOIN {nodes} s ON s.t = u.t AND s.lev = u.lev AND s.i = xor(u.i, 1)"
+
+
+_SIDE = "CASE WHEN u.i % 2 = 1 THEN s.h || ':' ELSE ':' || coalesce(s.h, '') END AS side"
+_OP12 = f"""WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf(f"(n_chars + CASE WHEN {_CRC} % 7 = 0 THEN 1 ELSE 0 END)")} AS given FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS t, row_number() OVER () AS id FROM d),
+{_up("low", "SELECT t, 0 AS lev, i, leaf AS h, n AS c FROM r")}, subroots AS (SELECT t, h FROM low WHERE c = 1), {_up("top", "SELECT 0 AS t, 0 AS lev, t AS i, h, count(*) OVER () AS c FROM subroots")},
+sides AS (SELECT r.id, u.lev, {_SIDE} FROM r {_sides("low", "r.t", "r.i")} UNION ALL SELECT r.id, 1000 + u.lev, {_SIDE} FROM r {_sides("top", "0", "r.t")}),
+paths AS (SELECT id, list(side ORDER BY lev) AS p FROM sides GROUP BY id),
+f AS (SELECT doc_id, leaf, w.h AS subroot, (SELECT h FROM top WHERE c = 1) AS root, sha256(replace(array_to_string(coalesce(p, []), ''), ':', '')) AS proof_sha256, list_reduce(list_concat([given], coalesce(p, [])), lambda g, s: sha256(split_part(s, ':', 1) || g || split_part(s, ':', 2))) AS folded_root FROM r JOIN subroots w ON w.t = r.t LEFT JOIN paths ON paths.id = r.id)
+SELECT *, folded_root = root AS verified FROM f"""
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": _OP2, "op4_minhash_dedup": _OP4, "op7_warc": _OP7}
+    return {"op2_embedding_dedup": _OP2, "op4_minhash_dedup": _OP4, "op7_warc": _OP7, "op12_merkle": _OP12}
