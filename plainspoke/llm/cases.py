@@ -14,11 +14,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, embedding_dedup, language_id, license_scan, merkle, minhash_dedup, ogg_media, packing, pii, quality, warc
+from . import byte_bpe, collocations, embedding_dedup, language_id, license_scan, merkle, minhash_dedup, ogg_media, packing, pii, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (language_id.op1_language_id, embedding_dedup.op2_embedding_dedup, license_scan.op3_license_scan, minhash_dedup.op4_minhash_dedup, packing.op5_packing, quality.op6_quality, pii.op8_pii, warc.op7_warc, byte_bpe.op9_byte_bpe, ogg_media.op10_ogg_media, merkle.op12_merkle)
+    own = (language_id.op1_language_id, embedding_dedup.op2_embedding_dedup, license_scan.op3_license_scan, minhash_dedup.op4_minhash_dedup, packing.op5_packing, quality.op6_quality, pii.op8_pii, warc.op7_warc, byte_bpe.op9_byte_bpe, ogg_media.op10_ogg_media, merkle.op12_merkle, collocations.op13_collocations)
     return {f.__name__: f for f in own}
 
 
@@ -74,5 +74,18 @@ paths AS (SELECT id, list(side ORDER BY lev) AS p FROM sides GROUP BY id),
 f AS (SELECT doc_id, leaf, w.h AS subroot, (SELECT h FROM top WHERE c = 1) AS root, sha256(replace(array_to_string(coalesce(p, []), ''), ':', '')) AS proof_sha256, list_reduce(list_concat([given], coalesce(p, [])), lambda g, s: sha256(split_part(s, ':', 1) || g || split_part(s, ':', 2))) AS folded_root FROM r JOIN subroots w ON w.t = r.t LEFT JOIN paths ON paths.id = r.id)
 SELECT *, folded_root = root AS verified FROM f"""
 
+_OP13 = f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\n\\x0B\\f\\r]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM pieces),
+g AS (SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) t(k)),
+f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY ALL), n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS p FROM f WHERE k > 1 AND a >= 10),
+cuts AS (SELECT c.lang, c.phrase, c.a, j.j, x.a AS l, y.a AS r, 1000000 * c.a * c.a // (x.a * y.a) AS score FROM c JOIN (VALUES (1), (2)) j(j) ON j.j < c.k JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.p[1:j.j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.p[j.j + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+parts AS (SELECT lang, a, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS phrase FROM c WHERE k = 3),
+stay AS (SELECT * FROM lowest WHERE NOT EXISTS (SELECT 1 FROM parts WHERE parts.lang = lowest.lang AND parts.phrase = lowest.phrase AND 100 * parts.a >= 50 * lowest.a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM stay)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": _OP2, "op4_minhash_dedup": _OP4, "op7_warc": _OP7, "op12_merkle": _OP12}
+    return {"op2_embedding_dedup": _OP2, "op4_minhash_dedup": _OP4, "op7_warc": _OP7, "op12_merkle": _OP12, "op13_collocations": _OP13}

@@ -86,7 +86,7 @@ def _levels(nodes: Column, levels: Column, arity: int) -> Column:
 
 
 def _above(nodes: DataFrame, tier: int, arity: int, levels: int) -> DataFrame:
-    """The buckets of one tier: (tree, size, bucket, up), ``up`` holding the digests of each level from the tier's nodes on."""
+    """The buckets of one tier: (tree, deep, bucket, up), ``up`` holding the digests of each level from the tier's nodes on."""
     own = nodes.where(F.col("deep") > tier * levels).withColumn("bucket", F.floor(F.col("rank") / arity**levels))
     gathered = own.groupBy("tree", "deep", "bucket").agg(F.array_sort(F.collect_list(F.struct("rank", "digest"))).alias("_n"))  # arity ** levels at most
     return gathered.select("tree", "deep", "bucket", _levels(F.col("_n.digest"), F.least(F.lit(levels), F.col("deep") - tier * levels), arity).alias("up"))
@@ -102,38 +102,45 @@ def intervals(buckets: DataFrame, tier: int, arity: int = ARITY, levels: int = L
 
 
 def _paths(nodes: DataFrame, parents: DataFrame, arity: int, levels: int) -> DataFrame:
-    """(tree, bucket, rank, part) for every node of a tier that has parents: what stands before and after it in each parent, level by level."""
-    own = nodes.select("tree", "rank", F.floor(F.col("rank") / arity**levels).alias("bucket"))
-    held = own.join(parents, ["tree", "bucket"]).where((F.col("lo") <= F.col("rank")) & (F.col("rank") < F.col("hi")))
+    """``nodes`` of a tier that have parents, with their bucket and ``part``: what stands before and after them in each parent, level by level.
+
+    The grouping's keys hold the join's, so no row moves after the join.
+    """
+    own = nodes.withColumn("bucket", F.floor(F.col("rank") / arity**levels))
+    held = own.join(parents.drop("digest"), ["tree", "bucket"]).where((F.col("lo") <= F.col("rank")) & (F.col("rank") < F.col("hi")))
     child = F.floor((F.col("rank") - F.col("lo")) / F.col("step")).cast("int")  # the own child's place; the interval's rest are the siblings
     beside = F.struct("level", F.array_join(F.slice("children", F.lit(1), child), "").alias("before"), F.array_join(F.slice("children", child + 2, F.lit(arity)), "").alias("after"))
     sides = F.transform(F.array_sort(F.collect_list(beside)), lambda s: F.struct(s["before"].alias("before"), s["after"].alias("after")))
-    return held.groupBy("tree", "bucket", "rank").agg(sides.alias("part"))
-
-
-def forest(nodes: DataFrame, name: str, arity: int = ARITY, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
-    """Trees over ``nodes`` (tree, rank, size, digest), tree not null: the roots (tree, root), and for each node (tree, rank, path).
-
-    ``path`` holds what stands before and after the node's ancestor in each parent, from the leaves up.
-    """
-    at = nodes.select("tree", "rank", "digest", depth(F.col("size"), arity).alias("deep"))
-    deepest = at.agg(F.max("deep")).first()[0] or 0
-    tiers, roots = [], [at.where("deep = 0").select("tree", F.col("digest").alias("root"))]
-    for tier in range(-(-deepest // levels)):
-        buckets = written(_above(at, tier, arity, levels), f"{name}-buckets")
-        tiers.append((at, buckets))
-        top = buckets.select("tree", "deep", F.col("bucket").alias("rank"), F.element_at(F.element_at("up", -1), 1).alias("digest"))
-        roots.append(top.where(F.col("deep") <= (tier + 1) * levels).select("tree", F.col("digest").alias("root")))
-        at = top
-    paths = at.select("tree", "rank", F.array().cast(_PATH).alias("path"))
-    for tier in reversed(range(len(tiers))):
-        at, buckets = tiers[tier]
-        parts = _paths(at, intervals(buckets, tier, arity, levels), arity, levels)
-        up = paths.select("tree", F.col("rank").alias("bucket"), F.col("path").alias("_up"))
-        some = parts.join(up, ["tree", "bucket"], "left").select("tree", "rank", F.concat("part", F.coalesce("_up", F.array().cast(_PATH))).alias("path"))
-        lone = at.where(F.col("deep") <= tier * levels).select("tree", "rank", F.array().cast(_PATH).alias("path"))
-        paths = some.unionByName(lone)
-    return reduce(DataFrame.unionByName, roots), paths
+    return held.groupBy("tree", "bucket", *(c for c in own.columns if c not in ("tree", "bucket"))).agg(sides.alias("part"))
+
+
+class Forest:
+    """Trees over ``nodes`` (tree, rank, size, digest and any others; tree not null), built tier by tier. ``roots`` are (tree, root)."""
+
+    def __init__(self, nodes: DataFrame, name: str, arity: int = ARITY, levels: int = LEVELS):
+        self.arity, self.levels = arity, levels
+        at = nodes.withColumn("deep", depth(F.col("size"), arity)).drop("size")
+        deepest = at.agg(F.max("deep")).first()[0] or 0
+        self.tiers, roots = [], [at.where("deep = 0").select("tree", F.col("digest").alias("root"))]
+        for tier in range(-(-deepest // levels)):
+            buckets = written(_above(at, tier, arity, levels), f"{name}-buckets")
+            self.tiers.append((at, buckets))
+            at = buckets.select("tree", "deep", F.col("bucket").alias("rank"), F.element_at(F.element_at("up", -1), 1).alias("digest"))
+            roots.append(at.where(F.col("deep") <= (tier + 1) * levels).select("tree", F.col("digest").alias("root")))
+        self.last, self.roots = at, reduce(DataFrame.unionByName, roots)
+
+    def proofs(self, above: DataFrame) -> DataFrame:
+        """The nodes with ``path``, what stands beside their ancestors from the leaves up, and the columns of ``above`` (tree, path, ...), one row a tree, whose path goes on from the root."""
+        more = [c for c in above.columns if c not in ("tree", "path")]
+        got = self.last.drop("deep").join(above, "tree")
+        for tier in reversed(range(len(self.tiers))):
+            at, buckets = self.tiers[tier]
+            inner, lone = F.col("deep") > tier * self.levels, F.col("deep") <= tier * self.levels
+            own = _paths(at.where(inner).drop("deep"), intervals(buckets, tier, self.arity, self.levels), self.arity, self.levels)
+            up = got.select("tree", F.col("rank").alias("bucket"), F.col("path").alias("_up"), *more)
+            some = own.join(up, ["tree", "bucket"]).withColumn("path", F.concat("part", "_up")).drop("bucket", "part", "_up")
+            got = some.unionByName(at.where(lone).drop("deep").join(above, "tree"))
+        return got
 
 
 def folded(start: Column, path: Column) -> Column:
@@ -154,15 +161,15 @@ def manifest(docs: DataFrame, tampered: Column | None = None, arity: int = ARITY
     """
     known = leaf()
     rows = docs.select("doc_id", "lang", known.alias("digest"), F.when((tampered if tampered is not None else known) != known, tampered if tampered is not None else known).alias("given"))
-    leaves = written(ranked(rows, "lang", "doc_id", "digest").withColumn("tree", F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit(""))), "leaves")
-    subroots, paths = forest(leaves, "leaves", arity, levels)
-    subroots = written(subroots.select(F.lit(0).alias("_one"), F.when(F.col("tree") != "", F.substring("tree", 2, 1 << 30)).alias("lang"), F.col("root").alias("digest"), F.col("tree").alias("of")), "subroots")
-    tops = written(ranked(subroots, "_one", "lang").withColumn("tree", F.lit("")), "tops")
-    root, upper = forest(tops, "tops", arity, levels)
-    named = tops.join(upper, ["tree", "rank"]).join(root, "tree").select(F.col("of").alias("tree"), F.col("digest").alias("subroot"), "root", F.col("path").alias("_upper"))
-    # One row a language: as many as there are, so Spark chooses how to join them.
-    full = leaves.join(paths, ["tree", "rank"]).join(named, "tree").withColumn("_path", F.concat("path", "_upper"))
-    out = full.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.sha2(siblings(F.col("_path")).cast("binary"), 256).alias("proof_sha256"), folded(F.coalesce("given", "digest"), F.col("_path")).alias("folded_root"))
+    # Leaves are (tree, rank, size, doc_id, digest, given); only their digests and places move from here on.
+    leaves = written(ranked(rows, "lang", "doc_id", "digest").withColumn("tree", F.coalesce(F.concat(F.lit("l"), F.col("lang")), F.lit(""))).drop("lang"), "leaves")
+    trees = Forest(leaves, "leaves", arity, levels)
+    subroots = trees.roots.select(F.lit(0).alias("_one"), F.when(F.col("tree") != "", F.substring("tree", 2, 1 << 30)).alias("lang"), F.col("root").alias("digest"), F.col("tree").alias("of"))
+    tops = written(ranked(written(subroots, "subroots"), "_one", "lang").select("rank", "size", "digest", "of", F.lit("").alias("tree")), "tops")
+    top = Forest(tops, "tops", arity, levels)
+    above = top.proofs(top.roots.select("tree", "root", F.array().cast(_PATH).alias("path"))).select(F.col("of").alias("tree"), F.col("digest").alias("subroot"), "root", "path")
+    full = trees.proofs(written(above, "above"))
+    out = full.select("doc_id", F.col("digest").alias("leaf"), "subroot", "root", F.sha2(siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256"), folded(F.coalesce("given", "digest"), F.col("path")).alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
