@@ -3,7 +3,7 @@
 SQL can state what op2, op4 and op7 return: all pairs by cosine or by full shingle
 sets with the closure of their links, digests with the largest id of each; and
 what op12 and op13 return: trees level by level, and counts of phrases.
-The others depend on models (1, 6, 8), on tokenizers (5, 9), on stored bytes of a
+The others depend on models (1, 6, 8, 11), on tokenizers (5, 9), on stored bytes of a
 format (10) or on a scanner of lines (3); tests hold them against brute force, an
 exact round trip or held-out accuracy.
 """
@@ -14,11 +14,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, collocations, embedding_dedup, language_id, license_scan, merkle, minhash_dedup, ogg_media, packing, pii, quality, warc
+from . import byte_bpe, collocations, embedding_dedup, language_id, license_scan, merkle, minhash_dedup, ogg_media, packing, pii, quality, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (language_id.op1_language_id, embedding_dedup.op2_embedding_dedup, license_scan.op3_license_scan, minhash_dedup.op4_minhash_dedup, packing.op5_packing, quality.op6_quality, pii.op8_pii, warc.op7_warc, byte_bpe.op9_byte_bpe, ogg_media.op10_ogg_media, merkle.op12_merkle, collocations.op13_collocations)
+    own = (language_id.op1_language_id, embedding_dedup.op2_embedding_dedup, license_scan.op3_license_scan, minhash_dedup.op4_minhash_dedup, packing.op5_packing, quality.op6_quality, pii.op8_pii, warc.op7_warc, byte_bpe.op9_byte_bpe, ogg_media.op10_ogg_media, toxicity.op11_toxicity, merkle.op12_merkle, collocations.op13_collocations)
     return {f.__name__: f for f in own}
 
 

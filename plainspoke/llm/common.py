@@ -86,22 +86,16 @@ def fresh(taken: list[str], *names: str) -> list[str]:
 def bounded_sample(df: DataFrame, rows: int, keys: list[str], *cols: Column) -> list[Row]:
     """``cols`` of at most ``rows`` rows of ``df``, those with the smallest hashes of ``keys``, the same at any partitioning.
 
-    A count sets a threshold on the hash first, so that about 1.5 ``rows`` rows
-    at most leave the tasks, however many tasks there are; ``cols`` bound each
-    row's size. Where fewer come through, because rows repeat, the threshold is
-    left out.
+    The hashes alone give the threshold, so that only the chosen rows leave the
+    tasks with their ``cols``, which bound each row's size or leave it whole. Rows
+    with equal keys go together as far as there is room.
     """
     hashed = F.xxhash64(*(F.col(k).cast("string") for k in keys), F.lit("sample"))
-
-    def least(some: DataFrame) -> list[Row]:
-        cut = some.select(hashed.alias("_0"), F.struct(*cols).alias("_1"))
-        return [r[0] for r in cut.orderBy("_0", "_1").limit(rows).select("_1").collect()]
-
-    if (n := df.count()) > 2 * rows:
-        got = least(df.where(hashed < int(-(2.0**63) + 2.0**64 * min(1.0, (1.3 * rows + 200) / n))))
-        if 2 * len(got) >= rows:
-            return got
-    return least(df)
+    last = df.select(hashed.alias("_0")).orderBy("_0").limit(rows).agg(F.max("_0")).first()[0]
+    if last is None:
+        return []
+    cut = df.where(hashed <= last).select(hashed.alias("_0"), F.struct(*cols).alias("_1"))
+    return [r[0] for r in cut.orderBy("_0", "_1").limit(rows).select("_1").collect()]
 
 
 def joined_hot(rows: DataFrame, named: DataFrame, keys: list[str], count: str) -> DataFrame:

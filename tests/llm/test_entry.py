@@ -13,7 +13,7 @@ COLUMNS = {
     "op1_language_id": "doc_id held_out lang_pred score", "op2_embedding_dedup": "vec_id n_links component_id kept", "op3_license_scan": "doc_id digest license notices", "op4_minhash_dedup": "doc_id n_shingles component_id kept",
     "op5_packing": "doc_id piece start length ids_crc32 sequence_id offset", "op6_quality": "doc_id votes p_good score good", "op7_warc": "page_id payload_bytes payload_digest record_type refers_to",
     "op8_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op9_byte_bpe": "doc_id n_tokens ids_sha256 decoded_sha256", "op10_ogg_media": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
-    "op12_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified", "op13_collocations": "lang rank phrase a l r n score",
+    "op11_toxicity": "doc_id held_out score predicted", "op12_merkle": "doc_id leaf subroot root proof_sha256 folded_root verified", "op13_collocations": "lang rank phrase a l r n score",
 }
 
 
