@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import struct
 from bisect import bisect_right
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate, count
 
@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .common import lean, sorted_runs, table, written
 
 #: Words that a task holds before it builds automata of them, n-grams of a prefix range, prefix ranges at most before hashes split them, states united at a time.
-TOKENS, RANGE, RANGES, STATES = 1 << 20, 1 << 20, 512, 3 << 20
+TOKENS, RANGE, RANGES, STATES = 2 << 20, 1 << 20, 512, 3 << 20
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 _BORDER = b"."
 _FOLD = bytes(32 if c == 9 else 46 if c in _MARKS else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -68,19 +68,24 @@ class Counts:
     def of(cls, stream: list[bytes], longest: int) -> Counts:
         """Of a stream of words and borders: every phrase of up to ``longest`` words that crosses no border."""
         ids: defaultdict[bytes, int] = defaultdict(count().__next__)
-        text = np.fromiter(map(ids.__getitem__, stream), np.int64, len(stream))
+        return cls.numbered(ids, np.fromiter(map(ids.__getitem__, stream), np.int32, len(stream)), longest)
+
+    @classmethod
+    def numbered(cls, ids: dict[bytes, int], stream: np.ndarray, longest: int) -> Counts:
+        """Of a stream of word numbers."""
         words = sorted(w for w in ids if w and w != _BORDER)
-        place = np.zeros(len(ids) + 1, np.int64)
+        place = np.zeros(len(ids) + 1, np.int32)
         place[[ids[w] for w in words]] = np.arange(1, len(words) + 1)
-        text = place[text[[w != b"" for w in stream]]] if b"" in ids else place[text]  # 0 at borders
-        levels, state, at = [], np.zeros(len(text), np.int64), np.arange(len(text))
+        text = place[stream[stream != ids[b""]]] if b"" in ids else place[stream]  # 0 at borders
+        levels, state, at, size = [], np.zeros(len(text), np.int64), np.arange(len(text)), max(1, len(words))
         for k in range(longest):
             ok = at + k < len(text)
             at, state = at[ok], state[ok]
             nxt = text[at + k]
-            at, state, nxt = at[nxt > 0], state[nxt > 0], nxt[nxt > 0] - 1
-            keys, state, n = np.unique(state * (len(words) or 1) + nxt, return_inverse=True, return_counts=True)
-            levels.append((keys // (len(words) or 1), keys % (len(words) or 1), n.astype(np.int64)))
+            ok = nxt > 0
+            at = at[ok]
+            keys, state, n = np.unique(state[ok] * size + nxt[ok] - 1, return_inverse=True, return_counts=True)
+            levels.append((keys // size, keys % size, n.astype(np.int64)))
         return cls(words, levels)
 
     @classmethod
@@ -101,19 +106,20 @@ class Counts:
         return cls(words, levels)
 
     def kept(self, marks: list[np.ndarray]) -> Counts:
-        """Only the states that ``marks`` (one array a level) name, and those on the way to them, whose weight becomes 0."""
-        use = [m.copy() for m in marks]
+        """Only the states whose numbers ``marks`` hold (ascending, one array a level), and those on the way to them, whose weight becomes 0."""
+        use = list(marks)
         for k in range(len(use) - 1, 0, -1):
-            use[k - 1][self.levels[k][0][use[k]]] = True
+            use[k - 1] = np.union1d(use[k - 1], self.levels[k][0][use[k]])
         named = np.unique(np.concatenate([w[u] for (_, w, _), u in zip(self.levels, use, strict=True)]))
-        levels, number = [], np.zeros(1, np.int64)
+        levels, above = [], np.zeros(1, np.int64)
         for (parent, word, weight), m, u in zip(self.levels, marks, use, strict=True):
-            levels.append((number[parent[u]], np.searchsorted(named, word[u]), np.where(m, weight, 0)[u]))
-            number = np.cumsum(u) - 1
-        return Counts([self.words[i] for i in named], levels)
+            own = weight[u] if len(u) == len(m) else np.where(np.isin(u, m, assume_unique=True), weight[u], 0)
+            levels.append((np.searchsorted(above, parent[u]), np.searchsorted(named, word[u]), own))
+            above = u
+        return Counts([self.words[i] for i in named.tolist()], levels)
 
     def frequent(self, least: int) -> Counts:
-        return self.kept([w >= least for _, _, w in self.levels])
+        return self.kept([np.flatnonzero(w >= least) for _, _, w in self.levels])
 
     def __len__(self) -> int:
         return sum(len(w) for _, w, _ in self.levels)
@@ -171,45 +177,55 @@ class Ranges:
             for parent, _, _ in own.levels[2:]:
                 homes.append(homes[-1][parent])
         order = [np.argsort(h, kind="stable") for h in homes]
-        for r in np.unique(np.concatenate(homes)).tolist():
-            marks = []
-            for h, o, (_, w, _) in zip(homes, order, own.levels, strict=True):
-                m = np.zeros(len(w), bool)
-                m[o[np.searchsorted(h, r, "left", sorter=o) : np.searchsorted(h, r, "right", sorter=o)]] = True
-                marks.append(m)
-            yield r, own.kept(marks)
-
-
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, list[bytes]]]:
-    """(language, words and borders) of a task's rows, about ``TOKENS`` of all languages together or one text."""
-    held: defaultdict[bytes, list[bytes]] = defaultdict(list)
+        dealt = [h[o] for h, o in zip(homes, order, strict=True)]
+        for r in np.unique(np.concatenate(dealt)).tolist():
+            yield r, own.kept([o[np.searchsorted(h, r, "left") : np.searchsorted(h, r, "right")] for h, o in zip(dealt, order, strict=True)])
+
+
+class _Stream:
+    """The words and borders of texts in one language as numbers."""
+
+    def __init__(self) -> None:
+        self.ids: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.parts: list[np.ndarray] = []
+
+    def add(self, raw: bytes) -> int:
+        words = tokens(raw)
+        words.append(_BORDER)
+        self.parts.append(np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
+        return len(words)
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, dict[bytes, int], np.ndarray]]:
+    """(language, numbers of the words, words and borders) of a task's rows, about ``TOKENS`` of all languages together or one text."""
+    held: defaultdict[bytes, _Stream] = defaultdict(_Stream)
     size = 0
+
+    def full() -> Iterator[tuple[bytes, dict[bytes, int], np.ndarray]]:
+        while held:
+            lang, own = held.popitem()
+            yield lang, own.ids, np.concatenate(own.parts)
+
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            if not text.is_valid:
-                continue
-            own = tokens(text.as_buffer().to_pybytes())
-            held[lang.as_py().encode()] += own
-            held[lang.as_py().encode()].append(_BORDER)
-            size += len(own)
-            if size >= TOKENS:
-                yield from held.items()
-                held.clear()
-                size = 0
-    yield from held.items()
+            if text.is_valid:
+                size += held[lang.as_py().encode()].add(text.as_buffer().to_pybytes())
+                if size >= TOKENS:
+                    yield from full()
+                    size = 0
+    yield from full()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n) of (lang, text): partial counts in the tasks, summed after one shuffle."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, stream in _streams(lean(batches)):
-            own = Counter(stream)
-            own.pop(b"", None), own.pop(_BORDER, None)
-            words = list(own)
+        for lang, ids, stream in _streams(lean(batches)):
+            own = np.bincount(stream, minlength=len(ids))
+            words = [w for w in ids if w and w != _BORDER]
             for at in range(0, len(words), 1 << 16):
                 some = words[at : at + (1 << 16)]
-                yield pa.record_batch([pa.array([lang.decode()] * len(some)), pa.array(some, pa.binary()).cast(pa.string()), pa.array([own[w] for w in some], pa.int64())], ["lang", "word", "n"])
+                yield pa.record_batch([pa.array([lang.decode()] * len(some)), pa.array(some, pa.binary()).cast(pa.string()), pa.array(own[[ids[w] for w in some]])], ["lang", "word", "n"])
 
     return docs.mapInArrow(part, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -244,8 +260,8 @@ def shards(docs: DataFrame, where: Ranges, longest: int) -> DataFrame:
     """(home, lang, blob): the tasks' automata, cut into ranges."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, stream in _streams(lean(batches)):
-            for home, part in where.cut(lang, Counts.of(stream, longest)):
+        for lang, ids, stream in _streams(lean(batches)):
+            for home, part in where.cut(lang, Counts.numbered(ids, stream, longest)):
                 yield pa.record_batch([pa.array([home], pa.int64()), pa.array([lang.decode()]), pa.array([part.dump()], pa.binary())], ["home", "lang", "blob"])
 
     return docs.mapInArrow(build, "home long, lang string, blob binary")
@@ -397,6 +413,7 @@ def collocations(docs: DataFrame, least: int = 10, longest: int = 3, share: int
     answers = answered(unions, asked(unions, where), share)
     graded = scored(unions, answers, top, scale)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # At most 64 times ``top`` rows a language are left for the last window.
     some = graded.withColumn("_some", F.col("home") % 64)  # first within every 64th range, then over what those leave
     first = some.withColumn("_k", F.row_number().over(Window.partitionBy("lang", "_some").orderBy(*order))).where(F.col("_k") <= top)
     best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
