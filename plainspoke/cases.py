@@ -7,17 +7,15 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .lexicon import PROSE, lexicon
-from .operators import audit, tables, texts, traffic
+from .operators import audit, history, tables, texts, traffic
 from .plans import logical as L
-from .registry import QUERIES, SQL, Query, also
+from .registry import QUERIES, SQL, Query
 from .registry import query as _query
 from .sources import html
 
 def queries() -> dict[str, Query]:
-    from . import cases_cleaning, cases_corporate, cases_decisions, cases_files, cases_lenses, cases_more, cases_profiles, cases_questions, cases_signals, cases_spans, cases_texts, cases_threads  # noqa: F401  they register their queries
+    from . import cases_cleaning, cases_corporate, cases_decisions, cases_files, cases_history, cases_lenses, cases_more, cases_profiles, cases_questions, cases_signals, cases_spans, cases_texts, cases_threads  # noqa: F401  they register their queries
 
-    also("d22_acronyms_in_all", "d22_undefined_acronyms")
-    also("a19_entity_pieces", "a19_entity_text")
     return dict(QUERIES)
 
 
@@ -379,7 +377,7 @@ def w1_latest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_cp(", h AS (SELECT id, entity, page, ts, md5(raw_text) AS checksum FROM cp), k AS (SELECT * FROM h WINDOW w AS (PARTITION BY entity, page ORDER BY ts, id) QUALIFY lag(checksum) OVER w IS DISTINCT FROM checksum OR lag(checksum) OVER w IS NULL) SELECT id, entity, page, checksum, lag(id) OVER w AS previous_id, lag(id) OVER w IS NOT NULL AS changed, lead(id) OVER w IS NULL AS is_current FROM k WINDOW w AS (PARTITION BY entity, page ORDER BY ts, id)").replace(") , h AS", "), h AS"))
 def v4_page_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.versions(L.company_pages(spark, sf_dir))
+    return history.versions(L.company_pages(spark, sf_dir))
 
 
 @_query(_cp(f"SELECT entity, count(*) AS pages, count(DISTINCT page) AS page_types, CAST(sum({_WORDS.format(t='raw_text')}) AS BIGINT) AS words, max(ts) AS last_seen, array_to_string(list_sort(list(DISTINCT page)), ',') AS types FROM cp GROUP BY entity"))
@@ -389,7 +387,7 @@ def a20_entity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_cp(", s AS (SELECT id, string_split(raw_text, chr(10)) AS n, lag(string_split(raw_text, chr(10))) OVER (PARTITION BY entity, page ORDER BY ts, id) AS t FROM cp) SELECT id, CAST(len(list_filter(list_distinct(n), lambda x: NOT list_contains(t, x))) AS INTEGER) AS added, CAST(len(list_filter(list_distinct(t), lambda x: NOT list_contains(n, x))) AS INTEGER) AS removed FROM s WHERE t IS NOT NULL").replace(") , s AS", "), s AS"))
 def u1_line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.line_changes(L.company_pages(spark, sf_dir))
+    return history.line_changes(L.company_pages(spark, sf_dir))
 
 
 @_query("SELECT coalesce(u.doc_id, t.doc_id) AS doc_id, coalesce(u.score, t.score) AS score, CASE WHEN u.score IS NULL OR u.score IS NOT DISTINCT FROM t.score THEN coalesce(t.changed, u.changed) ELSE u.changed END AS changed FROM (SELECT doc_id, quality AS score, 1 AS changed FROM labels) t FULL JOIN (SELECT doc_id, toxic AS score, 2 AS changed FROM labels WHERE quality = 0 OR toxic = 1) u ON t.doc_id = u.doc_id")

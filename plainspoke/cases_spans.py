@@ -9,7 +9,7 @@ from .cases import _INTEGRITY, _M, _any, _count, _cp, _docs, _lg, _list, _pv
 from .cases_more import _scored
 from .cases_signals import _A
 from .functions import text as T
-from .operators import reports, signals, spans, tables, texts, traffic
+from .operators import history, reports, signals, spans, tables, texts, traffic
 from .plans import logical as L
 from .registry import query
 
@@ -108,7 +108,7 @@ def p12_p13_junk_and_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_cp(", s AS (SELECT id, string_split(coalesce(raw_text, ''), chr(10)) AS n, lag(string_split(coalesce(raw_text, ''), chr(10))) OVER (PARTITION BY entity, page ORDER BY ts, id) AS o FROM cp), x AS (SELECT id, 'added' AS kind, unnest(list_filter(list_distinct(n), lambda x: NOT list_contains(o, x))) AS line, n AS l FROM s WHERE o IS NOT NULL UNION ALL SELECT id, 'removed', unnest(list_filter(list_distinct(o), lambda x: NOT list_contains(n, x))), o FROM s WHERE o IS NOT NULL) SELECT id, kind, CAST(len(l) - list_position(list_reverse(l), line) AS INTEGER) AS nth, line FROM x").replace(") , s AS", "), s AS"))
 def u1_v3_changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.changed_lines(L.company_pages(spark, sf_dir))
+    return history.changed_lines(L.company_pages(spark, sf_dir))
 
 
 @query("SELECT c_custkey AS id, c_name AS name, 'customer' AS kind FROM customer UNION ALL SELECT s_suppkey, s_name, 'supplier' FROM supplier")

@@ -14,13 +14,6 @@ def latest(df: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def versions(pages: DataFrame) -> DataFrame:
-    """Slowly changing pages: equal neighbours dropped, previous id, whether it changed, whether it is current."""
-    w = W.partitionBy("entity", "page").orderBy("ts", "id")
-    own = pages.select("id", "entity", "page", "ts", F.md5("raw_text").alias("checksum")).withColumn("_before", F.lag("checksum").over(w)).where(~F.col("_before").eqNullSafe(F.col("checksum")) | F.col("_before").isNull())
-    return own.select("id", "entity", "page", "checksum", F.lag("id").over(w).alias("previous_id"), F.lag("id").over(w).isNotNull().alias("changed"), F.lead("id").over(w).isNull().alias("is_current"))
-
-
 def entity_rollup(pages: DataFrame) -> DataFrame:
     return pages.groupBy("entity").agg(F.count("*").alias("pages"), F.count_distinct("page").alias("page_types"), F.sum(T.word_count(F.col("raw_text"))).cast("long").alias("words"), F.max("ts").alias("last_seen"), F.array_join(F.transform(F.array_sort(F.collect_set("page")), lambda x: x.cast("string")), ",").alias("types"))
 
@@ -42,13 +35,6 @@ def entity_pieces(pages: DataFrame, width: int = 1000) -> DataFrame:
     return met.select("entity", (F.col("_before") + F.col("_nth")).alias("place"), "page", "id", F.concat(F.coalesce(F.col("page").cast("string"), F.lit("")), F.lit("\n"), "raw_text").alias("text"), "pages", "total_chars")
 
 
-def line_changes(pages: DataFrame) -> DataFrame:
-    """(id, added, removed): lines of each version that the one before lacks, and the reverse, as sets."""
-    w = W.partitionBy("entity", "page").orderBy("ts", "id")
-    own = pages.select("id", F.split("raw_text", "\n").alias("now"), F.lag(F.split("raw_text", "\n")).over(w).alias("then")).where("then is not null")
-    return own.select("id", F.size(F.array_except("now", "then")).alias("added"), F.size(F.array_except("then", "now")).alias("removed"))
-
-
 def upsert_keep(target: DataFrame, updates: DataFrame, key: str, value: str, changed: str) -> DataFrame:
     """Upsert of (key, value, changed): ``changed`` moves only if the value does."""
     t, u = target.select(F.col(key).alias("_k"), F.col(value).alias("_v"), F.col(changed).alias("_c")), updates
@@ -152,16 +138,6 @@ def indexed(rows: DataFrame, batch: str, order: str) -> DataFrame:
     return rows.withColumn("index", F.row_number().over(W.partitionBy(batch).orderBy(order)) - 1)
 
 
-def changed_lines(pages: DataFrame) -> DataFrame:
-    """(id, kind, nth, line): lines of each version that the one before lacks (added) and the reverse (removed), each once, with the last place they have."""
-    w = W.partitionBy("entity", "page").orderBy("ts", "id")
-    lines = F.split(F.coalesce("raw_text", F.lit("")), "\n")
-    own = pages.select("id", lines.alias("now"), F.lag(lines).over(w).alias("then")).where("then is not null")
-    # The last place of each line, by its place in the reversed array.
-    side = lambda a, b, kind: F.transform(F.array_except(a, b), lambda x: F.struct(F.lit(kind).alias("kind"), (F.size(a) - F.array_position(F.reverse(F.col(a)), x)).cast("int").alias("nth"), x.alias("line")))
-    return own.select("id", F.inline(F.concat(side("now", "then", "added"), side("then", "now", "removed"))))
-
-
 def snapshots(pages: DataFrame, path: str) -> None:
     """Appends each page's text with its SHA-256 and words to a store of Parquet files by entity."""
     t = F.coalesce("raw_text", F.lit(""))

@@ -21,10 +21,3 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-def also(name: str, of: str) -> None:
-    """Registers a query under a second name."""
-    QUERIES[name] = QUERIES[of]
-    if of in SQL:
-        SQL[name] = SQL[of]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plainspoke.functions import text as T
 from plainspoke.lexicon import lexicon
-from plainspoke.operators import audit, reports, tables, traffic
+from plainspoke.operators import history, audit, reports, tables, traffic
 
 MARKERS = {
     "constraint": ["no later than", "at most", "signed", "must"], "hedge": ["maybe", "i suppose"], "reassure": ["have no fear"], "blend": ["more or less"], "capability": ["any shape you like"],
@@ -72,7 +72,7 @@ def test_rejected_charge(spark):
 
 def test_versions_have_one_current_row(spark):
     rows = [(1, "e", 0, 1, "a"), (2, "e", 0, 2, "a"), (3, "e", 0, 3, "b"), (4, "e", 1, 1, "c"), (5, "f", 0, 1, None)]
-    got = {r.id: (r.previous_id, r.is_current) for r in tables.versions(spark.createDataFrame(rows, "id long, entity string, page long, ts long, raw_text string")).collect()}
+    got = {r.id: (r.previous_id, r.is_current) for r in history.versions(spark.createDataFrame(rows, "id long, entity string, page long, ts long, raw_text string")).collect()}
     assert got == {1: (None, False), 3: (1, True), 4: (None, True), 5: (None, True)}
 
 
