@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .patterns import Patterns
 
 #: A signal is (name, pattern over lowered text, priority).
 Signals = list[tuple[str, str, int]]
@@ -18,21 +19,19 @@ _SPAN = "array<struct<start:int,end:int,signal:string,priority:int>>"
 BLOAT, UNCLEAR, ECHOES = 180, 2, 2
 
 
-def spans_of(text: str | None, rules: list[tuple[str, re.Pattern, int]]) -> list[dict]:
-    """Every non-empty match of every rule in a lowered text, in order of start, end and rule. Offsets are code points, end exclusive."""
-    low = (text or "").lower()
-    out = [(m.start(), m.end(), i) for i, (_, p, _) in enumerate(rules) for m in p.finditer(low) if m.end() > m.start()]
-    return [{"start": a, "end": b, "signal": rules[i][0], "priority": rules[i][2]} for a, b, i in sorted(out)]
+def spans_of(text: str | None, signals: Signals, own: Patterns) -> list[dict]:
+    """Every non-empty match of every signal in a lowered text, in order of start, end and signal. Offsets are code points, end exclusive."""
+    return [{"start": a, "end": b, "signal": signals[i][0], "priority": signals[i][2]} for a, b, i in sorted(own.spans((text or "").lower()))]
 
 
 def found(text: Column, signals: Signals) -> Column:
-    """Array of (start, end, signal, priority) of a text column."""
+    """Array of (start, end, signal, priority) of a text column: one pass tells which patterns run."""
 
     @F.pandas_udf(_SPAN)
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        rules = [(n, re.compile(p), k) for n, p, k in signals]
+        own = Patterns([p for _, p, _ in signals])
         for texts in batches:
-            yield pd.Series([spans_of(t if isinstance(t, str) else None, rules) for t in texts])
+            yield pd.Series([spans_of(t if isinstance(t, str) else None, signals, own) for t in texts])
 
     return look(text)
 
@@ -51,13 +50,13 @@ def register_udtf(spark: SparkSession, signals: Signals, name: str = "signal_spa
     """Makes ``SELECT * FROM signal_spans(text)`` known to SQL: an Arrow table function with the spans of one text."""
     from pyspark.sql.functions import udtf
 
-    rules = [(n, p, k) for n, p, k in signals]
-
     @udtf(returnType="start: int, end: int, signal: string, priority: int", useArrow=True)
     class Spans:
+        def __init__(self) -> None:
+            self.own = Patterns([p for _, p, _ in signals])
+
         def eval(self, text: str) -> Iterator[tuple]:
-            own = [(n, re.compile(p), k) for n, p, k in rules]
-            for s in spans_of(text, own):
+            for s in spans_of(text, signals, self.own):
                 yield s["start"], s["end"], s["signal"], s["priority"]
 
     spark.udtf.register(name, Spans)

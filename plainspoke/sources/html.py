@@ -1,4 +1,4 @@
-"""Blocks, links and texts out of HTML and XML columns, by built-in expressions."""
+"""Blocks, links and texts out of HTML and XML columns: pages by ``markup``, XML by Spark's parser."""
 
 from __future__ import annotations
 
@@ -8,36 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-_LINE, _BLOCK_END = "\u0001", r"(?i)</(?:p|div|li|h[1-6]|tr|blockquote|section)\s*>|<br\s*/?>"
-_DROPPED = r"(?is)<(script|style|nav|footer|header|noscript|form)\b[^>]*>.*?</\1\s*>"
+from .markup import parsed
 
 
 def html_blocks(pages: DataFrame, id: str = "page_id", html: str = "html", at_least: int = 60, most: int = 5000, junk: Callable[[Column], Column] | None = None) -> DataFrame:
     """(id, text): paragraphs, quotes and list items of enough characters that aren't junk, each beginning once, joined and cut."""
-    clean = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), _DROPPED, " ")
-    blocks = F.transform(F.regexp_extract_all(clean, F.lit(r"(?is)<(p|blockquote|li)\b[^>]*>(.*?)</\1\s*>"), F.lit(2)), T.plain_html)
-    long = F.filter(blocks, lambda b: (F.length(b) >= at_least) & ~junk(b) if junk else F.length(b) >= at_least)
+    read = pages.select(F.col(id), parsed(F.col(html)).alias("_p")).select(id, F.col("_p.blocks").alias("_b"))
+    long = F.filter("_b", lambda b: (F.length(b) >= at_least) & ~junk(b) if junk else F.length(b) >= at_least)
     heads = lambda own: F.transform(own, lambda b: F.lower(F.substring(b, 1, 80)))
     first = T.let(long, lambda own: T.let(heads(own), lambda h: F.filter(own, lambda b, i: F.array_position(h, F.get(h, i)) == i + 1)))
-    return pages.select(F.col(id), F.substring(F.array_join(first, "\n"), 1, most).alias("text"))
+    return read.select(id, F.substring(F.array_join(first, "\n"), 1, most).alias("text"))
 
 
 def article_text(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
     """(id, text) of the first article, else main, else nothing; a line for each block."""
-    h = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), _DROPPED, " ")
-    h = F.regexp_replace(h, _BLOCK_END, _LINE)
-    own = lambda tag: F.regexp_extract(h, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
-    got = pages.select(F.col(id), F.when(own("article") != "", own("article")).otherwise(own("main")).alias("_h"))
-    lines = F.filter(F.transform(F.split("_h", _LINE), T.plain_html), lambda x: x != "")
-    return got.select(id, F.array_join(lines, "\n").alias("text"))
+    return pages.select(F.col(id), parsed(F.col(html))["article"].alias("text"))
 
 
 def page_links(pages: DataFrame, id: str = "page_id", html: str = "html", url: str | None = None) -> DataFrame:
     """(id, href, label): links with a label of 2 to 100 characters that lead somewhere, each address once a page; with ``url``, only those that stay on the page's domain."""
-    found = F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(r'(?is)<a\b[^>]*?href="([^"]*)"[^>]*>.*?</a\s*>'), F.lit(0))
-    one = pages.select(F.col(id), F.lower(F.col(url) if url else F.lit("")).alias("_u"), F.explode(found).alias("a"))
-    got = one.select(id, "_u", F.regexp_extract("a", r'(?is)href="([^"]*)"', 1).alias("href"), T.plain_html(F.col("a")).alias("label"))
+    got = pages.select(F.col(id), F.lower(F.col(url) if url else F.lit("")).alias("_u"), parsed(F.col(html))["links"].alias("_l")).select(id, "_u", F.inline("_l"))
     if url:
         got = got.where(T.base_domain(F.lower("href")).isin("") | (T.base_domain(F.lower("href")) == T.base_domain(F.col("_u"))))
     return got.where(~F.col("href").startswith("#") & ~F.lower("href").startswith("javascript:") & F.length("label").between(2, 100)).groupBy(id, "href").agg(F.min("label").alias("label"))

@@ -13,39 +13,44 @@ from plainspoke.sources import files
 RULES = [("a", "one|two", 2), ("b", "two three", 3), ("c", "[a-z]+ee", 1), ("d", "three [a-z]+ one", 4)]
 
 
-def overlap(a, b):
-    return not (a[1] <= b[0] or b[1] <= a[0])
-
-
-def resolved(found):
-    kept = []
-    for s in sorted(found, key=lambda s: (s[0], -s[3], s[0] - s[1], s[2])):
-        hit = [k for k in kept if overlap(s, k)]
-        if not hit or s[3] > max(k[3] for k in hit):
-            kept = [k for k in kept if k not in hit] + [s]
-    return sorted(kept)
-
-
-def merged(found):
-    kept = []
-    for s in sorted(found):
-        at = next((i for i, k in enumerate(kept) if overlap(s, k)), None)
-        if at is None:
-            kept.append(s)
-        elif (s[3], s[1] - s[0]) > (kept[at][3], kept[at][1] - kept[at][0]):
-            kept[at] = s
-    return kept
-
-
-def test_spans_and_resolution(spark):
+def span(text):
+    """Spans written as "start-end name priority", comma-joined."""
+    parts = [x.split() for x in text.split(", ") if x]
+    return [(*map(int, a.split("-")), n, int(k)) for a, n, k in parts]
+
+
+#: (found, resolved, merged), worked out by hand.
+BY_HAND = [
+    ("", "", ""),
+    ("0-3 a 1, 5-8 b 1", "0-3 a 1, 5-8 b 1", "0-3 a 1, 5-8 b 1"),
+    ("0-3 a 1, 3-6 b 9", "0-3 a 1, 3-6 b 9", "0-3 a 1, 3-6 b 9"),
+    ("0-4 a 2, 2-6 b 2", "0-4 a 2", "0-4 a 2"),
+    ("0-4 a 2, 2-6 b 3", "2-6 b 3", "2-6 b 3"),
+    ("0-4 a 2, 2-8 b 2", "0-4 a 2", "2-8 b 2"),
+    ("0-4 a 1, 0-4 b 1, 0-6 c 1", "0-6 c 1", "0-6 c 1"),
+    ("0-9 a 1, 1-2 b 2, 4-5 c 2", "1-2 b 2, 4-5 c 2", "1-2 b 2, 4-5 c 2"),
+    ("0-3 a 1, 4-7 b 3, 2-5 c 2", "4-7 b 3", "4-7 b 3"),
+    ("0-3 a 3, 2-6 b 1, 5-9 c 1", "0-3 a 3, 5-9 c 1", "0-3 a 3, 5-9 c 1"),
+]
+
+
+def test_resolution_by_hand(spark):
+    df = spark.createDataFrame([(i, [tuple(s) for s in span(f)]) for i, (f, _, _) in enumerate(BY_HAND)], "i int, s array<struct<start:int,end:int,signal:string,priority:int>>")
+    got = df.select("i", spans.resolved(F.col("s")).alias("r"), spans.merged(F.col("s")).alias("m")).orderBy("i").collect()
+    for r, (f, resolved, merged) in zip(got, BY_HAND, strict=True):
+        assert (f, sorted(map(tuple, r.r))) == (f, sorted(span(resolved))) and (f, sorted(map(tuple, r.m))) == (f, sorted(span(merged)))
+
+
+def test_spans_and_what_resolution_promises(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["one", "two", "three", "tree", "four"]) for _ in range(rng.randint(0, 30)))) for i in range(60)] + [(60, None), (61, "ONE éone")]
     df = spark.createDataFrame(rows, "doc_id int, text string").select("doc_id", "text", spans.found(F.col("text"), RULES).alias("s"))
-    got = df.select("doc_id", "text", "s", spans.resolved(F.col("s")).alias("r"), spans.merged(F.col("s")).alias("m")).collect()
-    for r in got:
-        want = sorted((m.start(), m.end(), n, k) for n, p, k in RULES for m in re.finditer(p, (r.text or "").lower()))
-        assert sorted(map(tuple, r.s)) == want and list(map(tuple, r.r)) == resolved(want)
-        assert list(map(tuple, r.m)) == merged(want)
+    for r in df.select("text", "s", spans.resolved(F.col("s")).alias("r"), spans.merged(F.col("s")).alias("m")).collect():
+        every = {(m.start(), m.end(), n, k) for n, p, k in RULES for m in re.finditer(p, (r.text or "").lower())}
+        assert {tuple(s) for s in r.s} == every and len(r.s) == len(every)
+        kept = [tuple(s) for s in r.r]
+        assert set(kept) <= every and kept == sorted(kept) and all(a[1] <= b[0] for a, b in zip(kept, kept[1:], strict=False))
+        assert {tuple(s) for s in r.m} <= every and bool(r.m) == bool(every) == bool(kept)
 
 
 def test_lexicon_in_sql(spark):
