@@ -130,6 +130,29 @@ def appended(rows: DataFrame, column: str, item: Column) -> DataFrame:
     return rows.withColumn(column, F.to_json(F.array_append(F.coalesce(F.from_json(column, "array<string>"), F.array().cast("array<string>")), item)))
 
 
+def settings_with(json: Column, key: str, value: Column) -> Column:
+    """A JSON object of texts with one key set, the others as they were; null and broken objects are empty. Keys are in order."""
+    kept = F.map_filter(F.coalesce(F.from_json(json, "map<string,string>"), F.create_map().cast("map<string,string>")), lambda k, _: k != key)
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(kept, F.create_map(F.lit(key), value.cast("string")))))))
+
+
+def setting(json: Column, key: str) -> Column:
+    """The text of one key of a JSON object; null without it."""
+    return F.try_element_at(F.from_json(json, "map<string,string>"), F.lit(key))
+
+
+def exchange_rates(texts: DataFrame, negations: list[str], meta: list[str], metaphors: list[str], id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, sentences, question, negation, meta, metaphor): questions in a thousand sentences, and words of each list in a thousand tokens, rounded down; phrases of the metaphors are counted where they occur."""
+    t = F.lower(F.coalesce(F.col(text), F.lit("")))
+    base = texts.select(F.col(id), t.alias("t"), T.tokens(t).alias("k"), T.sentences(t).alias("s"))
+    rate = lambda n, of: F.floor(n * 1000 / F.greatest(F.size(of), F.lit(1))).cast("long")
+    among = lambda words: F.size(F.filter("k", lambda x: x.isin(words)))
+    return base.select(
+        id, F.size("s").alias("sentences"), rate(F.size(F.filter("s", lambda x: x.endswith("?"))), "s").alias("question"), rate(among(negations), "k").alias("negation"), rate(among(meta), "k").alias("meta"),
+        rate(sum((T.occurrences(F.col("t"), m) for m in metaphors), F.lit(0)), "k").alias("metaphor"),
+    )
+
+
 def without_transitions(texts: DataFrame, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text_out, changed): what the pattern of transitions matches taken out of a text with single spaces."""
     t = T.squeezed(F.coalesce(F.col(text), F.lit("")))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 from .folds import folded
 
 
@@ -136,6 +138,28 @@ def rollout(users: DataFrame, flag: str, percent: int, bucket: Column) -> DataFr
     return users.select("user_id", bucket.alias("bucket")).withColumn("enabled", F.col("bucket") < percent).withColumn("flag", F.lit(flag))
 
 
+def rollouts(users: DataFrame, flags: DataFrame) -> DataFrame:
+    """(flag, user_id, enabled, why) of every flag (flag, on, percent, users, orgs: JSON arrays of texts) for every user (user_id, org_id): off; a listed user; a listed organisation; all; the bucket. Lists come first.
+
+    Each flag meets each user, as that is what is asked; flags are a bounded table of settings.
+    """
+    listed = flags.select("flag", "on", "percent", F.from_json("users", "array<string>").alias("_u"), F.from_json("orgs", "array<string>").alias("_o"))
+    met = users.join(listed, F.lit(True))
+    inside = lambda c, x: F.coalesce(F.array_contains(c, F.col(x).cast("string")), F.lit(False))
+    bucket = T.rollout_bucket(F.col("flag"), F.col("user_id").cast("string"))
+    why = F.when(~F.col("on"), "off").when(inside("_u", "user_id"), "user").when(inside("_o", "org_id"), "organisation").when(F.col("percent") >= 100, "all").when(bucket < F.col("percent"), "bucket").otherwise("none")
+    return met.select("flag", "user_id", ~why.isin("off", "none"), why.alias("why")).toDF("flag", "user_id", "enabled", "why")
+
+
+def budgets(views: DataFrame, targets: DataFrame) -> DataFrame:
+    """(path, day, good, total, per_mille, met, left) against targets (path, most latency, target in per mille): good requests of each day, whether they are enough, and what is left of the bad ones that the target allows, in per mille; null where it allows none. Paths without a target are left out."""
+    t = targets.select(F.col("path").alias("_p"), "most", "target")
+    own = views.join(t, F.col("path") == F.col("_p")).groupBy("path", F.to_date("ts").alias("day"), "target").agg(F.count_if(F.col("latency") <= F.col("most")).alias("good"), F.count("*").alias("total"))
+    allowed = F.col("total") * (1000 - F.col("target"))  # thousandths of a request
+    left = F.when(allowed > 0, F.floor((allowed - (F.col("total") - F.col("good")) * 1000) * 1000 / allowed).cast("long"))
+    return own.select("path", "day", "good", "total", F.floor(F.col("good") * 1000 / F.col("total")).cast("long").alias("per_mille"), (F.col("good") * 1000 >= F.col("total") * F.col("target")).alias("met"), left.alias("left"))
+
+
 def covering(events: DataFrame, schedule: DataFrame) -> DataFrame:
     """The schedule row that covers each event's time, the lowest order first; no row without cover. The schedule is laid out by day, so the join is on equal days and each event looks through that day's rows in order."""
     own = F.struct("escalation", "person", "start_time", "end_time")
