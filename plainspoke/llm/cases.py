@@ -79,10 +79,11 @@ w AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM pieces),
 g AS (SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) t(k)),
 f AS (SELECT lang, k, phrase, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY ALL), n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT *, string_split(phrase, ' ') AS p FROM f WHERE k > 1 AND a >= 10),
-cuts AS (SELECT c.lang, c.phrase, c.a, j.j, x.a AS l, y.a AS r, 1000000 * c.a * c.a // (x.a * y.a) AS score FROM c JOIN (VALUES (1), (2)) j(j) ON j.j < c.k JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.p[1:j.j], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.p[j.j + 1:], ' ')),
+halves AS (SELECT lang, phrase, a, j, array_to_string(p[1:j], ' ') AS x, array_to_string(p[j + 1:], ' ') AS y FROM c JOIN (VALUES (1), (2)) j(j) ON j < k),
+cuts AS (SELECT h.lang, h.phrase, h.a, j, x.a AS l, y.a AS r, 1000000 * h.a * h.a // (x.a * y.a) AS score FROM halves h JOIN f x ON x.lang = h.lang AND x.phrase = h.x JOIN f y ON y.lang = h.lang AND y.phrase = h.y),
 lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
-parts AS (SELECT lang, a, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS phrase FROM c WHERE k = 3),
-stay AS (SELECT * FROM lowest WHERE NOT EXISTS (SELECT 1 FROM parts WHERE parts.lang = lowest.lang AND parts.phrase = lowest.phrase AND 100 * parts.a >= 50 * lowest.a)),
+parts AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, a, unnest([array_to_string(p[1:2], ' '), array_to_string(p[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY lang, phrase),
+stay AS (SELECT lowest.* FROM lowest LEFT JOIN parts USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a),
 o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM stay)
 SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, n, CAST(score AS BIGINT) AS score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
 
