@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, lean, table
 
-#: Rows that training may see at most, windows cut from each, and bytes of each.
-SAMPLE_ROWS, WINDOWS_PER_ROW, TRAIN_BYTES = 3000, 3, 72
+#: Rows that training may see at most, whole texts, and bytes of a window that it draws from them.
+SAMPLE_ROWS, TRAIN_BYTES = 3000, 72
 WINDOW, MARGIN = 192, 8
 HIDDEN, STEPS, BATCH = 8, 300, 160
 UND = "und"
@@ -194,24 +194,31 @@ class ByteGru:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", rows: int = SAMPLE_ROWS) -> ByteGru | None:
     """A network fitted on at most ``rows`` labelled rows, chosen by a hash of ``order`` and text; None without labelled text.
 
-    Only ``WINDOWS_PER_ROW`` windows of each chosen text come to the driver:
-    the sample is bounded in rows and in bytes.
+    The chosen texts come to the driver whole, so the sample is bounded in rows alone.
+    Training draws its windows from all places of all of them.
     """
-    size = F.length(text)
-    cuts = [F.substring(F.col(text), F.lit(1) + F.floor(size * k / WINDOWS_PER_ROW).cast("int"), F.lit(TRAIN_BYTES)) for k in range(WINDOWS_PER_ROW)]
-    known = docs.where(F.col(lang).isNotNull() & (size > 0))
-    got = bounded_sample(known, rows, [order, text], F.array(*cuts).alias("cuts"), F.col(lang).alias("lang"))
-    pairs = [(cut.encode()[:TRAIN_BYTES], r.lang) for r in got for cut in r.cuts if cut and len(cut.encode()) >= 24]
+    known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
+    got = bounded_sample(known, rows, [order, text], F.col(text).alias("t"), F.col(lang).alias("lang"))
+    pairs = [(raw, r.lang) for r in got if len(raw := r.t.encode("utf-8", "replace")) >= 24]
     if not pairs:
         return None
     languages = sorted({b for _, b in pairs})
     net = ByteGru(languages)
     if len(languages) > 1:
-        x = np.frombuffer(b"".join(a.ljust(TRAIN_BYTES, b" ") for a, _ in pairs), np.uint8).reshape(len(pairs), TRAIN_BYTES)
-        net.fit(x, np.array([languages.index(b) for _, b in pairs]))
+        net.fit(*windows([raw for raw, _ in pairs], np.array([languages.index(b) for _, b in pairs]), STEPS * BATCH))
     return net
 
 
+def windows(raws: list[bytes], y: np.ndarray, most: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """``most`` windows of ``TRAIN_BYTES`` (n, L) and their languages: texts in turn, each time at a random place of the whole text."""
+    rng = np.random.default_rng(seed)
+    of = np.arange(most) % len(raws)
+    spare = np.array([max(0, len(r) - TRAIN_BYTES) for r in raws])[of]
+    at = (rng.random(most) * (spare + 1)).astype(np.int64)
+    joined = b"".join(raws[i][a : a + TRAIN_BYTES].ljust(TRAIN_BYTES, b" ") for i, a in zip(of.tolist(), at.tolist(), strict=True))
+    return np.frombuffer(joined, np.uint8).reshape(most, TRAIN_BYTES), y[of]
+
+
 def predict(net: ByteGru | None, text: Column) -> Column:
     """Struct (lang_pred, score) of a text column."""
 

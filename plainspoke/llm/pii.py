@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, lean, table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rows that training may see at most, and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
+#: Rows that training may see at most, whole texts.
+SAMPLE_ROWS = 2000
 SURE, ROUNDS, DAMPING = 0.95, 8, 0.5
 #: A text's messages are settled when none changes by so much in a round, looked at every ``ROUNDS`` rounds.
 SETTLED = 1e-4
@@ -164,6 +164,7 @@ class SkipChain:
 
     def __init__(self) -> None:
         self.w, self.t, self.s = np.zeros((len(_FEATURES), _K)), np.zeros((_K, _K)), 0.0
+        self.loose = np.zeros(0, bool)
 
     def fit(self, graphs: list[tuple[Nodes, np.ndarray]], steps: int = 300, rate: float = 0.1, ridge: float = 1e-3) -> None:
         """Maximum pseudo-likelihood: each node's label given its neighbours' labels."""
@@ -190,7 +191,7 @@ class SkipChain:
             self.w, self.t, self.s = new[0], new[1], float(max(0.0, new[2]))
 
     def marginals(self, graphs: list[Nodes]) -> np.ndarray:
-        """Label marginals of all nodes by damped sum-product on the whole graph."""
+        """Label marginals of all nodes by damped sum-product on the whole graph. ``loose`` says which graphs had not settled at the end."""
         unary = np.concatenate([g.x for g in graphs]) @ self.w
         chain, skip = _links(graphs)
         src = np.concatenate([chain[:, 0], chain[:, 1], skip[:, 0], skip[:, 1]])
@@ -203,6 +204,7 @@ class SkipChain:
         # Evidence takes a round a link, damped two; past that only a graph that swings without end is left.
         most = 100 + 4 * sizes
         msg, belief, rounds = np.zeros((n, _K)), unary.copy(), 0
+        self.loose = np.zeros(len(graphs), bool)
         while len(src):
             for _ in range(ROUNDS):
                 total = unary.copy()
@@ -219,6 +221,7 @@ class SkipChain:
             change = np.zeros(len(graphs))
             np.maximum.at(change, owner[dst], np.abs(msg - old).max(1))
             going = (change >= SETTLED) & (rounds < most)
+            self.loose |= (change >= SETTLED) & ~going
             node, edge = going[owner], going[owner[dst]]
             places, links = np.cumsum(node) - 1, np.cumsum(edge) - 1
             src, dst, back = places[src[edge]], places[dst[edge]], links[back[edge]]
@@ -254,14 +257,16 @@ def _touches(taken: tuple[list[int], list[int]], a: int, b: int) -> bool:
     return i > 0 and taken[1][i - 1] > a
 
 
-def spans_of(texts: list[str | None], field: SkipChain | None) -> list[tuple[list[Span], list[Span]]]:
-    """(base spans, all spans) of each text."""
+def spans_of(texts: list[str | None], field: SkipChain | None, loose: set[int] | None = None) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each text. ``loose`` is given the texts whose messages had not settled."""
     base = [base_spans(t) for t in texts]
     out = [(b, b) for b in base]
     graphs = [(i, g) for i, t in enumerate(texts) if field and t and (g := Nodes(t)).spans]
     if not graphs:
         return out
     prob, at = field.marginals([g for _, g in graphs]), 0
+    if loose is not None:
+        loose.update(i for (i, _), x in zip(graphs, field.loose, strict=True) if x)
     for i, g in graphs:
         own, at = prob[at : at + len(g.spans)], at + len(g.spans)
         near, taken = dict(g.chain), _merged(base[i])
@@ -286,11 +291,9 @@ def joined(spans: list[Span]) -> str:
 
 
 def train(docs: DataFrame, text: str = "text", order: str = "doc_id", rows: int = SAMPLE_ROWS) -> SkipChain | None:
-    """A field fitted on at most ``rows`` documents that hold a digit or an ``@``; None if there are none. Of longer texts than ``SAMPLE_CHARS``, a stretch around the first of these that is not at the very start."""
+    """A field fitted on at most ``rows`` documents that hold a digit or an ``@``; None if there are none. Their texts are read whole."""
     some = docs.where(F.col(text).rlike("[0-9@]"))
-    before = F.greatest(F.lit(0), F.regexp_instr(F.col(text), F.lit("[0-9@]")) - SAMPLE_CHARS // 2)
-    stretch = F.when(F.length(text) <= SAMPLE_CHARS, F.col(text)).otherwise(F.substring(F.col(text), before + 1, F.lit(SAMPLE_CHARS)))
-    got = bounded_sample(some, rows, [order, text], stretch.alias("t"))
+    got = bounded_sample(some, rows, [order, text], F.col(text).alias("t"))
     graphs = [(g, g.labels(base_spans(r.t))) for r in got if (g := Nodes(r.t)).spans]
     if not graphs:
         return None
@@ -300,15 +303,16 @@ def train(docs: DataFrame, text: str = "text", order: str = "doc_id", rows: int
 
 
 def found(field: SkipChain | None, text: Column) -> Column:
-    """Struct (base, spans) of a text column: arrays of (kind, start, end), end exclusive, in code points."""
+    """Struct (base, spans, settled) of a text column: arrays of (kind, start, end), end exclusive, in code points, and whether the field's messages settled."""
     one = "array<struct<kind:string,start:int,end:int>>"
 
-    @F.pandas_udf(f"base {one}, spans {one}")
+    @F.pandas_udf(f"base {one}, spans {one}, settled boolean")
     def look(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in lean(batches):
-            own = spans_of([t if isinstance(t, str) else None for t in texts], field)
-            rows = [[[{"kind": KINDS[k], "start": a, "end": b} for a, b, k in part] for part in pair] for pair in own]
-            yield pd.DataFrame(rows, columns=["base", "spans"])
+            loose: set[int] = set()
+            own = spans_of([t if isinstance(t, str) else None for t in texts], field, loose)
+            rows = [[*([{"kind": KINDS[k], "start": a, "end": b} for a, b, k in part] for part in pair), i not in loose] for i, pair in enumerate(own)]
+            yield pd.DataFrame(rows, columns=["base", "spans", "settled"])
 
     return look(text)
 
@@ -346,6 +350,6 @@ def _is(kind: str) -> Callable[[Column], Column]:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    got = docs.select("doc_id", found(train(docs), F.col("text")).alias("_f")).select("doc_id", F.col("_f.base").alias("b"), F.col("_f.spans").alias("s"))
+    got = docs.select("doc_id", found(train(docs), F.col("text")).alias("_f")).select("doc_id", F.col("_f.base").alias("b"), F.col("_f.spans").alias("s"), "_f.settled")
     counts = [F.size(F.filter("b", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return got.select("doc_id", *counts, F.sha2(digest(F.col("b")), 256).alias("base_sha256"), digest(F.col("s")).alias("spans"), F.size("s").cast("long").alias("n_spans"))
+    return got.select("doc_id", *counts, F.sha2(digest(F.col("b")), 256).alias("base_sha256"), digest(F.col("s")).alias("spans"), F.size("s").cast("long").alias("n_spans"), "settled")

@@ -6,11 +6,11 @@ and how often each is right is not known: expectation-maximisation estimates it
 corpus, of which there are at most 3 to the number of labellers, so the counts
 are all that leaves the cluster. The posterior of a text's pattern then is the
 soft label of a linear scorer over hashed words and word shapes, fitted on a
-bounded sample, which scores every whole text.
+bounded sample of whole texts, which scores every whole text.
 
 Defined results: null and empty texts are voted on like texts of no words and
-score 0. Of very long texts the whole is measured and scored; the scorer's fit sees
-a stretch of them. Repeated rows count and vote as often as they occur and get equal
+score 0. Very long texts, and very long words, are measured, scored and learned
+from whole. Repeated rows count and vote as often as they occur and get equal
 results. A text exactly on the border (one half) is good. With an empty table there
 is nothing to fit and nothing to return. No column but the text and the id is read.
 """
@@ -18,6 +18,7 @@ is nothing to fit and nothing to return. No column but the text and the id is re
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from operator import eq
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import Cache, bounded_sample, lean, resident, table
 
 GOOD, BAD, NONE = 0, 1, 2
-#: Rows that the scorer is fitted on at most, characters of a text that it sees there at most, and the scorer's size.
-SAMPLE_ROWS, SAMPLE_CHARS, DIMS = 2500, 20_000, 1 << 15
+#: Rows that the scorer is fitted on at most, whole texts, and the scorer's size.
+SAMPLE_ROWS, DIMS = 2500, 1 << 15
 _PLAIN = {ord(c): None for c in ".,;:?\"'()-+@/"}
 _SYMBOLS = [bytes([c]) for c in b"|#{}<>=_~*\\^$%&"]
 
@@ -124,12 +125,35 @@ _SHAPE = [(re.compile(p), r) for p, r in ((r"[A-ZÀ-ÖØ-Þ]{2,}", "AA"), (r"[A-
 
 def buckets(word: str, dims: int = DIMS) -> tuple[int, int]:
     """Two hashed features of a word: its shape and itself."""
-    shape = word[:64]
+    shape = word
     for p, r in _SHAPE:
         shape = p.sub(r, shape)
     return xxhash.xxh3_64_intdigest("s" + shape) % dims, xxhash.xxh3_64_intdigest("w" + word) % dims
 
 
+def hashed(text: str, known: Cache) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features, their share of the words, share of words that repeat the one before) of a whole text."""
+    words = text.split()
+    got = Counter(words)
+    ids = np.array([known[w] for w in got], np.int32).reshape(-1, 2)
+    own, place = np.unique(ids.ravel(), return_inverse=True)
+    n = np.bincount(place, weights=np.repeat(np.fromiter(got.values(), float, len(got)), 2), minlength=len(own))
+    return own.astype(np.int32), (n / max(1, len(words))).astype(np.float32), sum(map(eq, words, words[1:])) / max(1, len(words))
+
+
+def samples(text: Column) -> Column:
+    """Struct (f, v, again) of a text column: what the scorer learns of a text, packed where the text is."""
+
+    @F.pandas_udf("f binary, v binary, again double")
+    def pack(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Cache(buckets)
+        for texts in lean(batches, keep=True):
+            own = [hashed(t, known) if isinstance(t, str) else (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0) for t in texts]
+            yield pd.DataFrame([(f.astype("<i4").tobytes(), v.astype("<f4").tobytes(), again) for f, v, again in own], columns=["f", "v", "again"])
+
+    return pack(text)
+
+
 class Scorer:
     """score = sigmoid(bias + mean weight of a text's words + a weight for the share of words that repeat the one before)."""
 
@@ -137,27 +161,21 @@ class Scorer:
         self.w, self.bias, self.again, self.dims = np.zeros(dims, np.float32), 0.0, 0.0, dims
         self.seen = Cache(self.weight)
 
-    def fit(self, texts: list[str], good: np.ndarray, steps: int = 150, rate: float = 0.3, ridge: float = 1e-5) -> None:
-        lists = [t.split() for t in texts]
-        feats, rows, vals = [], [], []
-        memo: dict[str, tuple[int, int]] = {}
-        for i, words in enumerate(lists):
-            for w in words:
-                if w not in memo:
-                    memo[w] = buckets(w, self.dims)
-            own, n = np.unique(np.array([memo[w] for w in words], np.int32).ravel(), return_counts=True)
-            feats.append(own)
-            rows.append(np.full(len(own), i, np.int32))
-            vals.append((n / max(1, len(words))).astype(np.float32))
+    def fit(self, texts: list[tuple[np.ndarray, np.ndarray, float]], good: np.ndarray, steps: int = 150, rate: float = 0.3, ridge: float = 1e-5) -> None:
+        """texts: features, shares of the words and repeats of each, as ``hashed`` gives them."""
+        if not texts:
+            return
+        feats, vals = [f for f, _, _ in texts], [v for _, v, _ in texts]
+        rows = [np.full(len(f), i, np.int32) for i, f in enumerate(feats)]
         f, r, v = (np.concatenate(x) for x in (feats, rows, vals))
         if not len(f):
             return
-        rep = np.array([sum(map(eq, w, w[1:])) / max(1, len(w)) for w in lists])
+        rep = np.array([x for _, _, x in texts])
         weight = np.where(good > 0.5, 0.5 / max(1e-9, (good > 0.5).mean()), 0.5 / max(1e-9, (good <= 0.5).mean()))
         w, m, s = np.zeros(self.dims + 2), np.zeros(self.dims + 2), np.zeros(self.dims + 2)
         for i in range(1, steps + 1):
-            z = np.bincount(r, weights=w[f] * v, minlength=len(lists)) + w[-2] + w[-1] * rep
-            d = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - good) * weight / len(lists)
+            z = np.bincount(r, weights=w[f] * v, minlength=len(texts)) + w[-2] + w[-1] * rep
+            d = (1 / (1 + np.exp(-np.clip(z, -60, 60))) - good) * weight / len(texts)
             g = np.concatenate([np.bincount(f, weights=d[r] * v, minlength=self.dims), [d.sum(), (d * rep).sum()]]) + ridge * w
             m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
             w = w - rate * (m / (1 - 0.9**i)) / (np.sqrt(s / (1 - 0.99**i)) + 1e-8)
@@ -179,12 +197,9 @@ def fitted(docs: DataFrame, text: str = "text", order: str = "doc_id", rows: int
     """The weak-label model of all of ``docs`` and the scorer fitted on at most ``rows`` of them."""
     counts = {r["p"]: r["n"] for r in docs.select(patterns(F.col(text)).alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}  # at most 3 ** labellers
     labels, scorer = WeakLabels(counts), Scorer()
-    # Of a longer text, a stretch at a place that its hash gives; its votes are those of the whole text.
-    start = F.floor(F.pmod(F.xxhash64(text), F.lit(1000)) * (F.length(text) - SAMPLE_CHARS) / 1000).cast("int")
-    stretch = F.when(F.length(text) <= SAMPLE_CHARS, F.col(text)).otherwise(F.substring(F.col(text), start + 1, F.lit(SAMPLE_CHARS)))
-    some = bounded_sample(docs.where(F.length(text) > 0), rows, [order, text], stretch.alias("t"), patterns(F.col(text)).alias("votes"))
+    some = bounded_sample(docs.where(F.length(text) > 0), rows, [order, text], samples(F.col(text)).alias("s"), patterns(F.col(text)).alias("votes"))
     if some:
-        scorer.fit([r.t for r in some], labels.posterior(np.array([r.votes for r in some])))
+        scorer.fit([(np.frombuffer(r.s.f, "<i4"), np.frombuffer(r.s.v, "<f4"), r.s.again) for r in some], labels.posterior(np.array([r.votes for r in some])))
     return labels, scorer
 
 
