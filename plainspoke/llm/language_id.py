@@ -199,7 +199,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str =
     """
     known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0))
     got = bounded_sample(known, rows, [order, text], F.col(text).alias("t"), F.col(lang).alias("lang"))
-    pairs = [(raw, r.lang) for r in got if len(raw := r.t.encode("utf-8", "replace")) >= 24]
+    pairs = [(r.t.encode("utf-8", "replace"), r.lang) for r in got]
     if not pairs:
         return None
     languages = sorted({b for _, b in pairs})
@@ -210,12 +210,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str =
 
 
 def windows(raws: list[bytes], y: np.ndarray, most: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """``most`` windows of ``TRAIN_BYTES`` (n, L) and their languages: texts in turn, each time at a random place of the whole text."""
+    """``most`` windows of ``TRAIN_BYTES`` (n, L) and their languages: texts in turn, each time at a random place of the whole text, three in ten at its start; three in ten are shorter, as short texts are."""
     rng = np.random.default_rng(seed)
     of = np.arange(most) % len(raws)
-    spare = np.array([max(0, len(r) - TRAIN_BYTES) for r in raws])[of]
-    at = (rng.random(most) * (spare + 1)).astype(np.int64)
-    joined = b"".join(raws[i][a : a + TRAIN_BYTES].ljust(TRAIN_BYTES, b" ") for i, a in zip(of.tolist(), at.tolist(), strict=True))
+    size = np.where(rng.random(most) < 0.3, 8 + (rng.random(most) * (TRAIN_BYTES - 8)).astype(np.int64), TRAIN_BYTES)
+    spare = np.maximum(0, np.array([len(r) for r in raws])[of] - size)
+    at = np.where(rng.random(most) < 0.3, 0, rng.random(most) * (spare + 1)).astype(np.int64)
+    joined = b"".join(raws[i][a : a + n].ljust(TRAIN_BYTES, b" ") for i, a, n in zip(of.tolist(), at.tolist(), size.tolist(), strict=True))
     return np.frombuffer(joined, np.uint8).reshape(most, TRAIN_BYTES), y[of]
 
 

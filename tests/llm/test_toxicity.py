@@ -63,7 +63,8 @@ def test_swaps():
     pairs = list(tx.counterfactuals("the women came. nobody else. old men and women stayed", ["men", "women", "sailors"], 2))
     assert all(len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) <= 1 for a, b in pairs)
     assert {" ".join(a) for a, _ in pairs} == {"the women came", "old men and women stayed"} and len(pairs) == 6
-    assert [len(b) - len(a) for a, b in tx.counterfactuals("no one here", ["men"], 2)] == [0, 1]
+    ((a, b),) = tx.counterfactuals("no one here", ["men", "women"], 2)
+    assert len(a) == len(b) == 4 and {"no", "one", "here"} <= set(a) & set(b)
     assert list(tx.counterfactuals("", ["men"])) == [] == list(tx.counterfactuals("a b", []))
 
 

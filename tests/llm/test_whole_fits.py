@@ -23,7 +23,7 @@ def test_quality_learns_and_scores_the_end(spark):
 def test_language_draws_windows_from_the_end():
     raw = b"a" * 200_000 + b"z" * 200_000
     x, y = language_id.windows([raw, b"short text of its own, padded"], np.array([0, 1]), 4000)
-    assert set(y.tolist()) == {0, 1} and 0.4 < (x[y == 0] == ord("z")).mean() < 0.6 and bytes(x[1]).startswith(b"short text")
+    assert set(y.tolist()) == {0, 1} and 0.25 < (x[y == 0] == ord("z")).mean() < 0.5 and any(bytes(w).startswith(b"short text") for w in x[y == 1])
 
 
 def test_pii_learns_from_the_end(spark):
