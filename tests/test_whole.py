@@ -23,7 +23,7 @@ def test_entity_pieces_keep_whole_texts(spark):
 def test_acronyms_of_all_documents(spark, tmp_path):
     texts = ["Die NATO über EU, ÄRZTE und ABÄ; A_B ÜBER", "tab\tUNO – WHO", "ILO (ILO) ABCDEFG A1 X", None, "plain UN\nOECD", "É NASAé EFTA", "e\u0301 CD\u0301 GH"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(map(tuple, cases.queries()["d22_acronyms_in_all"](spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, cases.queries()["d22_undefined_acronyms"](spark, str(tmp_path)).collect()))
     assert got == [(0, "EU"), (0, "NATO"), (1, "UNO"), (1, "WHO"), (4, "OECD"), (4, "UN"), (5, "EFTA"), (6, "GH")]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(map(tuple, audit.undefined_acronyms(df).collect())) == got
