@@ -14,7 +14,7 @@ from .registry import query as _query
 from .sources import html
 
 def queries() -> dict[str, Query]:
-    from . import cases_cleaning, cases_corporate, cases_decisions, cases_files, cases_history, cases_lenses, cases_more, cases_profiles, cases_questions, cases_ranges, cases_signals, cases_spans, cases_streams, cases_texts, cases_threads  # noqa: F401  they register their queries
+    from . import cases_cleaning, cases_corporate, cases_decisions, cases_files, cases_history, cases_lenses, cases_more, cases_profiles, cases_questions, cases_ranges, cases_signals, cases_sources, cases_spans, cases_streams, cases_texts, cases_threads  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,15 +54,18 @@ def entrenched_claims(turns: DataFrame, above: float = 0.6, role: str = "assista
     return met.where(near).groupBy("conv_id", "turn").agg(F.count_distinct("turn_b").alias("streak"))
 
 
-def relay_numbers(turns: DataFrame, most: int = 3000) -> DataFrame:
-    """(conv_id, turn, relay, chars): characters since the last reset; reaching ``most`` ends a relay, the next turn starts another. Each thread's turns are folded in order."""
-
+def relay_step(most: int = 3000) -> Callable[[tuple[int, int], int], tuple[tuple[int, int], tuple]]:
     def step(state: tuple[int, int], n: int) -> tuple[tuple[int, int], tuple]:
         relay, chars = state[0], state[1] + n
         return (relay + 1, 0) if chars >= most else (relay, chars), (relay, chars)
 
+    return step
+
+
+def relay_numbers(turns: DataFrame, most: int = 3000) -> DataFrame:
+    """(conv_id, turn, relay, chars): characters since the last reset; reaching ``most`` ends a relay, the next turn starts another. Each thread's turns are folded in order."""
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
-    return folded(rows, "conv_id", ["turn", "n"], "n", (1, 0), step, ["conv_id", "turn"], {"relay": "int", "chars": "long"})
+    return folded(rows, "conv_id", ["turn", "n"], "n", (1, 0), relay_step(most), ["conv_id", "turn"], {"relay": "int", "chars": "long"})
 
 
 def redacted_cards(texts: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -118,16 +118,16 @@ def low_balance_crossings(ledger: DataFrame, at_most: int = 100) -> DataFrame:
     return got.where(F.col("balance") <= at_most).groupBy("user_id", "epoch").agg(F.min_by("id", F.struct("ts", "id")).alias("id"))
 
 
-def accepted_charges(ledger: DataFrame) -> DataFrame:
-    """(id, user_id, cents, accepted, balance): a charge beyond the balance is rejected. Order decides, so each user's rows are folded in order of ts and id."""
+def charge_step(balance: int, cents: int | None) -> tuple[int, tuple]:
+    take = cents is not None and balance + cents >= 0
+    after = balance + cents if take else balance
+    return after, (take, after)
 
-    def step(balance: int, cents: int | None) -> tuple[int, tuple]:
-        take = cents is not None and balance + cents >= 0
-        after = balance + cents if take else balance
-        return after, (take, after)
 
+def accepted_charges(ledger: DataFrame) -> DataFrame:
+    """(id, user_id, cents, accepted, balance): a charge beyond the balance is rejected. Order decides, so each user's rows are folded in order of ts and id."""
     rows = ledger.select("id", "user_id", "ts", F.col("cents").cast("long").alias("cents"))
-    return folded(rows, "user_id", ["ts", "id"], "cents", 0, step, ["id", "user_id", "cents"], {"accepted": "boolean", "balance": "long"})
+    return folded(rows, "user_id", ["ts", "id"], "cents", 0, charge_step, ["id", "user_id", "cents"], {"accepted": "boolean", "balance": "long"})
 
 
 def spend_alerts(ledger: DataFrame, threshold: int) -> DataFrame:

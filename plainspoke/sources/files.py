@@ -41,18 +41,17 @@ def parse_scores(df: DataFrame, column: str) -> DataFrame:
 
 def parse_thread(raw: DataFrame, id: str = "doc_id", text: str = "text", human: str = _HUMAN, machine: str = _MACHINE) -> DataFrame:
     """(id, turn, role, text) of transcripts: a line that begins with a speaker's mark begins a turn, the lines that follow belong to it; lines before the first mark and turns without text are left out."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     h, m = (lambda x: F.rlike(x, F.lit(human))), (lambda x: F.rlike(x, F.lit(machine)))
-    start = F.expr("cast(array() as array<struct<role:string,lines:array<string>>>)")
+    said = lambda x: F.regexp_replace(F.regexp_replace(x, human, ""), machine, "")
+    whose = lambda lines: F.transform(lines, lambda x: F.when(h(x), "human").when(m(x), "ai"))
+    begins = lambda roles: F.filter(F.transform(roles, lambda r, i: F.when(r.isNotNull(), i)), lambda i: i.isNotNull())
 
-    def step(turns: Column, x: Column) -> Column:
-        own = F.when(h(x), "human").when(m(x), "ai")
-        said = F.regexp_replace(F.regexp_replace(x, human, ""), machine, "")
-        last = F.get(turns, F.size(turns) - 1)
-        more = F.array_append(F.slice(turns, 1, F.greatest(F.size(turns) - 1, F.lit(0))), F.struct(last["role"].alias("role"), F.array_append(last["lines"], x).alias("lines")))
-        return F.when(own.isNotNull(), F.array_append(turns, F.struct(own.alias("role"), F.array(said).alias("lines")))).when(F.size(turns) == 0, turns).otherwise(more)
+    def turn(lines: Column, roles: Column, at: Column, i: Column, k: Column) -> Column:
+        more = F.slice(lines, i + 2, F.coalesce(F.get(at, k + 1), F.size(lines)) - i - 1)
+        return F.struct(F.get(roles, i).alias("role"), F.btrim(F.array_join(F.concat(F.array(said(F.get(lines, i))), more), "\n"), F.lit(" \t\r\n")).alias("text"))
 
-    turns = F.transform(F.aggregate(lines, start, step), lambda t: F.struct(t["role"].alias("role"), F.btrim(F.array_join(t["lines"], "\n"), F.lit(" \t\r\n")).alias("text")))
+    all_turns = lambda lines: T.let(whose(lines), lambda roles: T.let(begins(roles), lambda at: F.transform(at, lambda i, k: turn(lines, roles, at, i, k))))
+    turns = T.let(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), all_turns)
     return raw.select(F.col(id), F.posexplode(F.filter(turns, lambda t: t["text"] != "")).alias("turn", "t")).select(id, "turn", "t.role", "t.text")
 
 

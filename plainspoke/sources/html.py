@@ -42,11 +42,37 @@ def sitemap_urls(raw: DataFrame, xml: str = "xml") -> DataFrame:
     return raw.select(F.explode(F.regexp_extract_all(xml, F.lit(r"(?is)<loc>\s*(.*?)\s*</loc>"), F.lit(1))).alias("url")).withColumn("child", F.lower("url").endswith(".xml"))
 
 
-def feed_items(raw: DataFrame, xml: str = "xml", most: int = 15) -> DataFrame:
-    """(nth, title, summary, link, published, kind) of the first ``most`` RSS items, or else Atom entries, of each feed; those without a title are dropped."""
-    part = lambda tag: F.slice(F.regexp_extract_all(xml, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1)), 1, most)
-    both = raw.select(part("item").alias("r"), part("entry").alias("e")).select(F.when(F.size("r") > 0, "rss2").otherwise("atom").alias("kind"), F.posexplode(F.when(F.size("r") > 0, F.col("r")).otherwise(F.col("e"))).alias("nth", "i"))
-    own = lambda tag: T.plain_html(F.regexp_replace(F.regexp_extract("i", rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1), r"<!\[CDATA\[|\]\]>", ""))
-    filled = lambda *tags: F.coalesce(*(F.nullif(own(t), F.lit("")) for t in tags), F.lit(""))
-    link = F.coalesce(F.nullif(own("link"), F.lit("")), F.regexp_extract("i", r'(?is)<link\b[^>]*?href="([^"]*)"', 1))
-    return both.select("nth", own("title").alias("title"), F.substring(filled("description", "summary", "content"), 1, 500).alias("summary"), link.alias("link"), filled("pubDate", "updated").alias("published"), "kind").where("title <> ''")
+#: The parts of RSS and Atom items that are read, by local name.
+_ITEM = "title string, description string, summary string, content string, link array<struct<_VALUE:string,_href:string,_rel:string>>, pubDate string, updated string, published string, date string, _broken string"
+_ITEMS = "array<struct<" + _ITEM.replace(" string", ":string").replace(" array", ":array") + ">>"
+_FEED = f"channel struct<item:{_ITEMS}>, item {_ITEMS}, entry {_ITEMS}, _broken string"
+_XML = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+
+
+def _feeds(raw: DataFrame, xml: str, most: int | None = None) -> DataFrame:
+    """``raw`` with _kind and _items by Spark's XML parser, so namespaces, entities and CDATA are read as XML says. A feed that isn't well-formed is cut where its items begin and each is parsed by itself; an item that isn't has its text in ``_broken``."""
+    whole = F.col("_f._broken").isNull()
+    cut = lambda tag: F.filter(F.split(xml, rf"(?i)(?=<(?:[\w.-]+:)?{tag}[\s/>])"), lambda x: F.rlike(x, F.lit(rf"(?i)^<(?:[\w.-]+:)?{tag}[\s/>]")))
+    some = lambda c: F.slice(c, 1, most) if most else c
+    one = lambda x: F.from_xml(x, _ITEM, _XML)
+    rss, atom = F.coalesce("_f.channel.item", "_f.item"), F.col("_f.entry")
+    got = raw.withColumn("_f", F.from_xml(xml, _FEED, _XML)).withColumns({"_rss": F.when(whole, some(rss)), "_cut": F.when(~whole, some(cut("item")))})
+    got = got.withColumn("_kind", F.when((F.size("_rss") > 0) | (F.size("_cut") > 0), "rss2").otherwise("atom"))
+    items = F.when(F.size("_rss") > 0, F.col("_rss")).when(whole, some(atom)).when(F.size("_cut") > 0, F.transform("_cut", one)).otherwise(F.transform(some(cut("entry")), one))
+    return got.withColumn("_items", items).drop("_f", "_rss", "_cut")
+
+
+def feed_items(raw: DataFrame, xml: str = "xml", most: int = 15, keep: list[str] | None = None) -> DataFrame:
+    """(``keep``, nth, title, summary, link, published, kind) of the first ``most`` RSS items, or else Atom entries, of each feed; those without a title, and those that are no XML, are dropped (``feed_report`` counts them)."""
+    both = _feeds(raw, xml, most).select(*(keep or []), F.col("_kind").alias("kind"), F.posexplode("_items").alias("nth", "i"))
+    filled = lambda *parts: F.coalesce(*(F.nullif(T.plain_html(F.col(f"i.{p}")), F.lit("")) for p in parts), F.lit(""))
+    first = lambda part: F.get(F.filter(F.transform("i.link", lambda x: F.nullif(F.trim(x[part]), F.lit(""))), lambda x: x.isNotNull()), 0)
+    own = F.get(F.filter("i.link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), 0)["_href"]
+    return both.where("i._broken is null").select(*(keep or []), "nth", filled("title").alias("title"), F.substring(filled("description", "summary", "content"), 1, 500).alias("summary"), F.coalesce(first("_VALUE"), own, first("_href"), F.lit("")).alias("link"), filled("pubDate", "updated", "published", "date").alias("published"), "kind").where("title <> ''")
+
+
+def feed_report(raw: DataFrame, id: str, xml: str = "xml") -> DataFrame:
+    """(id, kind, items, broken): items of each feed and those among them that are no XML; a feed without any has none of either."""
+    got = _feeds(raw, xml).select(F.col(id), F.col("_kind").alias("kind"), F.coalesce("_items", F.lit(None)).alias("_i"))
+    n = lambda c: F.greatest(F.size(c), F.lit(0))
+    return got.select(id, "kind", n(F.col("_i")).alias("items"), n(F.filter("_i", lambda x: x["_broken"].isNotNull())).alias("broken"))
