@@ -4,8 +4,10 @@ A text is made canonical: A-Z lowered, copyright lines dropped, punctuation and
 white space turned into single spaces, and equivalent spellings replaced; then
 its SHA-256 is joined to the digests of known licence texts. The same is done for
 each line of the text as a text of its own, since notices such as "Released under
-the MIT License." stand on lines by themselves. Only whole texts and whole lines
-match: a licence that is changed by a word has another digest.
+the MIT License." stand on lines by themselves: digests of lines are exploded and
+joined to the same table. A line with as many words as no known text, or other
+words at its ends than any of that many words, is no known text and gets no digest. Only whole
+texts and whole lines match: a licence that is changed by a word has another digest.
 
 An SPDX line ("SPDX-License-Identifier: " and an expression) is read as SPDX
 says, since "+" would be lost in the canonical form: each known identifier of
@@ -13,7 +15,8 @@ the expression is a notice, and a text that is one such line with one identifier
 has it as licence.
 
 The table of known texts is as large as the list given, whatever the corpus, and
-is broadcast. Full texts and the identifiers are files of the folder ``licenses``
+is broadcast. Only what lines found is grouped, and only rows with such lines meet it in
+a shuffle, without their texts. Full texts and the identifiers are files of the folder ``licenses``
 that only the driver reads.
 
 Defined results: null texts, and texts that are empty once canonical, have no
@@ -36,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: Spellings that the SPDX matching guidelines treat as equal, one word for one.
 EQUIVALENT = {
@@ -48,6 +51,8 @@ EQUIVALENT = {
     "organisation": "organization", "organise": "organize", "practise": "practice", "programme": "program", "realise": "realize",
     "recognise": "recognize", "signalling": "signaling", "utilisation": "utilization", "whilst": "while", "wilful": "wilfull", "https": "http",
 }
+#: Spellings of two words that those guidelines treat as equal to others, as they are once hyphens are spaces.
+EQUIVALENT_PAIRS = {"copyright holder": "copyright owner", "non commercial": "noncommercial", "per cent": "percent", "sub license": "sublicense"}
 _MARKS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -113,7 +118,15 @@ def canonical(text: str) -> str:
     lines = text.splitlines()
     kept = [x for x in lines if not _HELD.match(x.lstrip(" \t#/*;-"))] if "opyright" in text or "OPYRIGHT" in text or "(c)" in text.lower() or "©" in text or "&copy;" in text else lines
     words = "\n".join(kept).encode("utf-8", "replace").translate(_MARKS).decode("utf-8", "replace").split()
-    return " ".join(EQUIVALENT.get(w, w) for w in words)
+    form = f" {' '.join(EQUIVALENT.get(w, w) for w in words)} "
+    for pair, one in EQUIVALENT_PAIRS.items():
+        form = form.replace(f" {pair} ", f" {one} ")
+    return form.strip()
+
+
+def shape(form: str) -> tuple[int, str, str]:
+    """What a canonical form must share with an equal one: its number of words, its first and its last."""
+    return form.count(" "), form.partition(" ")[0], form.rpartition(" ")[2]
 
 
 def identifiers(expression: str, ids: dict[str, str], exceptions: dict[str, str]) -> list[str]:
@@ -131,47 +144,53 @@ def identifiers(expression: str, ids: dict[str, str], exceptions: dict[str, str]
     return out
 
 
-def digest(text: str | None) -> str | None:
-    form = canonical(text) if text else ""
+def _hashed(form: str) -> str | None:
     return hashlib.sha256(form.encode("utf-8", "replace")).hexdigest() if form else None
 
 
-def findings(text: Column, names: dict[str, str]) -> Column:
-    """Struct (whole, spdx, notices) of a text column: the digest of the text, its licence if it is one SPDX line of one identifier, and the licences of its lines. ``names`` has licences by digest."""
+def digest(text: str | None) -> str | None:
+    return _hashed(canonical(text)) if text else None
+
+
+def digests(text: Column, shapes: frozenset[tuple[int, str, str]]) -> Column:
+    """Struct (whole, spdx, told, lines) of a text column: the digest of the text, its licence if it is one SPDX line of one identifier, the identifiers of its SPDX lines, and the digests of the other lines that have one of ``shapes``."""
     ids, exceptions = listed("spdx"), listed("exceptions")
 
-    def one(text: str | None) -> tuple[str | None, str | None, list[str]]:
+    def one(text: str | None) -> tuple[str | None, str | None, list[str], list[str]]:
         if not isinstance(text, str):
-            return None, None, []
+            return None, None, [], []
         lines = text.split("\n")
         told = {i: identifiers(m[1], ids, exceptions) for i, x in enumerate(lines) if (m := _SPDX.search(x))} if "icense-" in text or "ICENSE-" in text else {}
-        found = {k for own in told.values() for k in own} | {names[d] for i, x in enumerate(lines) if i not in told and (d := digest(x)) in names}
+        forms = {form for i, x in enumerate(lines) if i not in told and (form := canonical(x)) and shape(form) in shapes}
         alone = told and sum(bool(x.strip()) for x in lines) == 1 and len(own := next(iter(told.values()))) == 1
-        return digest(text), own[0] if alone else None, sorted(found)
+        return digest(text), own[0] if alone else None, sorted({k for own in told.values() for k in own}), sorted(map(_hashed, forms))
 
-    @F.pandas_udf("whole string, spdx string, notices array<string>")
+    @F.pandas_udf("whole string, spdx string, told array<string>, lines array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([one(t) for t in texts], columns=["whole", "spdx", "notices"])
+            yield pd.DataFrame([one(t) for t in texts], columns=["whole", "spdx", "told", "lines"])
 
     return run(text)
 
 
-def by_digest(texts: list[tuple[str, str]] | None = None) -> dict[str, str]:
-    return {d: name for name, t in (known_texts() if texts is None else texts) if (d := digest(t))}
-
-
 def known(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(license, digest) of each known text."""
-    return spark.createDataFrame([(name, d) for d, name in sorted(by_digest(texts).items())], "license string, digest string")
+    by_digest = {d: name for name, t in (known_texts() if texts is None else texts) if (d := digest(t))}
+    return spark.createDataFrame([(name, d) for d, name in sorted(by_digest.items())], "license string, digest string")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", texts: list[tuple[str, str]] | None = None) -> DataFrame:
     """(doc_id, digest, license, notices) of every row: the licence whose text the row is, if any, and the licences of its lines, each once, in order of name. ``texts`` are ``known_texts()`` unless given."""
-    table_ = known(docs.sparkSession, texts)
-    own = docs.select(F.col(doc_id).alias("doc_id"), findings(F.col(text), by_digest(texts)).alias("_d"))
-    found = own.join(F.broadcast(table_.withColumnRenamed("digest", "_digest")), F.col("_d.whole") == F.col("_digest"), "left")
-    return found.select("doc_id", F.col("_d.whole").alias("digest"), F.coalesce("_d.spdx", "license").alias("license"), F.col("_d.notices").alias("notices"))
+    shapes = frozenset(shape(form) for _, t in (known_texts() if texts is None else texts) if (form := canonical(t)))
+    names = F.broadcast(known(docs.sparkSession, texts).withColumnRenamed("digest", "_digest"))
+    own = written(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("doc_id"), digests(F.col(text), shapes).alias("_d")).select("_row", "doc_id", "_d.*"), "digests")
+    found = own.join(names, F.col("whole") == F.col("_digest"), "left").select("_row", "doc_id", F.col("whole").alias("digest"), F.coalesce("spdx", "license").alias("license"), "told", "lines")
+    lines = own.select("_row", F.explode("lines").alias("_digest")).join(names, "_digest").select("_row", "license")
+    notices = lines.unionByName(own.select("_row", F.explode("told").alias("license"))).groupBy("_row").agg(F.array_sort(F.collect_set("license")).alias("notices"))
+    none = F.expr("cast(array() as array<string>)").alias("notices")
+    some = (F.size("told") > 0) | (F.size("lines") > 0)
+    without = found.where(~some).select("doc_id", "digest", "license", none)
+    return without.unionByName(found.where(some).join(notices, "_row", "left").select("doc_id", "digest", "license", F.coalesce("notices", none).alias("notices")))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Full licence texts however they are wrapped and held, and SPDX lines."""
 
+import random
 import re
 from pathlib import Path
 
@@ -34,3 +35,23 @@ def test_no_digest_has_two_licences():
     seen = {}
     for name, text in license_scan.known_texts():
         assert seen.setdefault(license_scan.digest(text), name) == name
+
+
+def test_equivalent_spellings_of_two_words(spark):
+    named = [("X-1", "Non-commercial use by the copyright holder at ten per cent, to sub-license.")]
+    rows = ["noncommercial use by the Copyright Owner at ten percent to sublicense", "non commercial use by the copyright holder at ten per cent to sub license", "non commercial use by the copyright holders at ten per cent to sub license"]
+    got = [r.license for r in license_scan.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), texts=named).orderBy("doc_id").collect()]
+    assert got == ["X-1", "X-1", None]
+
+
+def test_lines_meet_the_table_like_brute_force(spark):
+    """Lines with and without known texts, repeated rows and ids, very long texts: what a look-up of every line finds."""
+    by = {license_scan.digest(t): k for k, t in license_scan.known_texts()}
+    notices = sorted({t for _, t in license_scan.known_texts() if "\n" not in t})
+    r = random.Random(5)
+    texts = ["\n".join(r.choice((r.choice(notices), r.choice(notices).upper() + "!", r.choice(notices) + " x", "prose of no licence", "")) for _ in range(r.randrange(0, 7))) for _ in range(150)]
+    texts += ["word " * 200000 + "\n" + notices[0], *texts[:30], None, ""]
+    df = spark.createDataFrame([(i % 90, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    got = sorted((x.doc_id, x.digest or "", x.license or "", x.notices) for x in license_scan.scan(df).collect())
+    want = sorted((i % 90, license_scan.digest(t) or "", by.get(license_scan.digest(t), ""), sorted({by[d] for x in (t or "").split("\n") if (d := license_scan.digest(x)) in by})) for i, t in enumerate(texts))
+    assert got == want and sum(bool(w[3]) for w in want) > 80
