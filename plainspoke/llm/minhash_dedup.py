@@ -48,12 +48,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, forest, fresh, joined_hot, lean, slices, sorted_runs, table, written
+from .common import HOT, components, forest, fresh, joined_hot, lean, slices, sorted_runs, table, written
 
 WORDS, THRESHOLD = 5, 0.85
 T, ROWS = 192, 6
 #: Share of equal sketch coordinates from which a pair is verified: over four standard deviations below the threshold.
 MAY_BE = 0.12
+#: Bits of the map of rows whose texts are wanted.
+BITS = 1 << 25
 BUCKET, CHUNK = 512, 500_000
 #: Texts whose full sets meet in a cell at most, and loose ones of them, about.
 TEXTS, LOOSE = 128, 64
@@ -384,6 +386,23 @@ def _connected(members: DataFrame, key: str, most: int, task: Callable[[bool], o
     return links.unionByName(met(_loose_cells(members.where("_c > 1"), loose, key, most), True).select("a", "b"))
 
 
+def _texts_of(wanted: DataFrame, every: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (at, _text) whose ``at`` may be in ``wanted``, before they meet a shuffle.
+
+    ``wanted`` is a map of ``BITS`` bits, a broadcast of 2^19 rows at most whatever
+    the table: a text passes by chance as often as bits are set, and the join that
+    follows drops it. Of a row that makes up more than one in ``HOT`` of all rows
+    (``every`` has their ``at``), each task hands on one copy.
+    """
+    total = every.count()
+    word = F.expr(f"shiftright(at, 6) & {BITS // 64 - 1}").alias("_word")
+    bits = written(wanted.select(word, F.expr("shiftleft(1L, cast(at & 63 as int))").alias("_bit")).groupBy("_word").agg(F.expr("bit_or(_bit)").alias("_bits")), "bits")
+    own = texts.where("_text is not null").withColumn("_word", word).join(F.broadcast(bits), "_word").where("(shiftright(_bits, cast(at & 63 as int)) & 1) = 1").select("at", "_text")
+    hot = F.broadcast(written(every.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") * HOT > total).select("at"), "repeated"))
+    once = own.join(hot, "at", "left_semi").withColumn("_h", F.hash("_text")).dropDuplicates(["at", "_h"]).drop("_h")
+    return own.join(hot, "at", "left_anti").unionByName(once)
+
+
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, k: int = WORDS, row: str | None = None) -> DataFrame:
     """(row, doc_id, n_shingles, group, component_id) of every row: group numbers the components of links with Jaccard similarity of at least ``threshold`` (null for empty sets), component_id is the smallest id in it (of a row with an empty set, its own). row: the column that numbers the rows, if there is one."""
     need = int(np.floor((threshold - MAY_BE) * T))
@@ -397,7 +416,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     families = components(_connected(buckets, "key", BUCKET, lambda last: _bucket_links(need, last), reps.select("row", "sketch"), "maybe"))
     members = written(families.join(reps.select("row", "at", "n_shingles", "words_key", "sketch"), families.node == reps.row).select("row", "component", "n_shingles", "at", "words_key", "sketch"), "families")
     sizes = written(members.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.sum("n_shingles") / CHUNK, F.count("*") / TEXTS)).cast("int").alias("_c")), "sizes")
-    texts = docs.select(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("at"), F.col(text).alias("_text"))
+    texts = _texts_of(members.select("at"), base.select("at"), docs.select(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("at"), F.col(text).alias("_text")))
     sets = with_sets(members.select("row", "at", "words_key", "sketch").join(texts, "at"), "_text", k)
     sets = written(sets.where("_key = words_key").select("row", "sketch", "shingles").dropDuplicates(["row"]), "sets")
     dealt = joined_hot(members.select("component", "row"), sizes.select("component", "n", "_c"), ["component"], "n")
