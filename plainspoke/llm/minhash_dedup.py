@@ -54,8 +54,8 @@ WORDS, THRESHOLD = 5, 0.85
 T, ROWS = 192, 6
 #: Share of equal sketch coordinates from which a pair is verified: over four standard deviations below the threshold.
 MAY_BE = 0.12
-#: Bits of the map of rows whose texts are wanted.
-BITS = 1 << 25
+#: Bits of a map of wanted keys, and of one of its blocks.
+BITS, BLOCK = 1 << 25, 1 << 13
 BUCKET, CHUNK = 512, 500_000
 #: Texts whose full sets meet in a cell at most, and loose ones of them, about.
 TEXTS, LOOSE = 128, 64
@@ -168,6 +168,24 @@ def sketched(docs: DataFrame, doc_id: str, text: str, k: int, row: str | None =
     return docs.select(*cols).mapInArrow(run, _SKETCHED).withColumn("row", F.monotonically_increasing_id())
 
 
+def _parted(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``key`` may be one of ``wanted``'s, and those whose key is none, which need no join with it and so no shuffle.
+
+    ``wanted`` becomes a map of ``BITS`` bits in blocks, a broadcast of 4 MB
+    whatever the table. A key passes by chance as often as bits are set, so a join
+    by the key itself has to follow for the former.
+    """
+    h, block, words = fresh(rows.columns, "_h", "_block", "_words")
+    of = F.expr(f"cast(shiftright(`{h}`, 13) & {BITS // BLOCK - 1} as int)")
+    word, bit = (f"cast(shiftright(`{h}`, 6) & {BLOCK // 64 - 1} as int)", f"cast(`{h}` & 63 as int)")
+    set_ = wanted.select(F.xxhash64(key).alias(h)).select(of.alias(block), F.expr(word).alias("word"), F.expr(f"shiftleft(1L, {bit})").alias("bit"))
+    held = set_.groupBy(block, "word").agg(F.expr("bit_or(bit)").alias("bits")).groupBy(block).agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
+    map_ = written(held.select(block, F.expr(f"transform(sequence(0, {BLOCK // 64 - 1}), i -> coalesce(try_element_at(m, i), 0L))").alias(words)), "bits")
+    told = rows.withColumn(h, F.xxhash64(key)).withColumn(block, of).join(F.broadcast(map_), block, "left")
+    may = F.expr(f"coalesce((shiftright(get(`{words}`, {word}), {bit}) & 1) = 1, false)")
+    return told.where(may).drop(h, block, words), told.where(~may).drop(h, block, words)
+
+
 def _pivots(large: DataFrame, key: str) -> DataFrame:
     """(key, _c, row, marked) of each group's pivots, once for every one of its _c cells, which column _at numbers. By minima alone, so that a hot group is combined before the shuffle."""
     least = large.groupBy(key, "_c").agg(*(F.min(F.col("row").bitwiseXOR(F.lit(x))).alias(f"_{i}") for i, x in enumerate(PIVOTS)))
@@ -375,29 +393,27 @@ def with_sets(docs: DataFrame, text: str, k: int) -> DataFrame:
 def _connected(members: DataFrame, key: str, most: int, task: Callable[[bool], object], payload: DataFrame, name: str) -> DataFrame:
     """Links (a, b) within the groups of ``members`` (key, row, _c cells). ``payload`` has the columns that a task needs, by row."""
 
-    def met(cells: DataFrame, last: bool) -> DataFrame:
+    def met(cells: DataFrame, payload: DataFrame, last: bool) -> DataFrame:
         own = cells.withColumnRenamed(key, "key").join(payload, "row")
         return own.repartition("cell").sortWithinPartitions("cell").mapInArrow(task(last), _LINKS)
 
-    first = written(met(_starred(members, key), False), name)
+    first = written(met(_starred(members, key), payload, False), name)
     links, loose = first.where("loose is null").select("a", "b"), first.where("loose is not null").select(F.col("loose").alias(key), F.col("a").alias("row")).distinct()
     if loose.isEmpty():
         return links
-    return links.unionByName(met(_loose_cells(members.where("_c > 1"), loose, key, most), True).select("a", "b"))
+    large = members.where("_c > 1")
+    own, _ = _parted(payload, "row", large)
+    return links.unionByName(met(_loose_cells(large, loose, key, most), own, True).select("a", "b"))
 
 
 def _texts_of(wanted: DataFrame, every: DataFrame, texts: DataFrame) -> DataFrame:
-    """The rows of ``texts`` (at, _text) whose ``at`` may be in ``wanted``, before they meet a shuffle.
+    """The rows of ``texts`` (at, _text) whose ``at`` may be in ``wanted``, before they meet a shuffle; the join that follows drops the others.
 
-    ``wanted`` is a map of ``BITS`` bits, a broadcast of 2^19 rows at most whatever
-    the table: a text passes by chance as often as bits are set, and the join that
-    follows drops it. Of a row that makes up more than one in ``HOT`` of all rows
-    (``every`` has their ``at``), each task hands on one copy.
+    Of a row that makes up more than one in ``HOT`` of all rows (``every`` has
+    their ``at``), each task hands on one copy.
     """
     total = every.count()
-    word = F.expr(f"shiftright(at, 6) & {BITS // 64 - 1}").alias("_word")
-    bits = written(wanted.select(word, F.expr("shiftleft(1L, cast(at & 63 as int))").alias("_bit")).groupBy("_word").agg(F.expr("bit_or(_bit)").alias("_bits")), "bits")
-    own = texts.where("_text is not null").withColumn("_word", word).join(F.broadcast(bits), "_word").where("(shiftright(_bits, cast(at & 63 as int)) & 1) = 1").select("at", "_text")
+    own = _parted(texts.where("_text is not null"), "at", wanted)[0]
     hot = F.broadcast(written(every.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") * HOT > total).select("at"), "repeated"))
     once = own.join(hot, "at", "left_semi").withColumn("_h", F.hash("_text")).dropDuplicates(["at", "_h"]).drop("_h")
     return own.join(hot, "at", "left_anti").unionByName(once)
@@ -408,17 +424,20 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     need = int(np.floor((threshold - MAY_BE) * T))
     base = written(sketched(docs, doc_id, text, k, row), "sketches")
     classes = written(base.where("words_key is not null").groupBy("words_key").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count("*").alias("n")), "classes")
-    reps = written(base.join(classes.select(F.col("rep").alias("row")), "row", "left_semi").select("row", "at", "n_shingles", "words_key", "sketch", "bands"), "heads")
+    copied, single = _parted(base.where("words_key is not null"), "words_key", classes.where("n > 1"))
+    heads = single.unionByName(copied.join(classes.select(F.col("rep").alias("row")), "row", "left_semi"))
+    reps = written(heads.select("row", "at", "n_shingles", "words_key", "sketch", "bands"), "heads")
     bands = T // ROWS
     keys = reps.select("row", F.explode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(bands, i * 8 + 1, 8)))")).alias("key"))
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("_c", F.ceil(F.col("n") / BUCKET).cast("int")), "buckets")
-    buckets = written(joined_hot(keys, shared, ["key"], "n").where("_c is not null").drop("n"), "buckets")
-    families = components(_connected(buckets, "key", BUCKET, lambda last: _bucket_links(need, last), reps.select("row", "sketch"), "maybe"))
-    members = written(families.join(reps.select("row", "at", "n_shingles", "words_key", "sketch"), families.node == reps.row).select("row", "component", "n_shingles", "at", "words_key", "sketch"), "families")
+    buckets = written(joined_hot(_parted(keys, "key", shared)[0], shared, ["key"], "n").where("_c is not null").drop("n"), "buckets")
+    met = _parted(reps.drop("bands"), "row", buckets)[0]
+    families = components(_connected(buckets, "key", BUCKET, lambda last: _bucket_links(need, last), met.select("row", "sketch"), "maybe"))
+    members = written(families.join(met, families.node == met.row).select("row", "component", "n_shingles", "at", "words_key", "sketch"), "families")
     sizes = written(members.groupBy("component").agg(F.count("*").alias("n"), F.ceil(F.greatest(F.sum("n_shingles") / CHUNK, F.count("*") / TEXTS)).cast("int").alias("_c")), "sizes")
     texts = _texts_of(members.select("at"), base.select("at"), docs.select(F.xxhash64(F.col(doc_id).cast("long"), F.col(text)).alias("at"), F.col(text).alias("_text")))
-    sets = with_sets(members.select("row", "at", "words_key", "sketch").join(texts, "at"), "_text", k)
-    sets = written(sets.where("_key = words_key").select("row", "sketch", "shingles").dropDuplicates(["row"]), "sets")
+    own = members.select("row", "at", "words_key", "sketch").join(texts, "at").withColumn("_h", F.xxhash64("_text")).dropDuplicates(["row", "at", "_h"]).drop("_h")
+    sets = written(with_sets(own, "_text", k).where("_key = words_key").select("row", "sketch", "shingles"), "sets")
     dealt = joined_hot(members.select("component", "row"), sizes.select("component", "n", "_c"), ["component"], "n")
     links = _connected(dealt, "component", LOOSE, lambda last: _family_links(need, threshold, last), sets, "links")
     found = components(links).select(F.col("node").alias("rep"), F.col("component").alias("_comp"))
@@ -441,7 +460,9 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
     own = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     named = written(grouped(own, doc_id, text, threshold, k, row).select(F.col("row").alias(row), "doc_id", "group", "component_id"), "grouped")
     one = named.where("group is not null and doc_id <=> component_id").groupBy("group").agg(F.min(row).alias(row)).select(row)
-    return own.join(one.unionByName(named.where("group is null").select(row)), row, "left_semi").select(*docs.columns)
+    gone = written(named.where("group is not null").select(row).join(one, row, "left_anti"), "gone")
+    may, stay = _parted(own, row, gone)
+    return stay.unionByName(may.join(gone, row, "left_anti")).select(*docs.columns)
 
 
 def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
