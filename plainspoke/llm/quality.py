@@ -142,14 +142,19 @@ def hashed(text: str, known: Cache) -> tuple[np.ndarray, np.ndarray, float]:
 
 
 def samples(text: Column) -> Column:
-    """Struct (f, v, again) of a text column: what the scorer learns of a text, packed where the text is."""
+    """Struct (f, v, again, votes) of a text column: what the scorer learns of a text, packed where the text is.
 
-    @F.pandas_udf("f binary, v binary, again double")
+    With the votes, as a second function over batches would take a second worker
+    a task, which executors keep for all later stages.
+    """
+
+    @F.pandas_udf("f binary, v binary, again double, votes int")
     def pack(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known = Cache(buckets)
+        known, plain_ = Cache(buckets), known_words()
         for texts in lean(batches, keep=True):
             own = [hashed(t, known) if isinstance(t, str) else (np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0) for t in texts]
-            yield pd.DataFrame([(f.astype("<i4").tobytes(), v.astype("<f4").tobytes(), again) for f, v, again in own], columns=["f", "v", "again"])
+            votes = np.array([pattern(t if isinstance(t, str) else None, plain_) for t in texts], np.int32)
+            yield pd.DataFrame([(f.astype("<i4").tobytes(), v.astype("<f4").tobytes(), again) for f, v, again in own], columns=["f", "v", "again"]).assign(votes=votes)
 
     return pack(text)
 
@@ -197,9 +202,9 @@ def fitted(docs: DataFrame, text: str = "text", order: str = "doc_id", rows: int
     """The weak-label model of all of ``docs`` and the scorer fitted on at most ``rows`` of them."""
     counts = {r["p"]: r["n"] for r in docs.select(patterns(F.col(text)).alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}  # at most 3 ** labellers
     labels, scorer = WeakLabels(counts), Scorer()
-    some = bounded_sample(docs.where(F.length(text) > 0), rows, [order, text], samples(F.col(text)).alias("s"), patterns(F.col(text)).alias("votes"))
+    some = bounded_sample(docs.where(F.length(text) > 0), rows, [order, text], samples(F.col(text)).alias("s"))
     if some:
-        scorer.fit([(np.frombuffer(r.s.f, "<i4"), np.frombuffer(r.s.v, "<f4"), r.s.again) for r in some], labels.posterior(np.array([r.votes for r in some])))
+        scorer.fit([(np.frombuffer(r.s.f, "<i4"), np.frombuffer(r.s.v, "<f4"), r.s.again) for r in some], labels.posterior(np.array([r.s.votes for r in some])))
     return labels, scorer
 
 
